@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quantiles import agg_with_quantiles
 from ..schema import is_error
+from .rollup import cents
 
 
 def error_ratio(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,6 +81,6 @@ def usage_breakdown(usage: DataFrame, keys: list[str]) -> DataFrame:
 
 def cost_map(usage: DataFrame, keys: list[str]) -> DataFrame:
     """Per group one map model -> rounded cost (one entry per model)."""
-    per_model = usage.groupBy(*keys, "model").agg(F.round(F.sum("total_cost_usd"), 2).alias("cost"))
+    per_model = usage.groupBy(*keys, "model").agg(cents(F.sum("total_cost_usd")).cast("double").alias("cost"))
     entries = F.array_sort(F.collect_list(F.struct("model", "cost")))
     return per_model.groupBy(*keys).agg(F.map_from_entries(entries).alias("cost_by_model"))

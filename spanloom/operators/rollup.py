@@ -27,6 +27,11 @@ def day(ts: str = "started_at") -> Column:
     return F.to_date(ts).alias("date")
 
 
+def cents(amount: Column) -> Column:
+    """Money to two digits, decided in decimal so that halves do not depend on summation order."""
+    return F.round(amount.cast("decimal(28,6)"), 2)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole)
 
@@ -182,7 +187,7 @@ def vendor_comparison(usage_daily: DataFrame, as_of: Column, days: int = 30) ->
         F.count_distinct("model").alias("model_count"),
         F.sum("call_count").alias("total_calls"),
         F.sum("total_tokens").alias("total_tokens"),
-        F.round(F.sum("total_cost_usd"), 2).alias("total_cost_usd"),
+        cents(F.sum("total_cost_usd")).alias("total_cost_usd"),
         F.avg("avg_latency_ms").alias("avg_latency_ms"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["rollups"]
+FAMILIES = ["rollups", "lookups", "analytics", "drift"]
 
 
 def _registries():

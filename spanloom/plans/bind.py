@@ -222,3 +222,186 @@ def ts_sql(expr: str) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip() for c in ctes)
+
+
+# ---- smaller bindings ---------------------------------------------------------------
+ALERT_STATUS = ["active", "acknowledged", "dismissed", "muted"]
+SEVERITIES = ["low", "medium", "high", "critical"]
+TIERS = ["free", "lunch-money", "pro", "enterprise"]
+ROLES = ["viewer", "member", "admin", "owner"]
+
+
+def alert_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of 50 alerts; the newest (ts, event_id) is current."""
+    uid, k, eid = F.col("user_id"), F.col("k"), F.col("event_id")
+    return events(spark, d).select(
+        cat("al", uid % 50).alias("alert_id"), cat("p", uid % 5).alias("project_id"),
+        cat("agent", uid % 10).alias("agent_name"), F.col("ts").alias("detected_at"),
+        pick(SEVERITIES, eid % 4).alias("severity"), ((eid % 4) + 1).alias("severity_rank"),
+        pick(ALERT_STATUS, k % 4).alias("status"),
+        (F.col("ts") + F.make_dt_interval(F.lit(0), k)).alias("mute_until"),
+        pick(["duration", "token_usage", "success_rate"], k % 3).alias("metric_name"),
+        F.col("ts").alias("updated_at"), eid.alias("seq"))
+
+
+ALERT_VERSIONS = f"""
+alert_versions AS (
+  SELECT 'al' || (user_id % 50) AS alert_id, 'p' || (user_id % 5) AS project_id, 'agent' || (user_id % 10) AS agent_name,
+    ts AS detected_at, {sql_pick(SEVERITIES, 'event_id % 4')} AS severity, event_id % 4 + 1 AS severity_rank,
+    {sql_pick(ALERT_STATUS, 'k % 4')} AS status, ts + to_hours(k) AS mute_until,
+    {sql_pick(['duration', 'token_usage', 'success_rate'], 'k % 3')} AS metric_name,
+    ts AS updated_at, event_id AS seq FROM ev)"""
+ALERTS = f"""{ALERT_VERSIONS},
+alerts AS (SELECT * FROM alert_versions QUALIFY row_number() OVER (PARTITION BY project_id, alert_id
+  ORDER BY updated_at DESC, seq DESC) = 1)"""
+
+
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompt versions: 50 names, the event id is the version."""
+    uid, k, eid = F.col("user_id"), F.col("k"), F.col("event_id")
+    return events(spark, d).select(
+        cat("p", uid % 5).alias("project_id"), cat("prompt", uid % 50).alias("name"), eid.alias("version"),
+        F.concat_ws("-", "event_type", (k % 5).cast("string")).alias("template"),
+        F.array("event_type", cat("t", k % 3)).alias("tags"),
+        pick(MODELS, uid % 4).alias("model"),
+        F.when(k % 10 == 0, F.array(F.lit("production"))).when(k % 10 == 1, F.array(F.lit("staging"), F.lit("canary")))
+        .otherwise(F.array().cast("array<string>")).alias("promoted_stages"))
+
+
+PROMPTS = f"""
+prompts AS (
+  SELECT 'p' || (user_id % 5) AS project_id, 'prompt' || (user_id % 50) AS name, event_id AS version,
+    event_type || '-' || (k % 5) AS template, [event_type, 't' || (k % 3)] AS tags,
+    {sql_pick(MODELS, 'user_id % 4')} AS model,
+    CASE WHEN k % 10 = 0 THEN ['production'] WHEN k % 10 = 1 THEN ['staging', 'canary'] ELSE [] END AS promoted_stages
+  FROM ev)"""
+
+
+def violations(spark: SparkSession, d: str) -> DataFrame:
+    uid, k, eid = F.col("user_id"), F.col("k"), F.col("event_id")
+    return events(spark, d).where("event_type = 'error'").select(
+        cat("v", eid).alias("violation_id"), cat("p", uid % 5).alias("project_id"),
+        cat("guard", k % 3).alias("guard_name"), pick(["input", "output"], eid % 2).alias("phase"),
+        pick(["block", "redact", "log", "warn"], k % 4).alias("action"), F.col("ts").alias("detected_at"))
+
+
+VIOLATIONS = f"""
+violations AS (
+  SELECT 'v' || event_id AS violation_id, 'p' || (user_id % 5) AS project_id, 'guard' || (k % 3) AS guard_name,
+    {sql_pick(['input', 'output'], 'event_id % 2')} AS phase,
+    {sql_pick(['block', 'redact', 'log', 'warn'], 'k % 4')} AS action, ts AS detected_at
+  FROM ev WHERE event_type = 'error')"""
+
+
+def task_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of agent runs with task, message and agent keys."""
+    uid, k, eid = F.col("user_id"), F.col("k"), F.col("event_id")
+    described = cat("Handle ", F.col("event_type"), " number ", k, " for customer ", uid,
+                    F.when(k % 2 == 0, " and write a full report for the whole team").otherwise(""))
+    attributes = F.to_json(F.struct(
+        F.when((eid % 3 == 0) & (k % 4 != 1), cat("task", eid)).alias("task.id"),
+        F.when((eid % 3 == 0) & (k % 4 != 0), described).alias("task.description"),
+        F.when(k % 3 == 0, cat("agent", k % 10)).alias("agent.name"),
+        F.when(eid % 3 == 1, cat("message ", k)).alias("message.content"),
+        F.when(eid % 3 == 1, cat("agent", k % 5)).alias("sender.name"),
+        F.when((eid % 3 == 1) & (k % 7 != 0), cat("agent", (k + 1) % 5)).alias("recipient.name"),
+    ))
+    return _with_trace_id(events(spark, d)).select(
+        eid.cast("string").alias("span_id"), "trace_id", cat("p", uid % 5).alias("project_id"),
+        F.when(k % 5 == 0, cat("crewai.agent.writer", k % 3)).otherwise(cat("crewai.task.", F.col("event_type"))).alias("name"),
+        F.when(eid % 5 == 0, "custom").otherwise("agent").alias("span_type"),
+        F.col("ts").alias("started_at"), F.col("value").alias("duration_ms"),
+        F.when(F.col("event_type") == "error", "ERROR").otherwise("success").alias("status"),
+        attributes.alias("attributes"))
+
+
+TASK_SPANS = """
+task_spans AS (
+  SELECT CAST(event_id AS VARCHAR) AS span_id, trace_id, 'p' || (user_id % 5) AS project_id,
+    CASE WHEN k % 5 = 0 THEN 'crewai.agent.writer' || (k % 3) ELSE 'crewai.task.' || event_type END AS name,
+    CASE WHEN event_id % 5 = 0 THEN 'custom' ELSE 'agent' END AS span_type, ts AS started_at, value AS duration_ms,
+    CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'success' END AS status,
+    CASE WHEN event_id % 3 = 0 AND k % 4 <> 1 THEN 'task' || event_id END AS task_id,
+    CASE WHEN event_id % 3 = 0 AND k % 4 <> 0 THEN 'Handle ' || event_type || ' number ' || k || ' for customer ' || user_id
+      || CASE WHEN k % 2 = 0 THEN ' and write a full report for the whole team' ELSE '' END END AS description,
+    CASE WHEN k % 3 = 0 THEN 'agent' || (k % 10) END AS agent_name,
+    CASE WHEN event_id % 3 = 1 THEN 'message ' || k END AS content,
+    CASE WHEN event_id % 3 = 1 THEN 'agent' || (k % 5) END AS sender,
+    CASE WHEN event_id % 3 = 1 AND k % 7 <> 0 THEN 'agent' || ((k + 1) % 5) END AS recipient
+  FROM ev)"""
+
+
+def users(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("full_name"),
+                                              F.col("c_nationkey").alias("nation"), "c_mktsegment", "c_acctbal")
+
+
+def members(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("team_id"),
+        pick(ROLES, F.col("c_custkey") % 4).alias("role"))
+
+
+def project_teams(spark: SparkSession, d: str) -> DataFrame:
+    """Each nation is a team that owns the project of its region; region 4 has no team."""
+    return table(spark, d, "nation").where("n_regionkey < 4").select(
+        F.col("n_nationkey").cast("long").alias("team_id"), cat("p", F.col("n_regionkey")).alias("project_id"))
+
+
+MEMBERS = f"""
+members AS (SELECT c_custkey AS user_id, CAST(c_nationkey AS BIGINT) AS team_id,
+  {sql_pick(ROLES, 'c_custkey % 4')} AS role FROM customer),
+project_teams AS (SELECT CAST(n_nationkey AS BIGINT) AS team_id, 'p' || n_regionkey AS project_id FROM nation WHERE n_regionkey < 4)"""
+
+
+def projects(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "region").select(cat("p", F.col("r_regionkey")).alias("project_id"),
+                                            F.col("r_name").alias("name"))
+
+
+PROJECTS = "projects AS (SELECT 'p' || r_regionkey AS project_id, r_name AS name FROM region)"
+
+
+def subscriptions(spark: SparkSession, d: str) -> DataFrame:
+    """One subscription per order of the user, the newest order counts; tier by user."""
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("subscription_id"), F.col("o_custkey").alias("user_id"),
+        pick(TIERS, F.col("o_custkey") % 4).alias("tier"), F.col("o_orderstatus").alias("sub_status"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
+
+SUBSCRIPTIONS = f"""
+subscriptions AS (SELECT o_orderkey AS subscription_id, o_custkey AS user_id, {sql_pick(TIERS, 'o_custkey % 4')} AS tier,
+  o_orderstatus AS sub_status, o_orderdate AS created_at FROM orders)"""
+
+
+def replays(spark: SparkSession, d: str) -> DataFrame:
+    """One replay per order: original price against the discounted price of its lines."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_extendedprice").alias("price"),
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("discounted"),
+        F.sum("l_quantity").cast("long").alias("qty"), F.max("l_linenumber").cast("long").alias("lines"))
+    o = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    side = lambda cost, tokens, ms: F.struct(
+        ms.alias("total_duration_ms"), tokens.alias("total_tokens"), cost.alias("total_cost_usd"))
+    done = F.col("o_orderstatus") != "P"
+    return o.select(
+        F.col("o_orderkey").alias("execution_id"), cat("t", F.col("o_custkey")).alias("trace_id"),
+        cat("b", F.col("o_custkey") % 100).alias("batch_id"),
+        F.col("o_orderdate").cast("timestamp").alias("triggered_at"),
+        F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed")
+        .otherwise("running").alias("status"),
+        F.when(done, F.to_json(F.struct((F.col("qty") * 1.5).alias("total_duration_ms")))).alias("result"),
+        F.when(done, F.to_json(F.struct(
+            side(F.col("price"), F.col("qty"), F.col("qty") * 1.0).alias("original"),
+            side(F.col("discounted"), F.col("lines"), F.col("qty") * 1.5).alias("modified")))).alias("comparison"))
+
+
+REPLAYS = """
+replays AS (
+  SELECT o_orderkey AS execution_id, 't' || o_custkey AS trace_id, 'b' || (o_custkey % 100) AS batch_id,
+    o_orderdate AS triggered_at, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'running' END AS status,
+    o_orderstatus <> 'P' AS done, price, discounted, qty, lines
+  FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS price, sum(l_extendedprice * (1 - l_discount)) AS discounted,
+      CAST(sum(l_quantity) AS BIGINT) AS qty, max(l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey)
+    ON o_orderkey = l_orderkey)"""

@@ -130,7 +130,7 @@ def _(spark, d):
 
 @reg.add("d11_cost_map", with_(SPANS, E5) + """
 SELECT project_id, '{' || string_agg('"' || model || '":' || CAST(c AS VARCHAR), ',' ORDER BY model) || '}' AS cost_by_model
-FROM (SELECT project_id, model, round(sum(total_cost_usd), 2) AS c FROM e5 GROUP BY ALL) GROUP BY project_id""")
+FROM (SELECT project_id, model, CAST(round(CAST(sum(total_cost_usd) AS DECIMAL(28,6)), 2) AS DOUBLE) AS c FROM e5 GROUP BY ALL) GROUP BY project_id""")
 def _(spark, d):
     return A.cost_map(R.llm_usage_daily(spans(spark, d)), ["project_id"])
 
@@ -213,7 +213,7 @@ def _(spark, d):
 
 @reg.add("e11_vendor_comparison", with_(SPANS, E5) + f"""
 SELECT project_id, vendor, count(DISTINCT model) AS model_count, CAST(sum(call_count) AS BIGINT) AS total_calls,
-  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(total_cost_usd), 2) AS total_cost_usd,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(round(CAST(sum(total_cost_usd) AS DECIMAL(28,6)), 2) AS DOUBLE) AS total_cost_usd,
   round(avg(avg_latency_ms), 6) AS avg_latency_ms
 FROM e5 WHERE {DAYS.format(n=30)} GROUP BY project_id, vendor""")
 def _(spark, d):

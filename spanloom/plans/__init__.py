@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["rollups", "lookups", "analytics", "drift", "cost"]
+FAMILIES = ["rollups", "lookups", "analytics", "drift", "cost", "errors", "metering"]
 
 
 def _registries():

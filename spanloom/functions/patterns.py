@@ -90,91 +90,113 @@ FINDING_TYPE = ("array<struct<finding_type:string,severity:string,confidence:dou
 UNICODE = "(?U)"  # \b, \d and \s follow Unicode, as in Python
 
 
-def excerpt(text: Column) -> Column:
-    return F.when(F.length(text) > EXCERPT, F.concat(F.substring(text, 1, EXCERPT), F.lit("..."))).otherwise(text)
+# The expressions below are written as SQL text over a column name: hundreds of
+# nested parts parse in one call, where building them piece by piece takes seconds.
 
 
-def finding(kind: str, severity: str, confidence: float, matched: Column, name: str, location: str,
-            remediation: str) -> Column:
-    return F.struct(F.lit(kind).alias("finding_type"), F.lit(severity).alias("severity"),
-                    F.lit(confidence).alias("confidence"), matched.alias("matched_text"),
-                    F.lit(name).alias("pattern_name"), F.lit(location).alias("location"),
-                    F.lit(remediation).alias("remediation"))
+def _text(value: str) -> str:
+    return "r'" + value + "'" if "'" not in value else '"' + value.replace("\\", "\\\\") + '"'
 
 
-def injection_findings(text: Column, location: str) -> Column:
-    """First match of each injection pattern, in pattern order."""
+def _finding(kind: str, severity: str, confidence: float, matched: str, name: str, location: str, advice: str) -> str:
+    return (f"named_struct('finding_type', '{kind}', 'severity', '{severity}', 'confidence', {confidence}D, "
+            f"'matched_text', {matched}, 'pattern_name', '{name}', 'location', '{location}', 'remediation', {_text(advice)})")
 
-    def on(low: Column) -> Column:
-        found = [
-            F.when(F.contains(low, F.lit(ANCHORS[name])), finding(
-                kind, severity, confidence, excerpt(F.regexp_extract(text, f"(?i){UNICODE}{regex}", 0)), name, location, advice))
-            for kind, severity, confidence, advice, patterns in INJECTION_GROUPS for name, regex in patterns.items()
-        ]
-        return F.filter(F.array(*found), lambda f: f["matched_text"] != "")
 
-    return bind(F.lower(text), on)
+def _excerpt(text: str) -> str:
+    return f"if(length({text}) > {EXCERPT}, concat(left({text}, {EXCERPT}), '...'), {text})"
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row."""
-    return F.transform(F.array(value), lambda v: body(v))[0]
+def _bind(value: str, var: str, body: str) -> str:
+    """``body`` over ``var``, with ``value`` computed once per row."""
+    return f"transform(array({value}), {var} -> {body})[0]"
 
 
-def all_matches(text: Column, regex: str, anchor: str | None = None) -> Column:
-    matches = F.regexp_extract_all(text, F.lit(f"{UNICODE}{regex}"), F.lit(0))
-    if anchor is None:
-        return matches
-    return F.when(F.contains(text, F.lit(anchor)), matches).otherwise(F.array().cast("array<string>"))
+def _matches(text: str, regex: str, anchor: str | None = None) -> str:
+    found = f"regexp_extract_all({text}, {_text(UNICODE + regex)}, 0)"
+    return found if anchor is None else f"if(contains({text}, '{anchor}'), {found}, array())"
 
 
-def distinct_by(values: Column, key) -> Column:
-    """First value of each key, in order."""
+def _first_of_each(values: str, key: str) -> str:
+    """First value ``m`` of each ``key`` expression over m, in order."""
+    return _bind(values, "vs", _bind(f"transform(vs, m -> {key})", "ks",
+                                     "transform(array_distinct(ks), k -> element_at(vs, cast(array_position(ks, k) AS int)))"))
 
-    def on(vs: Column) -> Column:
-        return bind(F.transform(vs, lambda v: key(v)), lambda keys: F.transform(
-            F.array_distinct(keys), lambda k: F.element_at(vs, F.array_position(keys, k).cast("int"))))
 
-    return bind(values, on)
+def _injection(text: str, location: str) -> str:
+    found = []
+    for kind, severity, confidence, advice, patterns in INJECTION_GROUPS:
+        for name, regex in patterns.items():
+            hit = f"regexp_extract({text}, {_text('(?i)' + UNICODE + regex)}, 0)"
+            body = _bind(hit, "hit", _finding(kind, severity, confidence, _excerpt("hit"), name, location, advice))
+            found.append(f"if(contains(low, {_text(ANCHORS[name])}), {body}, null)")
+    return _bind(f"lower({text})", "low", f"filter(array({', '.join(found)}), f -> f.matched_text <> '')")
 
 
-def ssn_findings(text: Column, location: str) -> Column:
-    return F.transform(all_matches(text, SSN), lambda m: finding(
-        "pii_ssn", "CRITICAL", 0.95, F.lit("XXX-XX-XXXX"), "ssn", location, REMEDIATION["pii_ssn"]))
+def _ssn(text: str, location: str) -> str:
+    body = _finding("pii_ssn", "CRITICAL", 0.95, "'XXX-XX-XXXX'", "ssn", location, REMEDIATION["pii_ssn"])
+    return f"transform({_matches(text, SSN)}, m -> {body})"
 
 
-def card_findings(text: Column, location: str) -> Column:
-    """Card-shaped numbers that pass the Luhn check, last four digits kept."""
-    digits = F.transform(all_matches(text, CARD), lambda m: F.regexp_replace(m, f"{UNICODE}[\\s-]", ""))
-    valid = F.filter(digits, lambda d: F.call_function("luhn_check", d))
-    return F.transform(valid, lambda d: finding(
-        "pii_credit_card", "CRITICAL", 0.95, F.concat(F.lit("****-****-****-"), F.right(d, F.lit(4))), "credit_card",
-        location, REMEDIATION["pii_credit_card"]))
+def _card(text: str, location: str) -> str:
+    digits = f"transform({_matches(text, CARD)}, m -> regexp_replace(m, {_text(UNICODE + '[\\s-]')}, ''))"
+    body = _finding("pii_credit_card", "CRITICAL", 0.95, "concat('****-****-****-', right(d, 4))", "credit_card", location,
+                    REMEDIATION["pii_credit_card"])
+    return f"transform(filter({digits}, d -> luhn_check(d)), d -> {body})"
+
+
+def _email(text: str, location: str) -> str:
+    body = _finding("pii_email", "MEDIUM", 0.90, _excerpt("m"), "email_address", location, REMEDIATION["pii_email"])
+    return f"transform({_first_of_each(_matches(text, EMAIL, '@'), 'lower(m)')}, m -> {body})"
+
+
+def _phone(text: str, location: str) -> str:
+    digits = f"regexp_replace(m, {_text(UNICODE + '[\\s().-]')}, '')"
+    body = _finding("pii_phone", "MEDIUM", 0.80, _excerpt("m"), "phone_number", location, REMEDIATION["pii_phone"])
+    return f"transform({_first_of_each(_matches(text, PHONE), digits)}, m -> {body})"
+
+
+def _keys(text: str, location: str) -> str:
+    vendors = []
+    for name, regex in API_KEYS.items():
+        body = _finding("api_key_leak", "HIGH", 0.92, "concat(left(m, 8), '...')", name, location,
+                        REMEDIATION["api_key_leak"] % name)
+        vendors.append(f"transform({_matches(text, regex, KEY_ANCHORS[name])}, m -> {body})")
+    return f"concat({', '.join(vendors)})"
+
 
+def _leaks(text: str, location: str) -> str:
+    return f"concat({', '.join(part(text, location) for part in (_ssn, _card, _email, _phone, _keys))})"
+
+
+def injection_findings(text: str, location: str) -> Column:
+    """First match of each injection pattern in column ``text``, in pattern order."""
+    return F.expr(_injection(text, location))
+
+
+def ssn_findings(text: str, location: str) -> Column:
+    return F.expr(_ssn(text, location))
+
+
+def card_findings(text: str, location: str) -> Column:
+    """Card-shaped numbers that pass the Luhn check, last four digits kept."""
+    return F.expr(_card(text, location))
 
-def email_findings(text: Column, location: str) -> Column:
-    return F.transform(distinct_by(all_matches(text, EMAIL, "@"), F.lower), lambda m: finding(
-        "pii_email", "MEDIUM", 0.90, excerpt(m), "email_address", location, REMEDIATION["pii_email"]))
 
+def email_findings(text: str, location: str) -> Column:
+    return F.expr(_email(text, location))
 
-def phone_findings(text: Column, location: str) -> Column:
-    digits = lambda m: F.regexp_replace(m, f"{UNICODE}[\\s().-]", "")
-    return F.transform(distinct_by(all_matches(text, PHONE), digits), lambda m: finding(
-        "pii_phone", "MEDIUM", 0.80, excerpt(m), "phone_number", location, REMEDIATION["pii_phone"]))
 
+def phone_findings(text: str, location: str) -> Column:
+    return F.expr(_phone(text, location))
 
-def key_findings(text: Column, location: str) -> Column:
-    def of_vendor(name: str, regex: str) -> Column:
-        return F.transform(all_matches(text, regex, KEY_ANCHORS[name]), lambda m: finding(
-            "api_key_leak", "HIGH", 0.92, F.concat(F.substring(m, 1, 8), F.lit("...")), name, location,
-            REMEDIATION["api_key_leak"] % name))
 
-    return F.concat(*[of_vendor(name, regex) for name, regex in API_KEYS.items()])
+def key_findings(text: str, location: str) -> Column:
+    return F.expr(_keys(text, location))
 
 
-def leak_findings(text: Column, location: str) -> Column:
-    return F.concat(ssn_findings(text, location), card_findings(text, location), email_findings(text, location),
-                    phone_findings(text, location), key_findings(text, location))
+def leak_findings(text: str, location: str) -> Column:
+    return F.expr(_leaks(text, location))
 
 
 def redact(text: Column) -> Column:

@@ -38,11 +38,15 @@ def max_severity(findings: Column) -> Column:
 def scan(spans: DataFrame) -> DataFrame:
     """Findings, overall severity and confidence of every span."""
     none = F.array().cast(FINDING_TYPE)
-    prompt, response = F.col("prompt"), F.col("response")
     findings = F.concat(
-        F.when(F.trim(prompt) != "", F.concat(injection_findings(prompt, "prompt"), leak_findings(prompt, "prompt"))).otherwise(none),
-        F.when(F.trim(response) != "", F.concat(leak_findings(response, "response"), injection_findings(response, "response"))).otherwise(none))
-    rows = with_texts(spans).withColumn("findings", findings).drop("prompt", "response")
+        F.when(F.trim("prompt") != "", F.concat(
+            injection_findings("prompt", "prompt"), leak_findings("prompt", "prompt"))).otherwise(none),
+        F.when(F.trim("response") != "", F.concat(
+            leak_findings("response", "response"), injection_findings("response", "response"))).otherwise(none))
+    # explode of a one-element array keeps later filters from repeating the pattern search
+    rows = with_texts(spans)
+    kept = [c for c in rows.columns if c not in ("prompt", "response")]
+    rows = rows.select(*kept, F.explode(F.array(findings)).alias("findings"))
     return rows.withColumns({
         "overall_severity": max_severity(F.col("findings")),
         "overall_confidence": F.coalesce(F.array_max(F.transform("findings", lambda f: f["confidence"])), F.lit(0.0)),
@@ -51,7 +55,7 @@ def scan(spans: DataFrame) -> DataFrame:
 
 def text_findings(texts: DataFrame, text: str, detector, location: str = "prompt") -> DataFrame:
     """One row per finding of one detector over a text column."""
-    return texts.select(*[c for c in texts.columns if c != text], F.explode(detector(F.col(text), location)).alias("f")).select(
+    return texts.select(*[c for c in texts.columns if c != text], F.explode(detector(text, location)).alias("f")).select(
         *[c for c in texts.columns if c != text], "f.*")
 
 
@@ -95,12 +99,13 @@ def evaluate_guardrails(spans: DataFrame, configs: DataFrame) -> DataFrame:
     content_filter), phase (input, output), action, limit (tokens or NULL), words.
     """
     rows = with_attrs(with_texts(spans), {"_tokens": ("llm.total_tokens", "int")})
-    flags = rows.select(
-        "span_id", "trace_id", "project_id", "started_at", "_tokens", "prompt", "response",
-        (F.size(leak_findings(F.col("prompt"), "prompt")) > 0).alias("pii_in"),
-        (F.size(leak_findings(F.col("response"), "response")) > 0).alias("pii_out"),
-        (F.size(injection_findings(F.col("prompt"), "prompt")) > 0).alias("inj_in"),
-        (F.size(injection_findings(F.col("response"), "response")) > 0).alias("inj_out"))
+    checks = F.struct(
+        (F.size(leak_findings("prompt", "prompt")) > 0).alias("pii_in"),
+        (F.size(leak_findings("response", "response")) > 0).alias("pii_out"),
+        (F.size(injection_findings("prompt", "prompt")) > 0).alias("inj_in"),
+        (F.size(injection_findings("response", "response")) > 0).alias("inj_out"))
+    flags = rows.select("span_id", "trace_id", "project_id", "started_at", "_tokens", "prompt", "response",
+                        F.inline(F.array(checks)))
     joined = flags.join(configs.where("enabled"), "project_id")
     into = F.col("phase") == "input"
     text = F.when(into, F.col("prompt")).otherwise(F.col("response"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["rollups", "lookups", "analytics", "drift", "cost", "errors", "metering", "security"]
+FAMILIES = ["sources", "rollups", "lookups", "analytics", "drift", "cost", "errors", "metering", "security"]
 
 
 def _registries():

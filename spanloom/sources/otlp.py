@@ -58,11 +58,13 @@ def entries_json(entries: Column) -> Column:
 
 def span_type_of(keys: Column, kind: Column) -> Column:
     """Span type by key prefix; without a known prefix by span kind."""
-    out = None
-    for name, prefixes in TYPE_PREFIXES:
-        hit = F.exists(keys, lambda k, ps=prefixes: F.rlike(k, F.lit("^(" + "|".join(p.replace(".", "\\.") for p in ps) + ")")))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.when(kind == SERVER_KIND, "tool").otherwise("custom")
+
+    def any_with(prefixes: list[str]) -> Column:
+        pattern = "^(" + "|".join(p.replace(".", "\\.") for p in prefixes) + ")"
+        return F.exists(keys, lambda k: k.rlike(pattern))
+
+    by_key = F.coalesce(*[F.when(any_with(prefixes), F.lit(name)) for name, prefixes in TYPE_PREFIXES])
+    return F.coalesce(by_key, F.when(kind == SERVER_KIND, F.lit("tool")), F.lit("custom"))
 
 
 def nanos_timestamp(nanos: Column, fallback: Column) -> Column:

@@ -85,7 +85,8 @@ def span_rows(payloads: DataFrame, as_of: Column, column: str = "payload") -> Da
     """All spans of all payloads, with the service name of their resource."""
     project = F.col("project_id") if "project_id" in payloads.columns else F.lit("default")
     resources = payloads.select(project.alias("project_id"), F.explode(F.from_json(column, PAYLOAD)["resourceSpans"]).alias("r"))
-    service = F.get_json_object(entries_json(attribute_entries(F.col("r.resource.attributes"))), "$['service.name']")
+    named = F.filter("r.resource.attributes", lambda a: a["key"] == "service.name")
+    service = F.try_element_at(named, F.lit(-1))["value"]["stringValue"]
     scopes = resources.select("project_id", F.coalesce(service, F.lit("unknown")).alias("service_name"),
                               F.explode("r.scopeSpans").alias("sc"))
     rows = scopes.select("project_id", "service_name", F.explode("sc.spans").alias("s"))

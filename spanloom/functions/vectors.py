@@ -42,3 +42,22 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+@F.pandas_udf("array<struct<score:double,chunk:int>>")
+def best_ratios(claims: pd.Series, chunks: pd.Series) -> pd.Series:
+    """For each claim of a row the best ratio over the row's chunks; the first chunk wins ties."""
+    from difflib import SequenceMatcher
+
+    def row(cs, ks):
+        out = []
+        for c in cs:
+            best, at = 0.0, -1
+            for i, k in enumerate(ks):
+                r = SequenceMatcher(None, c.lower(), k.lower()).ratio()
+                if r > best:
+                    best, at = r, i
+            out.append({"score": best, "chunk": at})
+        return out
+
+    return pd.Series([row(c, k) for c, k in zip(claims, chunks)])

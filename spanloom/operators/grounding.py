@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attrs import with_attrs
-from ..functions.vectors import jaccard, sequence_ratio, words
+from ..functions.vectors import best_ratios, jaccard, words
 
 # ---- fixed values ----
 SENTENCE_GAP = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
@@ -91,18 +91,15 @@ def assess(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def assess_by_ratio(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Like ``assess`` with the matching-block ratio as score; pairs stay inside their span."""
-    pairs = (
-        rows.select("span_id", "chunks", F.explode("claims").alias("c"))
-        .select("span_id", "c", F.posexplode("chunks").alias("context_index", "chunk"))
-        .withColumn("score", sequence_ratio(F.lower("c.text"), F.lower("chunk")))
-    )
-    best = F.max(F.struct("score", (-F.col("context_index")).alias("order"), "chunk"))
-    out = pairs.groupBy("span_id", F.col("c.index").alias("sentence_index"), F.col("c.text").alias("claim")).agg(best.alias("b"))
-    grounded = F.col("b.score") >= threshold
-    return out.select("span_id", "sentence_index", "claim", grounded.alias("is_grounded"), F.col("b.score").alias("similarity"),
-                      F.when(grounded, -F.col("b.order")).alias("context_index"),
-                      F.when(grounded, F.col("b.chunk")).alias("supporting_context"))
+    """Like ``assess`` with the matching-block ratio as score, computed per span in Arrow batches."""
+    best = best_ratios(F.transform("claims", lambda c: c["text"]), F.col("chunks"))
+    out = rows.withColumn("_b", best).select(
+        "span_id", "chunks", F.explode(F.arrays_zip("claims", "_b")).alias("z")).select("span_id", "chunks", "z.*")
+    grounded = F.col("_b.score") >= threshold
+    index = F.when(grounded & (F.col("_b.chunk") >= 0), F.col("_b.chunk"))
+    return out.select(
+        "span_id", F.col("claims.index").alias("sentence_index"), F.col("claims.text").alias("claim"), grounded.alias("is_grounded"),
+        F.col("_b.score").alias("similarity"), index.alias("context_index"), F.try_element_at("chunks", index + 1).alias("supporting_context"))
 
 
 def verdicts(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["sources", "rollups", "lookups", "analytics", "drift", "cost", "errors", "metering", "security", "text"]
+FAMILIES = ["sources", "rollups", "lookups", "analytics", "drift", "cost", "errors", "metering", "security", "text", "streams"]
 
 
 def _registries():

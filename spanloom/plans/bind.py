@@ -47,12 +47,21 @@ def cat(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def typed(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
+        "k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        table(spark, d, "events")
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-        .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    )
+    return typed(table(spark, d, "events"))
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as a file stream."""
+    from ..streaming.jobs import file_stream
+
+    schema = spark.read.parquet(f"{d.rstrip('/')}/events.parquet").schema
+    return typed(file_stream(spark, d, schema, pattern="events.parquet"))
 
 
 def _with_trace_id(ev: DataFrame) -> DataFrame:
@@ -93,6 +102,11 @@ def spans(spark: SparkSession, d: str, *, parents: bool = False) -> DataFrame:
             F.when(F.col("event_id") == F.col("_first"), "").otherwise(F.col("_first").cast("string")))
     else:
         ev = ev.withColumn("parent_span_id", F.lit(None).cast("string"))
+    return spans_from(ev)
+
+
+def spans_from(ev: DataFrame) -> DataFrame:
+    """Span columns of events that carry trace_id and parent_span_id."""
     span_type = pick(SPAN_TYPES, F.col("event_id") % 4)
     return ev.select(
         F.col("event_id").cast("string").alias("span_id"),
@@ -150,6 +164,10 @@ spans AS (
   FROM ev)"""
 
 
+def span_stream(spark: SparkSession, d: str) -> DataFrame:
+    return spans_from(_with_trace_id(event_stream(spark, d)).withColumn("parent_span_id", F.lit("")))
+
+
 def traces(spark: SparkSession, d: str) -> DataFrame:
     """One trace per user and day, with the workflow keys of its first span."""
     ev = _with_trace_id(events(spark, d))

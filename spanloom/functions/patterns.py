@@ -61,18 +61,18 @@ API_KEYS = {
     "slack_bot_token": r"xoxb-[0-9a-zA-Z-]+",
     "google_api_key": r"AIza[0-9A-Za-z_-]{35}",
 }
-# ---- fixed values: lower-case text every match of a pattern contains --------------------------------
-# (free of the letters s and k, which other characters fold to); skips the regex on most texts
+# ---- fixed values: lower-case parts every match of a pattern contains -------------------------------
+# (free of the letters s and k, which other characters fold to); they skip the regex on most texts
 ANCHORS = {
-    "ignore_previous": "ignore", "disregard_previous": "regard", "forget_everything": "forget",
-    "new_instructions": "new", "override_system": "override", "do_not_follow": "follow",
-    "dan_mode": "dan", "you_are_dan": "dan", "developer_mode": "developer", "act_without_restrictions": "act",
-    "pretend_no_guidelines": "pretend", "hypothetical_scenario": "hypothetical",
-    "system_role_inject": "you", "system_tag_inject": "<|", "system_bracket_inject": "[",
-    "system_xml_inject": "<", "assistant_role_inject": "<|",
-    "base64_decode": "64", "eval_call": "eval", "exec_call": "exec", "dunder_import": "__import__",
-    "hex_encode_trick": "\\x", "closing_prompt_tag": "</prompt>", "end_marker": "---",
-    "triple_backtick_boundary": "```", "xml_closing_tags": ">",
+    "ignore_previous": ("ignore", "previou"), "disregard_previous": ("regard", "previou"), "forget_everything": ("forget",),
+    "new_instructions": ("new", "truction", ":"), "override_system": ("override",), "do_not_follow": ("not", "follow"),
+    "dan_mode": ("dan", "mode"), "you_are_dan": ("you", "now", "dan"), "developer_mode": ("developer", "mode"),
+    "act_without_restrictions": ("act", "triction"), "pretend_no_guidelines": ("pretend",),
+    "hypothetical_scenario": ("hypothetical",), "system_role_inject": ("tem", ":", "you", "are"),
+    "system_tag_inject": ("<|",), "system_bracket_inject": ("[", "tem]"), "system_xml_inject": ("<", "tem>"),
+    "assistant_role_inject": ("<|",), "base64_decode": ("64", "code"), "eval_call": ("eval", "("), "exec_call": ("exec", "("),
+    "dunder_import": ("__import__",), "hex_encode_trick": ("\\x",), "closing_prompt_tag": ("</prompt>",), "end_marker": ("---", "end"),
+    "triple_backtick_boundary": ("```",), "xml_closing_tags": ("<", ">"),
 }
 KEY_ANCHORS = {"aws_access_key": "AKIA", "stripe_secret_key": "sk_live_", "github_pat": "ghp_", "openai_api_key": "sk-",
                "slack_bot_token": "xoxb-", "google_api_key": "AIza"}
@@ -129,7 +129,8 @@ def _injection(text: str, location: str) -> str:
         for name, regex in patterns.items():
             hit = f"regexp_extract({text}, {_text('(?i)' + UNICODE + regex)}, 0)"
             body = _bind(hit, "hit", _finding(kind, severity, confidence, _excerpt("hit"), name, location, advice))
-            found.append(f"if(contains(low, {_text(ANCHORS[name])}), {body}, null)")
+            present = " AND ".join(f"contains(low, {_text(part)})" for part in ANCHORS[name])
+            found.append(f"if({present}, {body}, null)")
     return _bind(f"lower({text})", "low", f"filter(array({', '.join(found)}), f -> f.matched_text <> '')")
 
 

@@ -42,13 +42,18 @@ def value_literal(v: Column) -> Column:
 
 
 def attribute_entries(attrs: Column) -> Column:
-    """(key, literal) entries without empty keys or NULL values; of a repeated key the last."""
+    """Map key -> literal without empty keys or NULL values; of a repeated key the last counts."""
     entries = F.filter(
         F.transform(attrs, lambda a: F.named_struct(F.lit("key"), a["key"], F.lit("literal"), value_literal(a["value"]))),
         lambda e: (F.coalesce(e["key"], F.lit("")) != "") & e["literal"].isNotNull())
-    return F.map_from_entries(F.transform(
-        F.array_distinct(F.transform(entries, lambda e: e["key"])),
-        lambda k: F.named_struct(F.lit("key"), k, F.lit("literal"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["literal"])))
+
+    def as_map(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
+        return F.map_from_arrays(keys, F.transform(
+            keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["literal"]))
+
+    # one-element array: the decoded entries are computed once per row
+    return F.transform(F.array(entries), as_map)[0]
 
 
 def entries_json(entries: Column) -> Column:
@@ -90,8 +95,9 @@ def span_rows(payloads: DataFrame, as_of: Column, column: str = "payload") -> Da
     scopes = resources.select("project_id", F.coalesce(service, F.lit("unknown")).alias("service_name"),
                               F.explode("r.scopeSpans").alias("sc"))
     rows = scopes.select("project_id", "service_name", F.explode("sc.spans").alias("s"))
+    # explode of one element: later columns read the decoded attributes, not decode them again
+    rows = rows.select("*", F.explode(F.array(attribute_entries(F.col("s.attributes")))).alias("entries"))
     rows = rows.withColumns({
-        "entries": attribute_entries(F.col("s.attributes")),
         "started_at": nanos_timestamp(F.col("s.startTimeUnixNano"), as_of),
         "ended_at": nanos_timestamp(F.col("s.endTimeUnixNano"), as_of)})
     empty = F.lit("")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def _fold(values: Column) -> Column:
@@ -36,7 +36,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts, batch-wise through Arrow."""
     from difflib import SequenceMatcher
@@ -44,7 +44,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("array<struct<score:double,chunk:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("chunk", T.IntegerType())])))
 def best_ratios(claims: pd.Series, chunks: pd.Series) -> pd.Series:
     """For each claim of a row the best ratio over the row's chunks; the first chunk wins ties."""
     from difflib import SequenceMatcher

@@ -275,7 +275,7 @@ def parse_analysis(responses: DataFrame, text: str = "response") -> DataFrame:
         "explanation": blank_to(section("EXPLANATION", "FIX_SUGGESTIONS", "CONFIDENCE"),
                                 "Review the execution timeline for details."),
         "fix_suggestions": F.when(F.size(fixes) > 0, fixes).otherwise(F.array(F.lit("Review span details for more context"))),
-        "confidence": F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), F.lit(0.5))})
+        "confidence": F.when(conf.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))})
 
 
 def parse_explanation(responses: DataFrame, text: str = "response") -> DataFrame:

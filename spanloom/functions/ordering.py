@@ -1,7 +1,8 @@
 """Ordered operations per key that do not put a whole key into one task.
 
 A plain ``row_number() over (partition by key)`` sends a hot key to a single
-task. The helpers here cut each key into time buckets, carry a small summary
+task. The helpers here carry the key as one struct column (never NULL, so NULL
+keys join by plain equality and the window reuses the join's partitioning), cut each key into time buckets, carry a small summary
 (a count, a sum, the last row) across the buckets, and finish inside buckets.
 Top-k by ``row_number() <= k`` needs none of this: Spark prunes to k rows per
 task before the shuffle.
@@ -11,8 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .quantiles import same_keys
-
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
 MINUTE_US = 60_000_000
@@ -28,18 +27,18 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
 
     ``bucket`` must not decrease along ``order``.
     """
-    rows = df.withColumn("_b", bucket)
+    rows = df.withColumns({"_key": F.struct(*keys), "_b": bucket})
     for name, expr in sums.items():
         rows = rows.withColumn(f"_x_{name}", expr)
-    totals = rows.groupBy(*keys, "_b").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_key", "_b").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
+        "_key", "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = Window.partitionBy("_key", "_b").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    joined = same_keys(rows, offsets, [*keys, "_b"])
+    joined = rows.join(offsets, ["_key", "_b"])
     out = joined.withColumns({n: F.col(f"_o_{n}") + F.sum(f"_x_{n}").over(inside) for n in sums})
-    return out.drop("_b", *[f"_x_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    return out.drop("_key", "_b", *[f"_x_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
 def position(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
@@ -50,18 +49,17 @@ def position(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]
 def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
              values: dict[str, str]) -> DataFrame:
     """``lag`` per key: ``{output: source column}``; ``order`` are ascending column names."""
-    rows = df.withColumn("_b", bucket)
+    rows = df.withColumns({"_key": F.struct(*keys), "_b": bucket})
     payload = F.struct(*[F.col(src).alias(out) for out, src in values.items()])
-    tail = rows.groupBy(*keys, "_b").agg(
-        F.max_by(payload, F.struct(*order)).alias("_tail"))
-    by_bucket = Window.partitionBy(*keys).orderBy("_b")
-    carried = tail.select(*keys, "_b", F.lag("_tail").over(by_bucket).alias("_carry"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
-    joined = same_keys(rows, carried, [*keys, "_b"]).withColumn("_first", F.row_number().over(inside) == 1)
+    tail = rows.groupBy("_key", "_b").agg(F.max_by(payload, F.struct(*order)).alias("_tail"))
+    by_bucket = Window.partitionBy("_key").orderBy("_b")
+    carried = tail.select("_key", "_b", F.lag("_tail").over(by_bucket).alias("_carry"))
+    inside = Window.partitionBy("_key", "_b").orderBy(*order)
+    joined = rows.join(carried, ["_key", "_b"]).withColumn("_first", F.row_number().over(inside) == 1)
     return joined.withColumns({
         out: F.when(F.col("_first"), F.col(f"_carry.{out}")).otherwise(F.lag(src).over(inside))
         for out, src in values.items()
-    }).drop("_b", "_carry", "_first")
+    }).drop("_key", "_b", "_carry", "_first")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:

@@ -5,6 +5,10 @@ values are first counted per (group, bin, value), where the bin is a monotone
 function of the value; a running sum over the few bins of a group finds the bin
 that holds each wanted rank, and only those bins are ranked value by value. No
 task ever sees more than one bin of one group.
+
+Groups are carried as one struct column: a struct is never NULL, so groups with
+NULL keys join by plain equality, and the window after the join reuses the
+partitioning of the join.
 """
 
 from __future__ import annotations
@@ -32,18 +36,22 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],
-                    resolution: int = BINS_PER_E_FOLD) -> DataFrame:
-    """One row per group with linearly interpolated quantiles ``{column: q}``."""
-    counts = (
+def value_counts(df: DataFrame, keys: list[str], value: str, resolution: int = BINS_PER_E_FOLD) -> DataFrame:
+    """Rows per (group, bin, value); counted before the shuffle and spread over bins and values."""
+    return (
         df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
+        .select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_v"))
         .withColumn("_bin", value_bin(F.col("_v"), resolution))
-        .groupBy(*keys, "_bin", "_v")
-        .agg(F.count("*").alias("_n"))
+        .groupBy("_key", "_bin", "_v").agg(F.count("*").alias("_n"))
     )
-    per_bin = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in_bin"))
-    group = Window.partitionBy(*keys)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],
+                    resolution: int = BINS_PER_E_FOLD) -> DataFrame:
+    """One row per group with linearly interpolated quantiles ``{column: q}``."""
+    counts = value_counts(df, keys, value, resolution)
+    per_bin = counts.groupBy("_key", "_bin").agg(F.sum("_n").alias("_in_bin"))
+    group = Window.partitionBy("_key")
     running = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = F.array(*[
         F.struct(F.lit(name).alias("name"),
@@ -62,12 +70,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
         .where(F.exists("_ranks", lambda r: (
             ((r["lo"] >= F.col("_start")) & (r["lo"] < F.col("_end")))
             | ((r["hi"] >= F.col("_start")) & (r["hi"] < F.col("_end"))))))
-        .select(*keys, "_bin", "_start", "_ranks")
+        .select("_key", "_bin", "_start", "_ranks")
     )
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(
+    in_bin = Window.partitionBy("_key", "_bin").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        same_keys(counts, located, [*keys, "_bin"])
+        counts.join(located, ["_key", "_bin"])
         .withColumn("_to", F.col("_start") + F.sum("_n").over(in_bin))
         .withColumn("_from", F.col("_to") - F.col("_n"))
     )
@@ -82,7 +90,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str
         hi = F.max(F.when(holds(i, "hi"), F.col("_v")))
         frac = F.max(F.col("_ranks")[i]["pos"] - F.col("_ranks")[i]["lo"])
         aggs.append((lo + (hi - lo) * frac).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs)
+    return ranked.groupBy("_key").agg(*aggs).select("_key.*", *wanted)
 
 
 def agg_with_quantiles(df: DataFrame, keys: list[str], aggs: list[Column],
@@ -96,27 +104,22 @@ def agg_with_quantiles(df: DataFrame, keys: list[str], aggs: list[Column],
 
 def order_statistic(df: DataFrame, keys: list[str], value: str, position: Column, out: str) -> DataFrame:
     """Value at a 0-based rank ``position`` (an expression over ``_total``) per group."""
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
-        .withColumn("_bin", value_bin(F.col("_v")))
-        .groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_n"))
-    )
-    group = Window.partitionBy(*keys)
+    counts = value_counts(df, keys, value)
+    group = Window.partitionBy("_key")
     running = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     located = (
-        counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_in_bin"))
+        counts.groupBy("_key", "_bin").agg(F.sum("_n").alias("_in_bin"))
         .withColumns({"_end": F.sum("_in_bin").over(running), "_total": F.sum("_in_bin").over(group)})
         .withColumn("_start", F.col("_end") - F.col("_in_bin"))
         .withColumn("_rank", position.cast("long"))
         .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-        .select(*keys, "_bin", "_start", "_rank")
+        .select("_key", "_bin", "_start", "_rank")
     )
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(
+    in_bin = Window.partitionBy("_key", "_bin").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
-        same_keys(counts, located, [*keys, "_bin"])
+        counts.join(located, ["_key", "_bin"])
         .withColumn("_to", F.col("_start") + F.sum("_n").over(in_bin))
         .where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_n")))
-        .select(*keys, F.col("_v").alias(out))
+        .select("_key.*", F.col("_v").alias(out))
     )

@@ -23,7 +23,8 @@ BINS_PER_E_FOLD = 64
 def value_bin(value: Column, resolution: int = BINS_PER_E_FOLD) -> Column:
     """Monotone logarithmic bin of a double."""
     v = value.cast("double")
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * resolution)).cast("long")
+    size = F.least(F.abs(v), F.lit(1.7e308))  # infinities share the outermost bin
+    return (F.signum(v) * F.floor(F.log1p(size) * resolution)).cast("long")
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -37,11 +38,16 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, resolution: int = BINS_PER_E_FOLD) -> DataFrame:
-    """Rows per (group, bin, value); counted before the shuffle and spread over bins and values."""
+    """Rows per (group, bin, value); counted before the shuffle and spread over bins and values.
+
+    NULL and NaN values are left out. The bin filter only states what the later
+    join implies, so that both readers of the counts share one exchange.
+    """
     return (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_v"))
         .withColumn("_bin", value_bin(F.col("_v"), resolution))
+        .where(F.col("_bin").isNotNull())
         .groupBy("_key", "_bin", "_v").agg(F.count("*").alias("_n"))
     )
 

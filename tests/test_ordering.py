@@ -44,6 +44,12 @@ def test_quantiles_with_aggregates_and_null_values(spark):
     assert got == {"a": (2, 1.0), "b": (1, None)}
 
 
+def test_quantiles_of_odd_values(spark):
+    df = spark.createDataFrame([("a", float("inf")), ("a", float("-inf")), ("a", 1.0), ("a", float("nan")), ("b", -0.0)], "key string, v double")
+    got = {r["key"]: (r["lo"], r["mid"], r["hi"]) for r in exact_quantiles(df, ["key"], "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}).collect()}
+    assert got["a"][1] == 1.0 and got["b"][1] == 0.0
+
+
 def test_order_statistic(df, rows):
     got = {r["key"]: r["p"] for r in order_statistic(df, ["key"], "v", F.floor(F.col("_total") * F.lit(0.95)), "p").collect()}
     for key, part in groups(rows):

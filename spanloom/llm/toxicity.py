@@ -2,15 +2,16 @@
 
 Texts are folded to 32 symbols (letters without accents, space, digit, other), so there
 are exactly 2**20 4-grams, and every table has that many entries, however large the corpus.
+A 4-gram counts once per text, so that one text that repeats itself weighs no more than others.
 Counts of each class come from labelled rows; the lower order, to which both classes back off,
 is the continuation distribution of 4-gram types over all texts:
 
     P_c(x | abc) = max(n_c(abcx) - D, 0) / n_c(abc) + D t_c(abc) / n_c(abc) * P(x | bc)
 
 P is shared, so it cancels where neither class knows an expression, and rare expressions move
-little. A text's log-likelihood ratio is divided by its length. A logistic curve turns it
-into a score; it is fitted to ratios of labelled rows under a model that hasn't seen them
-(two halves, each rated by the other's model).
+little. A text's log-likelihood ratio is divided by its length in different 4-grams. A logistic
+curve turns it into a score; it is fitted to ratios of labelled rows under a model that hasn't
+seen them (``FOLDS`` parts, each rated by the model of the others).
 
 At most ``max_labels`` labelled rows (those with the least hashes of the id) are used, which
 bounds what is broadcast. Counts of the shared order cover all rows.
@@ -35,6 +36,7 @@ ORDER, BITS = 4, 5
 SIZE = 1 << (ORDER * BITS)
 DISCOUNT = 0.75
 BINS = 4000
+FOLDS = 4
 RANGE = 2.0
 
 
@@ -55,10 +57,17 @@ def folding() -> np.ndarray:
 
 
 FOLD = folding()
+_SCRATCH: list[np.ndarray] = []
+
+
+def scratch() -> np.ndarray:
+    if not _SCRATCH:
+        _SCRATCH.append(np.zeros(SIZE, np.int32))
+    return _SCRATCH[0]
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """4-grams of all texts (each framed by spaces) and the row of each."""
+    """Different 4-grams of each text (framed by spaces) and the row of each."""
     texts = strings(column)
     joined = " " + " ".join(texts) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -70,8 +79,13 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         g = (g << BITS) + x[k:k + len(g)]
     # a frame is a text with the spaces around it; 4-grams over two frames are dropped
     same = row[:len(g)] == row[2:2 + len(g)]
-    row = row[2:2 + len(g)]
-    return g[same], row[same]
+    g, row = g[same], row[2:2 + len(g)][same]
+    # the last place of each 4-gram in its text stays
+    last, place, kept = scratch(), np.arange(len(g), dtype=np.int32), np.zeros(len(g), bool)
+    for a, b in zip(*(np.searchsorted(row, np.arange(len(texts)), side=s).tolist() for s in ("left", "right"))):
+        last[g[a:b]] = place[a:b]
+        kept[a:b] = last[g[a:b]] == place[a:b]
+    return g[kept], row[kept]
 
 
 def ratios(toxic: np.ndarray, plain: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -95,12 +109,12 @@ def ratios(toxic: np.ndarray, plain: np.ndarray, seen: np.ndarray) -> np.ndarray
 
 
 def label_codes(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, modulus: int, held: int, max_labels: int) -> dict:
-    """doc_id -> (class, half), for at most ``max_labels`` labelled training rows."""
+    """doc_id -> (class, fold), for at most ``max_labels`` labelled training rows."""
     key, f = F.col(f"`{doc_id}`"), fold(doc_id)
     rows = (labels.where(F.col(f"`{label}`").isin(0, 1) & key.isNotNull() & (f % modulus != held))
             .groupBy(key.alias("k")).agg(F.min(F.col(f"`{label}`").cast("int")).alias("y"))
             .orderBy(F.xxhash64("k"), "k").limit(max_labels))
-    return {r.k: (r.y, i % 2) for i, r in enumerate(rows.collect())}
+    return {r.k: (r.y, i % FOLDS) for i, r in enumerate(rows.collect())}
 
 
 def model(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_labels: int = 262_144) -> Shared:
@@ -109,31 +123,32 @@ def model(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     codes = Shared(spark, label_codes(docs, labels, doc_id, label, 4, 2, max_labels))
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
 
+    names = [f"c{k}" for k in range(2 * FOLDS)] + ["n"]
+
     def counted(batches):
-        known, total = codes.value, np.zeros((5, SIZE), np.int64)
+        known, total = codes.value, np.zeros((2 * FOLDS + 1, SIZE), np.int32)
         for batch in slices(batches, limit=2 << 20):
             g, row = grams(batch.column(1))
-            total[4] += np.bincount(g, minlength=SIZE)
-            group = np.array([2 * c[0] + c[1] if (c := known.get(i)) else -1 for i in batch.column(0).to_pylist()])
-            own = group[row] if len(g) else group[:0]
-            for k in range(4):
-                if (group == k).any():
-                    total[k] += np.bincount(g[own == k], minlength=SIZE)
-        at = np.flatnonzero(total[4])
+            total[-1] += np.bincount(g, minlength=SIZE).astype(np.int32)
+            group = np.array([FOLDS * c[0] + c[1] if (c := known.get(i)) else -1 for i in batch.column(0).to_pylist()])
+            own = group[row]
+            for k in np.unique(group[group >= 0]):
+                total[k] += np.bincount(g[own == k], minlength=SIZE).astype(np.int32)
+        at = np.flatnonzero(total[-1])
         for part in np.array_split(at, -(-len(at) // 50_000)) if len(at) else []:
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(total[k][part]) for k in range(5)]], ["g", "p0", "p1", "t0", "t1", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(t[part].astype(np.int64)) for t in total]], ["g", *names])
 
-    per_task = narrow.mapInArrow(counted, "g int, p0 long, p1 long, t0 long, t1 long, n long")
-    found = per_task.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("p0", "p1", "t0", "t1", "n")]).toArrow()  # 2**20 rows at most
-    dense = np.zeros((5, SIZE))
+    per_task = narrow.mapInArrow(counted, "g int, " + ", ".join(f"{c} long" for c in names))
+    found = per_task.groupBy("g").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # 2**20 rows at most
+    dense = np.zeros((2 * FOLDS + 1, SIZE))
     index = found.column("g").to_numpy()
-    for k, c in enumerate(("p0", "p1", "t0", "t1", "n")):
+    for k, c in enumerate(names):
         dense[k, index] = found.column(c).to_numpy()
-    p0, p1, t0, t1, seen = dense
-    halves = Shared(spark, np.stack([ratios(t1, p1, seen), ratios(t0, p0, seen)]))
+    plain, toxic, seen = dense[:FOLDS], dense[FOLDS:-1], dense[-1]
+    apart = Shared(spark, np.stack([ratios(toxic.sum(0) - toxic[k], plain.sum(0) - plain[k], seen) for k in range(FOLDS)]))
 
     def rated(batches):
-        known, tables = codes.value, halves.value
+        known, tables = codes.value, apart.value
         bins = np.zeros((2, BINS), np.int64)
         for batch in slices(batches, limit=2 << 20):
             group = [known.get(i) for i in batch.column(0).to_pylist()]
@@ -141,8 +156,8 @@ def model(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
             if keep:
                 part = batch.take(pa.array(keep))
                 g, row = grams(part.column(1))
-                half = np.array([group[i][1] for i in keep])
-                r = mean_ratio(tables[half[row], g], row, len(keep))
+                fold_of = np.array([group[i][1] for i in keep])
+                r = mean_ratio(tables[fold_of[row], g], row, len(keep))
                 for i, b in zip(keep, place(r)):
                     bins[group[i][0], b] += 1
         y, b = np.nonzero(bins)
@@ -151,7 +166,7 @@ def model(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     hist = np.zeros((2, BINS))
     for r in narrow.mapInArrow(rated, "y int, b int, n long").groupBy("y", "b").agg(F.sum("n").alias("n")).collect():
         hist[r.y, r.b] = r.n
-    return Shared(spark, (ratios(t0 + t1, p0 + p1, seen), *calibration(hist)))
+    return Shared(spark, (ratios(toxic.sum(0), plain.sum(0), seen), *calibration(hist)))
 
 
 def mean_ratio(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:

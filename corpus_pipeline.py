@@ -49,8 +49,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the text they decode to."""
-    vocab = bpe.vocabulary(spark)
-    return bpe.decode(bpe.encode(docs, vocab), vocab)
+    return bpe.encode(docs, bpe.vocabulary(spark), decoded=True)
 
 
 STAGES = [

@@ -179,20 +179,43 @@ def vocabulary(spark: SparkSession, path: str | None = None, pattern: str | None
     return Shared(spark, Vocabulary(path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN))
 
 
-def encode(docs: DataFrame, vocab: Shared, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``ids`` array<int>: the token ids of each whole text."""
+class Decoder:
+    """All token bytes in one array, from which those of a text are gathered at once."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.size = np.array([len(t) for t in v.tokens], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(v.tokens), np.uint8)
+
+    def text(self, ids: np.ndarray) -> str:
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[ids] - (ends - n), n)
+        return self.data[index].tobytes().decode("utf-8", "replace")
+
+
+def id_lists(code: Encoder, texts: list[str]) -> tuple[pa.Array, list[bytes]]:
+    found = [code.text_ids(t) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32))), found
+
+
+def encode(docs: DataFrame, vocab: Shared, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """``keep`` columns and ``ids`` array<int>: the token ids of each whole text.
+
+    With ``decoded`` also the text those ids stand for, by the same worker, so that ids needn't travel back.
+    """
     prepare(docs.sparkSession)
     narrow, at, schema = carried(docs, keep, text)
 
     def run(batches):
-        code = worker_encoder(vocab)
-        for batch in slices(batches, at, 2 << 20):
-            found = [code.text_ids(t) for t in strings(batch.column(at))]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(found), np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.ListArray.from_arrays(pa.array(offsets), ids)], [*keep, "ids"])
+        code, back = worker_encoder(vocab), Decoder(vocab.value) if decoded else None
+        for batch in slices(batches, at, 1 << 20):
+            ids, found = id_lists(code, strings(batch.column(at)))
+            more = [pa.array([back.text(np.frombuffer(x, np.int32)) for x in found], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], ids, *more], [*keep, "ids", *(["decoded"] if decoded else [])])
 
-    return narrow.mapInArrow(run, f"{schema}, ids array<int>")
+    return narrow.mapInArrow(run, f"{schema}, ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def decode(coded: DataFrame, vocab: Shared, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -202,21 +225,10 @@ def decode(coded: DataFrame, vocab: Shared, *, ids: str = "ids", out: str = "dec
     at = names.index(ids)
 
     def run(batches):
-        tokens = vocab.value.tokens
-        size = np.array([len(t) for t in tokens], np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        data = np.frombuffer(b"".join(tokens), np.uint8)
+        back = Decoder(vocab.value)
         for batch in batches:
-            lists = batch.column(at).fill_null([]) if batch.column(at).null_count else batch.column(at)
-            offsets = np.asarray(lists.offsets, dtype=np.int64)
-            texts = []
-            for i, j in zip(offsets[:-1], offsets[1:]):
-                code = np.asarray(lists.values[i:j], dtype=np.int64)
-                n = size[code]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                index = np.arange(total) + np.repeat(begin[code] - (ends - n), n)
-                texts.append(data[index].tobytes().decode("utf-8", "replace"))
+            lists = batch.column(at)
+            texts = ["" if x is None else back.text(np.asarray(x, dtype=np.int64)) for x in (s.values if s.is_valid else None for s in lists)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
@@ -225,7 +237,7 @@ def decode(coded: DataFrame, vocab: Shared, *, ids: str = "ids", out: str = "dec
 
 def digests(docs: DataFrame, vocab: Shared, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Token count and digests of ids and of the decoded text."""
-    coded = decode(encode(docs, vocab, text=text, keep=keep), vocab)
+    coded = encode(docs, vocab, text=text, keep=keep, decoded=True)
     return coded.select(
         *[F.col(f"`{c}`") for c in keep],
         F.size("ids").cast("long").alias("n_tokens"),

@@ -83,7 +83,7 @@ REMEDIATION = {
     "pii_phone": "Redact phone numbers from LLM outputs. Consider PII masking in your pipeline.",
     "api_key_leak": "API key (%s) detected. Rotate immediately and add secret scanning to your pipeline.",
 }
-EXCERPT = 80
+EXCERPT: int | None = None  # characters of a finding to show; all by default
 
 FINDING_TYPE = ("array<struct<finding_type:string,severity:string,confidence:double,matched_text:string,"
                 "pattern_name:string,location:string,remediation:string>>")
@@ -104,6 +104,8 @@ def _finding(kind: str, severity: str, confidence: float, matched: str, name: st
 
 
 def _excerpt(text: str) -> str:
+    if EXCERPT is None:
+        return text
     return f"if(length({text}) > {EXCERPT}, concat(left({text}, {EXCERPT}), '...'), {text})"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.attrs import attr_map, blank_to, with_attrs
 from ..functions.ordering import HOUR_US, position, time_bucket, top_per_key
-from ..schema import lookup
+from ..schema import is_error, lookup
 
 ERROR_KEYS = {
     "error_message": ("error.message", "str"), "error_type": ("error.type", "str"),
@@ -86,7 +86,7 @@ def class_severity(category: Column) -> Column:
 
 def classify(spans: DataFrame) -> DataFrame:
     """Failed spans with class and severity. A status code counts only as a JSON number."""
-    rows = with_attrs(spans.where("status = 'error'"), ERROR_KEYS)
+    rows = with_attrs(spans.where(is_error(F.col("status"))), ERROR_KEYS)
     rows = with_attrs(rows, {"error_code": ("error.status_code", "int"), "max_tokens": ("llm.max_tokens", "int")}, strict=True)
     return rows.withColumn("category", error_class(F.col("error_message"), F.col("error_code"), F.col("error_type"))
                            ).withColumn("severity", class_severity(F.col("category")))
@@ -202,7 +202,7 @@ def top_issues(classified: DataFrame, k: int = 5, newest: int | None = None) ->
 
 def failure_chain(spans: DataFrame) -> DataFrame:
     """Failed spans of each trace in time order; the first is the root cause."""
-    failed = spans.where("status = 'error'").withColumn(
+    failed = spans.where(is_error(F.col("status"))).withColumn(
         "error_text", F.coalesce(error_text(F.col("events"), F.col("attributes")), F.lit("Unknown error")))
     chain = position(failed.select("trace_id", "span_id", "name", "span_type", "started_at", "error_text"), ["trace_id"],
                      time_bucket(F.col("started_at"), HOUR_US), [F.col("started_at"), F.col("span_id")], "position")
@@ -212,7 +212,7 @@ def failure_chain(spans: DataFrame) -> DataFrame:
 def debug_timeline(spans: DataFrame) -> DataFrame:
     return spans.select(
         "trace_id", "span_id", "name", "span_type", "started_at", "duration_ms", "status",
-        F.when(F.col("status") == "error", error_text(F.col("events"), F.col("attributes"))).alias("error_text"),
+        F.when(is_error(F.col("status")), error_text(F.col("events"), F.col("attributes"))).alias("error_text"),
         F.nullif("parent_span_id", F.lit("")).alias("parent_span_id"))
 
 
@@ -229,9 +229,9 @@ def debug_digest(spans: DataFrame, timeline_lines: int = 30, detail_spans: int =
         "_prompt2": ("gen_ai.prompt", "str"), "_answer": ("llm.response", "str"), "_answer2": ("gen_ai.completion", "str"),
         "_tokens": ("llm.total_tokens", "str"), "_tool": ("tool.name", "str"), "_input": ("tool.input", "str"),
         "_query": ("retrieval.query", "str"), "_sql": ("db.statement", "str")})
-    error = F.when(F.col("status") == "error", error_text(F.col("events"), F.col("attributes")))
+    error = F.when(is_error(F.col("status")), error_text(F.col("events"), F.col("attributes")))
     line = F.concat(
-        F.format_string("  [%s] %s (%s) - %.0fms", F.when(F.col("status") == "error", "ERROR").otherwise("OK"),
+        F.format_string("  [%s] %s (%s) - %.0fms", F.when(is_error(F.col("status")), "ERROR").otherwise("OK"),
                         "name", "span_type", "duration_ms"),
         F.coalesce(F.concat(F.lit("\n         Error: "), F.substring(error, 1, 200)), F.lit("")))
 

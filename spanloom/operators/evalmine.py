@@ -87,6 +87,7 @@ def trace_io(traces: DataFrame, spans: DataFrame) -> DataFrame:
 
 def duration_limits(rows: DataFrame) -> DataFrame:
     """Median and index-based p95 of the durations per project."""
+    rows = rows.withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0.0)))  # a missing duration counts as 0
     median = exact_quantiles(rows, ["project_id"], "duration_ms", {"p50": 0.5})
     n = F.col("_total")
     index = F.when(n >= 5, F.floor(n * F.lit(0.95))).otherwise(n - 1)
@@ -96,7 +97,7 @@ def duration_limits(rows: DataFrame) -> DataFrame:
 def categorise(io: DataFrame, limits: DataFrame) -> DataFrame:
     """Pattern of each trace: failure mode, edge case or positive example."""
     m = F.lower(F.coalesce("error_text", F.lit("")))
-    d = F.col("duration_ms")
+    d = F.coalesce("duration_ms", F.lit(0.0))
     failure = (
         F.when(m.contains("rate limit") | m.contains("429"), "rate_limit")
         .when(m.contains("timeout") | m.contains("timed out"), "timeout")
@@ -110,7 +111,7 @@ def categorise(io: DataFrame, limits: DataFrame) -> DataFrame:
         .when((d > F.col("p95")) & (F.col("p95") > 0), "edge_case/slow_response")
         .when(F.col("response") == "", "edge_case/empty_response")
         .when(is_success(F.col("status")), F.concat(F.lit("positive_example/"), positive)))
-    return io.join(limits, "project_id").withColumn("pattern", pattern).where("pattern IS NOT NULL")
+    return io.join(limits, "project_id", "left").withColumn("pattern", pattern).where("pattern IS NOT NULL")
 
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attrs import blank_to, has_key, with_attrs
 from ..functions.ordering import HOUR_US, first_per_key, position, time_bucket, top_per_key
+from ..schema import is_error
 
 
 def filter_all(df: DataFrame, **equal) -> DataFrame:
@@ -32,7 +33,7 @@ def newest(df: DataFrame, order: list[Column], limit: int | None, offset: int =
 def list_traces(traces: DataFrame, spans: DataFrame | None = None, *, project: str | None = None,
                 service: str | None = None, agent: str | None = None, status: str | None = None,
                 start: Column | None = None, end: Column | None = None,
-                limit: int | None = 100, offset: int = 0) -> DataFrame:
+                limit: int | None = None, offset: int = 0) -> DataFrame:
     rows = between(filter_all(traces, project_id=project, service_name=service, status=status),
                    "started_at", start, end)
     if agent is not None:
@@ -99,7 +100,7 @@ def active_alerts(alerts: DataFrame, as_of: Column) -> DataFrame:
 
 
 def agent_runs(traces: DataFrame, since: Column, *, framework: str | None = None,
-               status: str | None = None, limit: int | None = 100) -> DataFrame:
+               status: str | None = None, limit: int | None = None) -> DataFrame:
     """Multi-agent executions, newest first."""
     rows = with_attrs(traces.where(F.col("started_at") >= since), {
         "run_id": ("execution_id", "str"), "framework": ("framework", "str"),
@@ -161,14 +162,14 @@ def run_detail(spans: DataFrame) -> DataFrame:
         "agents_used", F.coalesce("agents_used", F.array().cast("array<string>")))
 
 
-def list_tasks(spans: DataFrame) -> DataFrame:
+def list_tasks(spans: DataFrame, name_length: int | None = None) -> DataFrame:
     """Task spans with derived name, extra description and assigned agent."""
     rows = with_attrs(spans, {
         "_task": ("task.id", "str"), "_desc": ("task.description", "str"),
         "expected_output": ("task.expected_output", "str"), "_agent": ("agent.name", "str"),
     }).where("_task <> '' OR _desc <> ''")
     parts = F.split("name", "\\.")
-    task_name = F.when(F.col("_desc") != "", F.substring("_desc", 1, 60)).otherwise(F.element_at(parts, -1))
+    task_name = F.when(F.col("_desc") != "", F.substring("_desc", 1, name_length) if name_length else F.col("_desc")).otherwise(F.element_at(parts, -1))
     by_pattern = F.when((F.size(parts) >= 2) & (F.try_element_at(parts, F.lit(-2)) == "agent"),
                         F.element_at(parts, -1)).otherwise("")
     return rows.select(
@@ -179,9 +180,10 @@ def list_tasks(spans: DataFrame) -> DataFrame:
         "started_at", "duration_ms", F.lower(blank_to(F.col("status"), "pending")).alias("status"))
 
 
-def project_slug(name: Column) -> Column:
-    """URL-safe project id from a display name."""
-    return F.substring(F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-")), 1, 50)
+def project_slug(name: Column, length: int | None = None) -> Column:
+    """URL-safe project id from a display name; cut only if a length is asked for."""
+    slug = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.substring(slug, 1, length) if length else slug
 
 
 def cached_analysis(results: DataFrame) -> DataFrame:
@@ -191,4 +193,4 @@ def cached_analysis(results: DataFrame) -> DataFrame:
 
 
 def first_error_span(spans: DataFrame) -> DataFrame:
-    return first_per_key(spans.where("status = 'error'"), ["trace_id"], ["started_at", "span_id"])
+    return first_per_key(spans.where(is_error(F.col("status"))), ["trace_id"], ["started_at", "span_id"])

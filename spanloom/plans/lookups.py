@@ -29,7 +29,7 @@ TRACE_COLS = f"""trace_id, project_id, service_name, {ts_sql('started_at')} AS s
 # ---- B: lists and lookups ----------------------------------------------------------
 @reg.add("b1_list_traces", with_(EV, TRACES) + f"""
 SELECT {TRACE_COLS} FROM traces WHERE project_id = 'p1' AND status = 'error' AND started_at >= {AS_OF_SQL} - INTERVAL 20 DAY
-ORDER BY traces.started_at DESC, trace_id LIMIT 100""")
+ORDER BY traces.started_at DESC, trace_id""")
 def _(spark, d):
     return L.list_traces(traces(spark, d), project="p1", status="error",
                          start=as_of() - F.expr("INTERVAL 20 DAY")).select(
@@ -71,25 +71,22 @@ def _(spark, d):
 
 
 @reg.add("b7_active_drift_alerts", with_(EV, B.ALERTS) + f"""
-SELECT alert_id, project_id, agent_name, severity, status, {ts_sql('detected_at')} AS detected_at,
-  row_number() OVER (ORDER BY severity_rank DESC, alerts.detected_at DESC, alert_id) AS place
-FROM alerts WHERE status = 'active' OR (status = 'muted' AND mute_until > TIMESTAMP '2024-01-31 00:00:00')
-QUALIFY place <= 100""")
+SELECT alert_id, project_id, agent_name, severity, status, {ts_sql('detected_at')} AS detected_at
+FROM alerts WHERE status = 'active' OR (status = 'muted' AND mute_until > TIMESTAMP '2024-01-31 00:00:00')""")
 def _(spark, d):
     rows = L.active_alerts(current_alerts(spark, d), as_of())
     order = [F.desc("severity_rank"), F.desc("detected_at"), F.col("alert_id")]
-    top = L.top_per_key(rows.withColumn("_all", F.lit(1)), ["_all"], order, 100, "place")
-    return top.select("alert_id", "project_id", "agent_name", "severity", "status", "detected_at", "place")
+    return L.newest(rows, order, None).select("alert_id", "project_id", "agent_name", "severity", "status", "detected_at")
 
 
 @reg.add("b8_guardrail_violations", with_(EV, B.VIOLATIONS) + f"""
 SELECT violation_id, project_id, guard_name, phase, action, {ts_sql('detected_at')} AS detected_at
 FROM violations WHERE project_id = 'p2' AND action = 'block' AND phase = 'input'
-  AND detected_at >= {AS_OF_SQL} - INTERVAL 480 HOUR ORDER BY violations.detected_at DESC, violation_id LIMIT 100""")
+  AND detected_at >= {AS_OF_SQL} - INTERVAL 480 HOUR ORDER BY violations.detected_at DESC, violation_id""")
 def _(spark, d):
     rows = L.filter_all(B.violations(spark, d), project_id="p2", action="block", phase="input")
     rows = rows.where(F.col("detected_at") >= as_of() - F.expr("INTERVAL 480 HOUR"))
-    return L.newest(rows, [F.desc("detected_at"), F.col("violation_id")], 100)
+    return L.newest(rows, [F.desc("detected_at"), F.col("violation_id")], None)
 
 
 @reg.add("b9_agent_runs", with_(EV, TRACES) + f"""
@@ -169,8 +166,8 @@ def _(spark, d):
 
 @reg.add("b18_tasks", with_(EV, B.TASK_SPANS) + f"""
 SELECT span_id, coalesce(task_id, span_id) AS task_id,
-  CASE WHEN description IS NOT NULL THEN left(description, 60) ELSE string_split(name, '.')[-1] END AS task_name,
-  CASE WHEN length(coalesce(description, '')) > 60 THEN description ELSE '' END AS description, '' AS expected_output,
+  CASE WHEN description IS NOT NULL THEN description ELSE string_split(name, '.')[-1] END AS task_name,
+  '' AS description, '' AS expected_output,
   coalesce(agent_name, CASE WHEN string_split(name, '.')[-2] = 'agent' THEN string_split(name, '.')[-1] ELSE '' END) AS assigned_agent,
   {ts_sql('started_at')} AS started_at, duration_ms, lower(status) AS status
 FROM task_spans WHERE task_id IS NOT NULL OR description IS NOT NULL""")
@@ -214,7 +211,7 @@ def _(spark, d):
 
 
 @reg.add("b21_project_slugs", """
-SELECT p_partkey, left(trim(regexp_replace(lower('  ' || p_name || ' / ' || p_brand || '!'), '[^a-z0-9]+', '-', 'g'), '-'), 50) AS slug
+SELECT p_partkey, trim(regexp_replace(lower('  ' || p_name || ' / ' || p_brand || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug
 FROM part""")
 def _(spark, d):
     return table(spark, d, "part").select(

@@ -61,7 +61,7 @@ PATTERNS = "pats(finding_type, severity, confidence, pattern_name, pat) AS (VALU
 def inj(cte, text, location):
     return f"""
 {cte} AS (SELECT doc_id, '{location}' AS location, finding_type, severity, confidence, pattern_name,
-    CASE WHEN length(x) > 80 THEN left(x, 80) || '...' ELSE x END AS matched_text
+    x AS matched_text
   FROM (SELECT doc_id, pats.*, regexp_extract({text}, pat, 0, 'i') AS x FROM docs, pats) WHERE x <> '')"""
 
 

@@ -82,9 +82,11 @@ def batches(spark, d):
 
 @reg.add("a2_single_spans", with_(EV) + f"""
 SELECT 'a' || event_id AS span_id, 't' || event_id AS trace_id, event_type AS name, 'unknown' AS span_type, {ts_sql('ts')} AS started_at
-FROM ev WHERE k % 11 <> 0""")
+FROM ev WHERE k % 11 <> 0
+UNION ALL SELECT 'b' || event_id, 't' || event_id, event_type, 'unknown', {ts_sql('ts')} FROM ev WHERE k % 7 <> 0""")
 def _(spark, d):
-    single = batches(spark, d).withColumn("payload", F.get_json_object("payload", "$.spans[0]"))
+    one = [batches(spark, d).withColumn("payload", F.get_json_object("payload", f"$.spans[{i}]")) for i in range(2)]
+    single = one[0].unionByName(one[1])
     return native.single_span_rows(single).select("span_id", "trace_id", "name", "span_type", "started_at")
 
 
@@ -210,12 +212,17 @@ def _(spark, d):
 
 
 @reg.add("a13_attribute_rows", with_(SPANS) + """
-SELECT span_id, u.key, u.value FROM spans, LATERAL (VALUES ('agent.name', agent_name), ('llm.model', model),
-  ('llm.total_tokens', CAST(total_tokens AS VARCHAR)), ('n8n.workflow.id', workflow_id), ('error.message', error_message)) u(key, value)
-WHERE u.value IS NOT NULL""")
+SELECT span_id, u.key, u.value, u.number FROM spans, LATERAL (VALUES ('agent.name', agent_name, NULL), ('llm.model', model, NULL), ('llm.vendor', vendor, NULL),
+  ('llm.prompt_tokens', CAST(prompt_tokens AS VARCHAR), NULL), ('llm.completion_tokens', CAST(completion_tokens AS VARCHAR), NULL),
+  ('llm.total_tokens', CAST(total_tokens AS VARCHAR), NULL), ('llm.cost_usd', NULL, cost_usd), ('llm.latency_ms', NULL, latency_ms),
+  ('tool.call_count', CAST(tool_calls AS VARCHAR), NULL), ('framework', framework, NULL), ('n8n.workflow.id', workflow_id, NULL),
+  ('n8n.workflow.name', workflow_name, NULL), ('n8n.node.name', node_name, NULL), ('n8n.node.type', node_type, NULL),
+  ('error.message', error_message, NULL), ('error.status_code', CAST(error_code AS VARCHAR), NULL)) u(key, value, number)
+WHERE u.value IS NOT NULL OR u.number IS NOT NULL""")
 def _(spark, d):
-    keys = ["agent.name", "llm.model", "llm.total_tokens", "n8n.workflow.id", "error.message"]
-    return tables.attribute_rows(spans(spark, d)).where(F.col("key").isin(keys)).select("span_id", "key", "value")
+    real = F.col("key").isin("llm.cost_usd", "llm.latency_ms")
+    return tables.attribute_rows(spans(spark, d)).select(
+        "span_id", "key", F.when(~real, F.col("value")).alias("value"), F.when(real, F.col("value").cast("double")).alias("number"))
 
 
 OBS_TYPES = ["GENERATION", "SPAN", "CHAIN", "AGENT", "RETRIEVER", "EMBEDDING", "TOOL", "EVALUATOR", "GUARDRAIL", "EVENT"]

@@ -85,4 +85,4 @@ def is_success(status: Column) -> Column:
 
 
 def is_error(status: Column) -> Column:
-    return F.coalesce(F.lower(status) == "error", F.lit(False))
+    return F.coalesce(F.lower(status).isin("error", "failed"), F.lit(False))

@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 RUNTIME_SETTINGS = {
     # all timestamps are UTC
     "spark.sql.session.timeZone": "UTC",
@@ -45,11 +47,12 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "spanloom
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's setting, else a test folder."""
+    """Shared folder for checkpoints: the cluster's setting; a local session may do without one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
-        root = tempfile.mkdtemp(prefix="spanloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="spanloom-ckpt-"))  # tests: one machine
     return root

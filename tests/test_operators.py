@@ -201,7 +201,8 @@ def test_latest_prompt_ignores_older_tag(spark):
 
 def test_slug(spark):
     df = spark.createDataFrame([("  My Project! 2 ",), ("---",), ("x" * 60,)], "n string")
-    assert [r[0] for r in df.select(lookup.project_slug(F.col("n"))).collect()] == ["my-project-2", "", "x" * 50]
+    assert [r[0] for r in df.select(lookup.project_slug(F.col("n"))).collect()] == ["my-project-2", "", "x" * 60]
+    assert [r[0] for r in df.select(lookup.project_slug(F.col("n"), 50)).collect()] == ["my-project-2", "", "x" * 50]
 
 
 # ---- evaluation cases ----------------------------------------------------------------------------

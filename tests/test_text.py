@@ -32,7 +32,7 @@ def python_scan(text, location):
             m = re.search(rx, text, re.IGNORECASE)
             if m:
                 x = m.group(0)
-                out.append((kind, severity, name, x if len(x) <= 80 else x[:80] + "..."))
+                out.append((kind, severity, name, x))
     for _ in re.finditer(P.SSN, text):
         out.append(("pii_ssn", "CRITICAL", "ssn", "XXX-XX-XXXX"))
     for m in re.finditer(P.CARD, text):
@@ -45,7 +45,7 @@ def python_scan(text, location):
             if key(m.group(0)) not in seen:
                 seen.add(key(m.group(0)))
                 x = m.group(0)
-                out.append((kind, "MEDIUM", name, x if len(x) <= 80 else x[:80] + "..."))
+                out.append((kind, "MEDIUM", name, x))
     for name, rx in P.API_KEYS.items():
         out += [("api_key_leak", "HIGH", name, m.group(0)[:8] + "...") for m in re.finditer(rx, text)]
     return sorted(out)

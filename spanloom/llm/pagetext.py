@@ -8,7 +8,7 @@ says that they are menus, headers, footers, side bars, notices, adverts, forms o
 go on any host, also one with a single page. If a page has an article (or main) element, only
 text inside it is kept.
 
-Blocks are joined by a line feed; white space inside a block becomes one space; character references
+Blocks are joined by two line feeds; white space inside a block becomes one space; character references
 are decoded. Null and empty pages have the empty text. A page without url has the host ''. Unclosed
 tags are closed where their parent ends; a tag that never ends is text. Repeated rows give
 repeated results, and count as pages of their host each.
@@ -134,7 +134,7 @@ class Page:
 
     def text(self, template: set[int]) -> str:
         dead = {k for k, h in self.hashes.items() if h in template}
-        return "\n".join(t for t, keys, inside in self.blocks if (inside or not self.has_main) and dead.isdisjoint(keys))
+        return "\n\n".join(t for t, keys, inside in self.blocks if (inside or not self.has_main) and dead.isdisjoint(keys))
 
 
 def host(url: str) -> Column:

@@ -121,8 +121,8 @@ def test_page_text(spark):
     got = [(r.page_id, r.text) for r in pagetext.extracted(df).collect()]
     assert len(got) == len(rows)
     texts = dict(got)
-    assert texts[3] == "A & B 3\nOne two three bold\nSame line everywhere\nx\ny"
-    assert texts[10] == "" and texts[11] == "" and texts[12] == "only <one>\n1 < 2" and texts[13].startswith("cut")
+    assert texts[3] == "A & B 3\n\nOne two three bold\n\nSame line everywhere\n\nx\n\ny"
+    assert texts[10] == "" and texts[11] == "" and texts[12] == "only <one>\n\n1 < 2" and texts[13].startswith("cut")
     assert pagetext.extracted(df.where("false")).count() == 0
 
 

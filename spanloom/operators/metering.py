@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attrs import with_attrs
-from ..functions.ordering import DAY_US, HOUR_US, position, time_bucket
+from ..functions.ordering import HOUR_US, MINUTE_US, position, previous, running, time_bucket
 from ..functions.quantiles import exact_quantiles
 from ..schema import is_error, is_success, lookup
 
@@ -50,39 +50,56 @@ def limit_of(tier: Column, limits: dict) -> Column:
     return lookup(finite, F.when(known, tier).otherwise("free"))
 
 
-def quota_decisions(facts: DataFrame, user: str, ts: str, tie: str, tier: str, limits: dict) -> DataFrame:
-    """Allowed or refused per arriving row, in time order inside user and month.
+def admissions(rows: DataFrame, keys: list[str], ts: str, tie: str, limit: Column) -> DataFrame:
+    """Add arrival, quota, allowed and usage: a counter per key that grows by one on accepted rows only.
 
-    Equal to a counter that only grows on accepted rows, because each row costs one.
+    A key's rows are cut into runs of equal limit; over a run of n rows a usage u becomes
+    max(u, min(u + n, limit)), so folding the runs gives the usage before each, and inside a run
+    the position decides. A key has as many runs as its limit changes, not as it has rows.
     """
-    rows = facts.withColumn("period", period(ts))
-    ranked = position(rows, [user, "period"], time_bucket(F.col(ts), DAY_US), [F.col(ts), F.col(tie)], "arrival")
-    limit = limit_of(F.col(tier), limits)
-    allowed = limit.isNull() | (F.col("arrival") <= limit)
-    usage = F.when(allowed, F.col("arrival")).otherwise(limit)
-    return ranked.withColumns({
-        "quota": limit, "allowed": allowed, "usage": usage,
-        "remaining": F.when(limit.isNotNull(), F.greatest(F.lit(0), limit - usage))})
+    minute = time_bucket(F.col(ts), MINUTE_US)
+    coded = rows.withColumn("quota", limit.cast("long")).withColumn("_code", F.coalesce(F.col("quota").cast("string"), F.lit("none")))
+    marked = previous(coded, keys, minute, [ts, tie], {"_before": "_code"})
+    starts = F.when(F.col("_code").eqNullSafe(F.col("_before")), 0).otherwise(1).cast("long")
+    numbered = running(marked, keys, minute, [F.col(ts), F.col(tie)], {"arrival": F.lit(1).cast("long"), "_run": starts})
+    numbered = numbered.drop("_code", "_before").withColumn("_key", F.struct(*keys))
+    runs = numbered.groupBy("_key", "_run").agg(F.count("*").alias("n"), F.min("quota").alias("most"), F.min("arrival").alias("first"))
+
+    def step(acc: Column, r: Column) -> Column:
+        used = F.when(r["most"].isNull(), acc["used"] + r["n"]).otherwise(F.greatest(acc["used"], F.least(acc["used"] + r["n"], r["most"])))
+        entry = F.struct(r["_run"].alias("_run"), r["first"].alias("_first"), acc["used"].alias("_used"))
+        return F.struct(used.alias("used"), F.concat(acc["runs"], F.array(entry)).alias("runs"))
+
+    begin = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<_run:bigint,_first:bigint,_used:bigint>>").alias("runs"))
+    per_key = runs.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_run", "n", "most", "first"))).alias("_runs"))
+    before = per_key.select("_key", F.explode(F.aggregate("_runs", begin, step, lambda acc: acc["runs"])).alias("r")).select("_key", "r.*")
+    reached = F.col("_used") + F.col("arrival") - F.col("_first") + 1
+    return numbered.join(before, ["_key", "_run"]).withColumns({
+        "allowed": F.col("quota").isNull() | (reached <= F.col("quota")),
+        "usage": F.when(F.col("quota").isNull(), reached).otherwise(F.greatest(F.col("_used"), F.least(reached, F.col("quota"))))}).drop(
+        "_key", "_run", "_first", "_used")
+
+
+def quota_decisions(facts: DataFrame, user: str, ts: str, tie: str, tier: str, limits: dict) -> DataFrame:
+    """Allowed or refused per arriving row, in time order inside user and month; the tier may change."""
+    rows = admissions(facts.withColumn("period", period(ts)), [user, "period"], ts, tie, limit_of(F.col(tier), limits))
+    return rows.withColumn("remaining", F.when(F.col("quota").isNotNull(), F.greatest(F.lit(0), F.col("quota") - F.col("usage"))))
 
 
 def feature_decisions(usage: DataFrame, tie: str, hard: dict | None = None, soft: dict | None = None) -> DataFrame:
-    """Decision per AI feature call: allowed, overage or refused.
+    """Decision per AI feature call: allowed, overage or refused; refused calls don't count as usage.
 
-    Free users are refused; lunch-money stops at hard caps; pro may run over up
-    to five times the limit; enterprise is unlimited.
+    Free users are refused; lunch-money stops at hard caps; enterprise is unlimited; pro, and any
+    other tier, may run over up to five times the limit.
     """
     hard, soft = hard or HARD_CAPS, soft or SOFT_LIMITS
-    rows = usage.withColumn("period", period("used_at"))
-    ranked = position(rows, ["user_id", "feature", "period"], time_bucket(F.col("used_at"), DAY_US),
-                      [F.col("used_at"), F.col(tie)], "call_no")
-    n, tier = F.col("call_no"), F.col("tier")
-    cap, limit = lookup(hard, F.col("feature")), F.coalesce(lookup(soft, F.col("feature")), F.lit(0))
-    decision = (
-        F.when(tier == "enterprise", "allowed")
-        .when(tier == "lunch-money", F.when(cap.isNotNull() & (n <= cap), "allowed").otherwise("refused"))
-        .when(tier == "pro", F.when(n <= limit, "allowed").when(n <= limit * SOFT_CAP_FACTOR, "overage").otherwise("refused"))
-        .otherwise("refused"))
-    return ranked.withColumn("decision", decision)
+    tier, limit = F.coalesce("tier", F.lit("")), F.coalesce(lookup(soft, F.col("feature")), F.lit(0))
+    most = (F.when(tier == "enterprise", None).when(tier == "free", 0)
+            .when(tier == "lunch-money", F.coalesce(lookup(hard, F.col("feature")), F.lit(0))).otherwise(limit * SOFT_CAP_FACTOR))
+    rows = admissions(usage.withColumn("period", period("used_at")), ["user_id", "feature", "period"], "used_at", tie, most)
+    over = ~tier.isin("enterprise", "lunch-money") & (F.col("usage") > limit)
+    decision = F.when(~F.col("allowed"), "refused").when(over, "overage").otherwise("allowed")
+    return rows.withColumn("decision", decision).withColumnRenamed("arrival", "call_no").drop("quota", "allowed", "usage")
 
 
 def feature_usage(users: DataFrame, usage: DataFrame, limits: dict | None = None) -> DataFrame:

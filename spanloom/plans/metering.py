@@ -19,16 +19,31 @@ LIMITS = {"free": 1, "lunch-money": 2, "pro": 3, "enterprise": None}  # scaled t
 LIMIT_SQL = "CASE tier WHEN 'free' THEN 1 WHEN 'lunch-money' THEN 2 WHEN 'pro' THEN 3 END"
 
 
+def half(ts):
+    """1 in the second half of a month, when every user has the next tier."""
+    return (F.dayofmonth(ts) > 15).cast("int")
+
+
+def accepted_sql(rows, keys, order, most, most0):
+    """Rows with arrival, allowed and usage: one limit in each half of the month, usage grows on accepted rows."""
+    return f"""
+  SELECT *, quota IS NULL OR before + j <= quota AS allowed, CASE WHEN quota IS NULL THEN before + j ELSE greatest(before, least(before + j, quota)) END AS usage FROM (
+    SELECT *, CASE WHEN half = 0 THEN 0 WHEN quota0 IS NULL THEN n0 ELSE least(n0, quota0) END AS before, CASE WHEN half = 0 THEN arrival ELSE arrival - n0 END AS j FROM (
+      SELECT *, {most} AS quota, {most0} AS quota0, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS arrival,
+        count(*) FILTER (WHERE half = 0) OVER (PARTITION BY {keys}) AS n0 FROM {rows}))"""
+
+
 def arrivals(spark, d):
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("trace_no"), F.col("o_custkey").alias("user_id"),
-        F.col("o_orderdate").cast("timestamp").alias("arrived_at"), B.pick(B.TIERS, F.col("o_custkey") % 4).alias("tier"))
+        F.col("o_orderdate").cast("timestamp").alias("arrived_at"), B.pick(B.TIERS, (F.col("o_custkey") + half("o_orderdate")) % 4).alias("tier"))
 
 
 ARRIVALS = f"""
 arrivals AS (SELECT o_orderkey AS trace_no, o_custkey AS user_id, o_orderdate AS arrived_at,
-  strftime(o_orderdate, '%Y-%m') AS period, {sql_pick(B.TIERS, 'o_custkey % 4')} AS tier FROM orders),
-quota AS (SELECT *, {LIMIT_SQL} AS quota, row_number() OVER (PARTITION BY user_id, period ORDER BY arrived_at, trace_no) AS arrival FROM arrivals)"""
+  strftime(o_orderdate, '%Y-%m') AS period, CASE WHEN day(o_orderdate) > 15 THEN 1 ELSE 0 END AS half, {sql_pick(B.TIERS, 'o_custkey % 4')} AS tier0,
+  {sql_pick(B.TIERS, '(o_custkey + half) % 4')} AS tier FROM orders),
+quota AS ({accepted_sql('arrivals', 'user_id, period', 'arrived_at, trace_no', LIMIT_SQL, LIMIT_SQL.replace('CASE tier', 'CASE tier0'))})"""
 
 
 @reg.add("m1_monthly_usage", with_(ARRIVALS) + "SELECT user_id, period, count(*) AS usage FROM arrivals GROUP BY ALL")
@@ -37,14 +52,14 @@ def _(spark, d):
 
 
 @reg.add("m2_quota_decisions", with_(ARRIVALS) + """
-SELECT trace_no, user_id, period, tier, arrival, quota, quota IS NULL OR arrival <= quota AS allowed FROM quota""")
+SELECT trace_no, user_id, period, tier, arrival, CAST(quota AS BIGINT) AS quota, allowed FROM quota""")
 def _(spark, d):
     out = M.quota_decisions(arrivals(spark, d), "user_id", "arrived_at", "trace_no", "tier", LIMITS)
     return out.select("trace_no", "user_id", "period", "tier", "arrival", "quota", "allowed")
 
 
 @reg.add("m3_remaining_quota", with_(ARRIVALS) + """
-SELECT trace_no, CASE WHEN quota IS NOT NULL THEN greatest(0, quota - least(arrival, quota)) END AS remaining FROM quota""")
+SELECT trace_no, CASE WHEN quota IS NOT NULL THEN CAST(greatest(0, quota - usage) AS BIGINT) END AS remaining FROM quota""")
 def _(spark, d):
     return M.quota_decisions(arrivals(spark, d), "user_id", "arrived_at", "trace_no", "tier", LIMITS).select("trace_no", "remaining")
 
@@ -56,23 +71,24 @@ HARD, SOFT = {"hallucination": 5, "drift": 1, "debug": 3, "eval_generation": 2},
 def feature_calls(spark, d):
     uid = F.col("user_id")
     return B.events(spark, d).select(F.col("event_id").alias("call_id"), "user_id", B.pick(M.FEATURES, F.col("k") % 6).alias("feature"),
-                                     F.col("ts").alias("used_at"), B.pick(B.TIERS, uid % 4).alias("tier"))
+                                     F.col("ts").alias("used_at"), B.pick(B.TIERS, (uid + half("ts")) % 4).alias("tier"))
 
 
 def case_of(mapping):
     return "CASE feature " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in mapping.items()) + " END"
 
 
+MOST = "CASE tier WHEN 'enterprise' THEN NULL WHEN 'free' THEN 0 WHEN 'lunch-money' THEN cap ELSE lim * 5 END"
 CALLS = f"""
-calls AS (SELECT event_id AS call_id, user_id, {sql_pick(M.FEATURES, 'k % 6')} AS feature, ts AS used_at, {sql_pick(B.TIERS, 'user_id % 4')} AS tier FROM ev),
-ranked AS (SELECT *, {case_of(HARD)} AS cap, {case_of(SOFT)} AS lim, row_number() OVER (
-  PARTITION BY user_id, feature, strftime(used_at, '%Y-%m') ORDER BY used_at, call_id) AS n FROM calls)"""
+calls AS (SELECT event_id AS call_id, user_id, {sql_pick(M.FEATURES, 'k % 6')} AS feature, ts AS used_at, strftime(ts, '%Y-%m') AS period,
+  CASE WHEN day(ts) > 15 THEN 1 ELSE 0 END AS half, {sql_pick(B.TIERS, 'user_id % 4')} AS tier0, {sql_pick(B.TIERS, '(user_id + half) % 4')} AS tier,
+  coalesce({case_of(HARD)}, 0) AS cap, {case_of(SOFT)} AS lim FROM ev),
+ranked AS ({accepted_sql('calls', 'user_id, feature, period', 'used_at, call_id', MOST, MOST.replace('CASE tier', 'CASE tier0'))})"""
 
 
 @reg.add("m4_feature_decisions", with_(EV, CALLS) + """
-SELECT call_id, user_id, feature, tier, n AS call_no, CASE tier WHEN 'enterprise' THEN 'allowed' WHEN 'free' THEN 'refused'
-  WHEN 'lunch-money' THEN CASE WHEN n <= cap THEN 'allowed' ELSE 'refused' END
-  ELSE CASE WHEN n <= lim THEN 'allowed' WHEN n <= lim * 5 THEN 'overage' ELSE 'refused' END END AS decision FROM ranked""")
+SELECT call_id, user_id, feature, tier, arrival AS call_no, CASE WHEN NOT allowed THEN 'refused' WHEN tier = 'pro' AND usage > lim THEN 'overage' ELSE 'allowed' END AS decision
+FROM ranked""")
 def _(spark, d):
     return M.feature_decisions(feature_calls(spark, d), "call_id", HARD, SOFT).select(
         "call_id", "user_id", "feature", "tier", "call_no", "decision")

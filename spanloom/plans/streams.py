@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs as Q
 from . import bind as B
-from .bind import EV, SPANS, TRACES, cat, pick, sql_pick, ts_sql, with_
+from .bind import EV, SPANS, cat, pick, sql_pick, ts_sql, with_
 from .registry import Registry
 from .rollups import E5, rounded
 
@@ -73,11 +73,14 @@ def _(spark, d):
     return out.drop("p95_duration_ms")
 
 
-@reg.add("q4_live_traces", with_(EV, TRACES) + f"""
-SELECT project_id, trace_id, {ts_sql('started_at')} AS started_at, {ts_sql('completed_at')} AS completed_at, status = 'error' AS failed,
-  root_span_id AS first_span_id, span_count FROM traces""")
+@reg.add("q4_live_traces", with_(SPANS) + f"""
+, weeks AS (SELECT *, 'w' || user_id || '-' || CAST(floor(date_diff('day', DATE '1970-01-01', CAST(started_at AS DATE)) / 7) AS BIGINT) AS week FROM spans)
+SELECT project_id, week AS trace_id, {ts_sql('min(started_at)')} AS started_at, {ts_sql('max(ended_at)')} AS completed_at, bool_or(status = 'error') AS failed,
+  first(span_id ORDER BY started_at, span_id) AS first_span_id, count(*) AS span_count FROM weeks GROUP BY project_id, week""")
 def _(spark, d):
-    return updated(spark, Q.live_traces(B.span_stream(spark, d)), "traces", ["project_id", "trace_id"])
+    week = F.floor(F.unix_date(F.to_date("ts")) / 7)  # a trace is a user's week, so that it spans midnights
+    ev = B.event_stream(spark, d).withColumns({"trace_id": cat("w", F.col("user_id"), "-", week), "parent_span_id": F.lit("")})
+    return Q.merge_parts(updated(spark, Q.live_traces(B.spans_from(ev)), "traces", ["project_id", "trace_id", "window_start"]))
 
 
 @reg.add("q5_bursts", with_(EV) + f"""

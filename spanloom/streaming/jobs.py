@@ -143,9 +143,10 @@ def _trace_aggs() -> list[Column]:
 
 
 def live_traces(spans: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Trace rows that grow with their spans; run in update mode and read the newest version."""
+    """Parts of traces, one per day, that grow with their spans; run in update mode, take the newest
+    version per (project_id, trace_id, window_start), then ``merge_parts``."""
     rows = spans.withWatermark("started_at", delay)
-    return rows.groupBy(F.window("started_at", "1 day").alias("w"), "project_id", "trace_id").agg(*_trace_aggs()).drop("w")
+    return rows.groupBy(F.window("started_at", "1 day").alias("w"), "project_id", "trace_id").agg(*_trace_aggs()).withColumn("window_start", F.col("w.start")).drop("w")
 
 
 def closed_traces(spans: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -157,7 +158,7 @@ def closed_traces(spans: DataFrame, gap: str = "30 minutes", delay: str = "10 mi
 
 
 def merge_parts(parts: DataFrame) -> DataFrame:
-    """One row per trace from its closed parts."""
+    """One row per trace from its parts."""
     return parts.groupBy("project_id", "trace_id").agg(
         F.min("started_at").alias("started_at"), F.max("completed_at").alias("completed_at"), F.bool_or("failed").alias("failed"),
         F.min_by("first_span_id", F.struct("started_at", "first_span_id")).alias("first_span_id"), F.sum("span_count").alias("span_count"))

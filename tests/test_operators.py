@@ -219,3 +219,20 @@ def test_suite_document_is_json(spark):
                                   "tags string, source_trace_id string")
     doc = json.loads(L.suite_rows(cases).first()["case"])
     assert doc["input"] == {"query": 'say "hi"'} and doc["expected"] == {"contains": ["expected"]} and doc["tags"] == ["a", "b"] and doc["assertions"][0]["min_length"] == 1
+
+
+# ---- quotas over a change of tier --------------------------------------------------
+def test_quota_counts_accepted_rows_only(spark):
+    at = [ts(f"2024-01-01 00:{i:02d}:00") for i in range(8)]
+    tiers = ["free"] * 4 + ["pro"] * 3 + ["free"]
+    df = spark.createDataFrame([(i, 1, at[i], t) for i, t in enumerate(tiers)], "id long, u long, at timestamp, tier string")
+    got = {r["id"]: (r["arrival"], r["allowed"], r["usage"]) for r in M.quota_decisions(df, "u", "at", "id", "tier", {"free": 2, "pro": 4}).collect()}
+    assert got == {0: (1, True, 1), 1: (2, True, 2), 2: (3, False, 2), 3: (4, False, 2), 4: (5, True, 3), 5: (6, True, 4), 6: (7, False, 4), 7: (8, False, 4)}
+
+
+def test_refused_feature_calls_are_no_usage(spark):
+    tiers = ["free"] * 3 + ["pro", "pro", "other", None]
+    df = spark.createDataFrame([(i, 1, "drift", ts(f"2024-01-01 00:{i:02d}:00"), t) for i, t in enumerate(tiers)],
+                               "call_id long, user_id long, feature string, used_at timestamp, tier string")
+    got = {r["call_id"]: r["decision"] for r in M.feature_decisions(df, "call_id", {"drift": 1}, {"drift": 2}).collect()}
+    assert got == {0: "refused", 1: "refused", 2: "refused", 3: "allowed", 4: "allowed", 5: "overage", 6: "overage"}

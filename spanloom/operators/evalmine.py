@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attrs import blank_to, with_attrs
 from ..functions.jsontext import json_object, json_value
-from ..functions.ordering import top_per_key
-from ..functions.quantiles import exact_quantiles, order_statistic
+from ..functions.ordering import DAY_US, position, time_bucket, top_per_key
+from ..functions.quantiles import exact_quantiles, order_statistic, same_keys
 from ..schema import is_error, is_success
 from .errors import error_text
 
 # ---- fixed values ----
 ASSERTION_TYPES = ["contains", "not_contains", "regex", "length", "json_valid", "tool_called", "tool_args", "tool_sequence"]
-TEXT_LIMIT = 500
 DESCRIPTIONS = {
     "failure_mode/rate_limit": "Traces that hit API rate limits",
     "failure_mode/timeout": "Traces that timed out",
@@ -29,10 +28,6 @@ DESCRIPTIONS = {
 }
 
 
-def cut(text: Column, n: int = TEXT_LIMIT) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
-
-
 def candidates(traces: DataFrame, as_of: Column, hours: int = 168, *, service: str | None = None, agent: str | None = None,
                newest: int | None = None) -> DataFrame:
     """Traces of the window, optionally of one service or agent, optionally only the newest per project."""
@@ -49,33 +44,35 @@ def candidates(traces: DataFrame, as_of: Column, hours: int = 168, *, service: s
 def trace_io(traces: DataFrame, spans: DataFrame) -> DataFrame:
     """Input, output, tool calls and error text of each trace.
 
-    The first and last model span are picked by aggregation over cut texts, and tool
-    calls are kept as counts per (name, status), so long traces stay small.
+    Texts are whole. The first and last model span are picked by aggregation, and tool calls are
+    kept as counts per (name, status), so long traces stay small; ``tool_steps`` has them in order.
+    A prompt is a chat if it parses as a list that begins with an object.
     """
     rows = with_attrs(spans, {
         "_prompt": ("llm.prompt", "str"), "_prompt2": ("gen_ai.prompt", "str"),
         "_response": ("llm.response", "str"), "_response2": ("gen_ai.completion", "str"), "_tool": ("tool.name", "str")})
     llm = F.col("span_type") == "llm"
     prompt, response = blank_to(F.col("_prompt"), F.col("_prompt2")), blank_to(F.col("_response"), F.col("_response2"))
-    is_chat = F.size(F.from_json(prompt, "array<struct<role:string,content:string>>")) > 0
+    is_chat = F.coalesce((F.json_array_length(prompt) > 0) & F.startswith(F.get_json_object(prompt, "$[0]"), F.lit("{")), F.lit(False))
     order = F.struct("started_at", "span_id")
     text = error_text(F.col("events"), F.col("attributes"))
     failed = is_error(F.col("status")) & (F.coalesce(text, F.lit("")) != "")
     rows = rows.withColumns({
-        "_query": F.when(llm & (prompt != "") & ~F.coalesce(prompt.startswith("[{") & is_chat, F.lit(False)), cut(prompt)),
-        "_messages": F.when(llm & F.coalesce(prompt.startswith("[{") & is_chat, F.lit(False)), prompt),
-        "_answer": F.when(llm, cut(response)), "_error": F.when(failed, text)})
-    per = rows.groupBy("trace_id").agg(
+        "_query": F.when(llm & (prompt != "") & ~is_chat, prompt),
+        "_messages": F.when(llm & is_chat, prompt),
+        "_answer": F.when(llm, response), "_error": F.when(failed, text)})
+    key = ["project_id", "trace_id"]
+    per = rows.groupBy(*key).agg(
         F.min_by(F.when(llm, F.struct("_query", "_messages")), F.when(llm, order)).alias("first"),
         F.max_by("_answer", F.when(llm, order)).alias("response"),
         F.min_by("_error", F.when(F.col("_error").isNotNull(), order)).alias("error_text"))
     tools = rows.where("span_type = 'tool'").groupBy(
-        "trace_id", blank_to(F.col("_tool"), F.col("name")).alias("tool"), F.col("status").alias("tool_status")).agg(F.count("*").alias("n"))
-    tools = tools.groupBy("trace_id").agg(
+        *key, blank_to(F.col("_tool"), F.col("name")).alias("tool"), F.col("status").alias("tool_status")).agg(F.count("*").alias("n"))
+    tools = tools.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("tool", "tool_status", "n"))).alias("tool_calls"),
         F.bool_and(is_success(F.col("tool_status"))).alias("all_tools_ok"),
         F.bool_or(is_error(F.col("tool_status"))).alias("any_tool_error"))
-    joined = traces.join(per, "trace_id", "left").join(tools, "trace_id", "left")
+    joined = same_keys(same_keys(traces, per, key, "left"), tools, key, "left")
     fallback = F.when((F.col("first._messages").isNull()) & (F.col("service_name") != ""),
                       F.concat(F.lit("[Trace from "), F.col("service_name"), F.lit("]")))
     return joined.select(
@@ -85,6 +82,14 @@ def trace_io(traces: DataFrame, spans: DataFrame) -> DataFrame:
         F.when(is_error(F.col("status")), F.col("error_text")).alias("error_text"))
 
 
+def tool_steps(spans: DataFrame) -> DataFrame:
+    """Tool calls of each trace in order, one row per call: position, tool and status."""
+    tools = with_attrs(spans.where("span_type = 'tool'"), {"_tool": ("tool.name", "str")})
+    rows = tools.select("project_id", "trace_id", "span_id", "started_at", blank_to(F.col("_tool"), F.col("name")).alias("tool"), F.col("status").alias("tool_status"))
+    bucket = F.coalesce(time_bucket(F.col("started_at")), F.lit(-1 << 40))  # calls without a time come first
+    return position(rows, ["project_id", "trace_id"], bucket, [F.col("started_at"), F.col("span_id")], "position").drop("started_at")
+
+
 def duration_limits(rows: DataFrame) -> DataFrame:
     """Median and index-based p95 of the durations per project."""
     rows = rows.withColumn("duration_ms", F.coalesce("duration_ms", F.lit(0.0)))  # a missing duration counts as 0
@@ -114,29 +119,34 @@ def categorise(io: DataFrame, limits: DataFrame) -> DataFrame:
     return io.join(limits, "project_id", "left").withColumn("pattern", pattern).where("pattern IS NOT NULL")
 
 
-
 def newest_first() -> list[Column]:
     return [F.desc("started_at"), F.col("trace_id")]
 
 
-def patterns(categorised: DataFrame, per_pattern: int = 20) -> DataFrame:
-    """Patterns with description, trace count, newest trace ids and representative."""
+def pattern_traces(categorised: DataFrame, per_pattern: int | None = None) -> DataFrame:
+    """Traces with their number ``n`` in project and pattern, newest first; all, or the first ``per_pattern``."""
+    key = ["project_id", "pattern"]
+    if per_pattern is not None:
+        return top_per_key(categorised, key, newest_first(), per_pattern, "n")
+    bucket = F.coalesce(-time_bucket(F.col("started_at"), DAY_US), F.lit(1 << 40))  # traces without a time come last
+    return position(categorised, key, bucket, newest_first(), "n")
+
+
+def patterns(categorised: DataFrame) -> DataFrame:
+    """Patterns with description, trace count and newest trace as representative."""
     key = ["project_id", "pattern"]
-    counts = categorised.groupBy(*key).agg(F.count("*").alias("traces"), F.max("p50").alias("p50"), F.max("p95").alias("p95"))
-    ids = top_per_key(categorised.select(*key, "trace_id", "started_at"), key, newest_first(), per_pattern, "n")
-    ids = ids.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "trace_id"))), lambda x: x["trace_id"]).alias("trace_ids"))
+    counts = categorised.groupBy(*key).agg(F.count("*").alias("traces"), F.max("p50").alias("p50"), F.max("p95").alias("p95"),
+                                             F.min_by("trace_id", F.struct(-F.coalesce(F.unix_micros("started_at"), F.lit(-1 << 62)), "trace_id")).alias("representative_trace_id"))
     entries = [F.lit(p) for kv in DESCRIPTIONS.items() for p in kv]
     plain = F.create_map(*entries)[F.col("pattern")]
     described = F.when(F.col("pattern") == "edge_case/slow_response", F.format_string(DESCRIPTIONS["edge_case/slow_response"], "p95")).when(
         F.col("pattern") == "positive_example/fast_success", F.format_string(DESCRIPTIONS["positive_example/fast_success"], "p50")).otherwise(plain)
-    return counts.join(ids, key).select(*key, described.alias("description"), "traces", "trace_ids",
-                                        F.col("trace_ids")[0].alias("representative_trace_id"))
+    return counts.select(*key, described.alias("description"), "traces", "representative_trace_id")
 
 
-def fallback_cases(categorised: DataFrame, per_pattern: int = 3) -> DataFrame:
-    """Heuristic cases from the newest traces of each pattern."""
-    rows = top_per_key(categorised, ["project_id", "pattern"], newest_first(), per_pattern, "n").where(
-        "query IS NOT NULL OR messages IS NOT NULL")
+def fallback_cases(categorised: DataFrame, per_pattern: int | None = None) -> DataFrame:
+    """Heuristic cases from the traces of each pattern, or from its newest ``per_pattern``."""
+    rows = pattern_traces(categorised, per_pattern).where("query IS NOT NULL OR messages IS NOT NULL")
     sub = F.element_at(F.split("pattern", "/"), 2)
     positive = F.col("pattern").startswith("positive_example") & (F.col("response") != "")
     many_words = F.size(F.filter(F.split("response", r"\s+"), lambda w: w != "")) > 3
@@ -146,7 +156,7 @@ def fallback_cases(categorised: DataFrame, per_pattern: int = 3) -> DataFrame:
     return rows.select(
         "project_id", "pattern", F.concat_ws("_", F.lit("fallback"), sub, F.col("n").cast("string")).alias("case_id"),
         F.concat_ws("_", F.lit("fallback"), sub, F.lit("case"), F.col("n").cast("string")).alias("case_name"), "query", "messages",
-        F.when(positive, F.substring(F.try_element_at(phrases, F.lit(1)), 1, 100)).alias("expected_contains"), assertions.alias("assertions"),
+        F.when(positive, F.try_element_at(phrases, F.lit(1))).alias("expected_contains"), assertions.alias("assertions"),
         F.concat_ws("|", F.element_at(F.split("pattern", "/"), 1), sub, F.lit("fallback")).alias("tags"), F.col("trace_id").alias("source_trace_id"))
 
 
@@ -176,8 +186,8 @@ def parse_generated(responses: DataFrame, text: str = "response") -> DataFrame:
         F.when(expects | (F.size("_valid") > 0), F.col("_valid")).otherwise(default).alias("assertions"), F.col("c.tags").alias("case_tags"))
 
 
-def suite_rows(cases: DataFrame, cap: int | None = 50) -> DataFrame:
-    """Suite documents, one JSON text per case; at most ``cap`` cases per project."""
+def suite_rows(cases: DataFrame, cap: int | None = None) -> DataFrame:
+    """Suite documents, one JSON text per case; all, or at most ``cap`` cases per project."""
     rows = cases if cap is None else top_per_key(cases, ["project_id"], [F.col("pattern"), F.col("case_id")], cap)
     source = json_object({
         "query": F.when(F.col("messages").isNull(), json_value(F.coalesce("query", F.lit("[No input extracted]")))),

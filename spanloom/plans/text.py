@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import json_value
 from ..functions.vectors import jaccard, words
 from ..operators import evalmine as L, grounding as K
 from ..sources.readers import table
@@ -155,8 +156,8 @@ cio AS (SELECT trace_id, arg_min(CASE WHEN role = 'user' THEN text ELSE '' END,
     arg_max(CASE WHEN role = 'assistant' THEN text ELSE '' END, ROW(started_at, span_id)) FILTER (NOT tool) AS answer,
     arg_min(message, ROW(started_at, span_id)) FILTER (failed) AS error_text, coalesce(bool_and(NOT failed) FILTER (tool), false) AS all_tools_ok,
     coalesce(bool_or(failed) FILTER (tool), false) AS any_tool_error FROM cs GROUP BY trace_id),
-io AS (SELECT ct.*, CASE WHEN coalesce(prompt, '') = '' THEN '[Trace from ' || service_name || ']' WHEN length(prompt) > 500 THEN left(prompt, 500) || '...' ELSE prompt END AS query,
-    CASE WHEN length(answer) > 500 THEN left(answer, 500) || '...' ELSE coalesce(answer, '') END AS response, error_text, all_tools_ok, any_tool_error
+io AS (SELECT ct.*, CASE WHEN coalesce(prompt, '') = '' THEN '[Trace from ' || service_name || ']' ELSE prompt END AS query,
+    coalesce(answer, '') AS response, error_text, all_tools_ok, any_tool_error
   FROM ct JOIN cio USING (trace_id)),
 lim AS (SELECT project_id, quantile_cont(duration_ms, 0.5) AS p50, list_sort(list(duration_ms))[CASE WHEN count(*) >= 5 THEN CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT) + 1 ELSE count(*) END] AS p95
   FROM io GROUP BY project_id),
@@ -203,18 +204,29 @@ def _(spark, d):
 
 
 @reg.add("l5_patterns", EVAL + """
-SELECT project_id, pattern, count(*) AS traces, string_agg(trace_id, '|' ORDER BY n) FILTER (n <= 20) AS trace_ids,
-  arg_min(trace_id, n) AS representative_trace_id FROM ranked GROUP BY ALL""")
+SELECT project_id, pattern, count(*) AS traces, arg_min(trace_id, n) AS representative_trace_id FROM ranked GROUP BY ALL""")
 def _(spark, d):
     return L.patterns(categorised(spark, d)).drop("description")
 
 
+@reg.add("l5_pattern_traces", EVAL + "SELECT project_id, pattern, n, trace_id FROM ranked")
+def _(spark, d):
+    return L.pattern_traces(categorised(spark, d)).select("project_id", "pattern", "n", "trace_id")
+
+
+@reg.add("l2_tool_steps", EVAL + """
+SELECT project_id, trace_id, span_id, row_number() OVER (PARTITION BY project_id, trace_id ORDER BY started_at, span_id) AS position,
+  CASE WHEN turn % 2 = 0 THEN 'search' ELSE role END AS tool, CASE WHEN failed THEN 'error' ELSE 'success' END AS tool_status FROM cs WHERE tool""")
+def _(spark, d):
+    return L.tool_steps(conversation_spans(spark, d))
+
+
 CASES = r"""
 , cases AS (SELECT project_id, pattern, 'fallback_' || split_part(pattern, '/', 2) || '_' || n AS case_id, query,
-  CASE WHEN pattern LIKE 'positive%' AND response <> '' THEN left(list_filter(list_transform(string_split(response, '.'),
-    lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 10)[1], 100) END AS expected_contains,
+  CASE WHEN pattern LIKE 'positive%' AND response <> '' THEN list_filter(list_transform(string_split(response, '.'),
+    lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) > 10)[1] END AS expected_contains,
   CASE WHEN pattern LIKE 'positive%' AND len(list_filter(regexp_split_to_array(response, '\s+'), lambda w: w <> '')) > 3 THEN 2 ELSE 1 END AS assertions,
-  trace_id AS source_trace_id FROM ranked WHERE n <= 3)"""
+  trace_id AS source_trace_id FROM ranked)"""
 
 
 @reg.add("l6_fallback_cases", EVAL + CASES + "SELECT * FROM cases")
@@ -224,26 +236,24 @@ def _(spark, d):
 
 
 def answers_with_cases(spark, d):
-    """Answer texts with a JSON array of cases around each first line of a turn."""
+    """Answer texts with a JSON array of cases around the whole text of each turn."""
     t = turns(spark, d)
-    first = F.substring(F.regexp_replace(F.element_at(F.split("text", "\n"), 1), r"[^\p{L} ]", ""), 1, 40)
     typed = B.pick(L.ASSERTION_TYPES + ["telepathy"], F.col("turn") % 9)
-    body = F.format_string('Here: ```json\n[{"name":"case","input":{"query":"%s"},"assertions":[{"type":"%s"}],"expected":{"contains":%s}},{"input":{"query":"b"}}]\n```',
-                           first, typed, F.when(F.col("turn") % 2 == 0, '["x"]').otherwise("[]"))
+    body = F.format_string('Here: ```json\n[{"name":"case","input":{"query":%s},"assertions":[{"type":"%s"}],"expected":{"contains":%s}},{"input":{"query":"b"}}]\n```',
+                           json_value(F.col("text")), typed, F.when(F.col("turn") % 2 == 0, '["x"]').otherwise("[]"))
     return t.select("span_id", F.lit("slow").alias("subcategory"), body.alias("response"))
 
 
 @reg.add("l7_parsed_cases", with_(TURNS) + r"""
-, f AS (SELECT span_id, turn, left(regexp_replace(split_part(text, chr(10), 1), '[^\p{L} ]', '', 'g'), 40) AS q FROM turns)
-SELECT span_id, 'slow_case_1' AS case_id, 'case' AS case_name, q AS query, CASE WHEN turn % 9 = 8 AND turn % 2 = 0 THEN 0 ELSE 1 END AS assertions FROM f
-UNION ALL SELECT span_id, 'slow_slow_case_2_2', 'slow_case_2', 'b', 1 FROM f""")
+SELECT span_id, 'slow_case_1' AS case_id, 'case' AS case_name, text AS query, CASE WHEN turn % 9 = 8 AND turn % 2 = 0 THEN 0 ELSE 1 END AS assertions FROM turns
+UNION ALL SELECT span_id, 'slow_slow_case_2_2', 'slow_case_2', 'b', 1 FROM turns""")
 def _(spark, d):
     out = L.parse_generated(answers_with_cases(spark, d))
     return out.select("span_id", "case_id", "case_name", "query", F.size("assertions").alias("assertions"))
 
 
 @reg.add("l8_suite_documents", EVAL + CASES + """
-SELECT project_id, case_id, query, source_trace_id FROM cases QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY pattern, case_id) <= 50""")
+SELECT project_id, case_id, query, source_trace_id FROM cases""")
 def _(spark, d):
     docs = L.suite_rows(L.fallback_cases(categorised(spark, d)))
     doc = F.from_json("case", "struct<input:struct<query:string>,metadata:struct<source_trace_id:string>>")

@@ -236,3 +236,27 @@ def test_refused_feature_calls_are_no_usage(spark):
                                "call_id long, user_id long, feature string, used_at timestamp, tier string")
     got = {r["call_id"]: r["decision"] for r in M.feature_decisions(df, "call_id", {"drift": 1}, {"drift": 2}).collect()}
     assert got == {0: "refused", 1: "refused", 2: "refused", 3: "allowed", 4: "allowed", 5: "overage", 6: "overage"}
+
+
+# ---- evaluation cases from whole texts ------------------------------------------------
+def test_trace_io_keeps_whole_texts_and_projects_apart(spark):
+    long = "word " * 2000 + "end."
+    chat = '[\n {"role": "user", "content": "hi"}]'
+    prompts = [("p", "t", long), ("q", "t", chat), ("p", "u", "[1, 2]"), ("p", "v", "[{broken"), (None, "t", "none")]
+    traces = spark.createDataFrame([(p, t, "svc", "success", ts("2024-01-01")) for p, t, _ in prompts],
+                                   "project_id string, trace_id string, service_name string, status string, started_at timestamp")
+    spans = spark.createDataFrame([(p, t, "s", "llm", "x", ts("2024-01-01"), "success", json.dumps({"llm.prompt": m, "llm.response": long}), "[]") for p, t, m in prompts],
+                                  "project_id string, trace_id string, span_id string, span_type string, name string, started_at timestamp, status string, attributes string, events string")
+    got = {(r["project_id"], r["trace_id"]): (r["query"], r["messages"], r["response"]) for r in L.trace_io(traces, spans).collect()}
+    assert got == {("p", "t"): (long, None, long), ("q", "t"): (None, chat, long), ("p", "u"): ("[1, 2]", None, long),
+                   ("p", "v"): ("[{broken", None, long), (None, "t"): ("none", None, long)}
+
+
+def test_all_traces_of_a_pattern_give_cases(spark):
+    rows = [("p", "edge_case/slow_response", f"t{i:03d}", ts("2024-01-01") + dt.timedelta(hours=i) if i else None, f"q{i}", None, "") for i in range(120)]
+    df = spark.createDataFrame(rows, "project_id string, pattern string, trace_id string, started_at timestamp, query string, messages string, response string")
+    cases = L.fallback_cases(df)
+    assert cases.count() == L.suite_rows(cases).count() == 120
+    numbers = {r["trace_id"]: r["n"] for r in L.pattern_traces(df).collect()}
+    assert numbers == {f"t{i:03d}": 120 - i for i in range(120)}
+    assert L.fallback_cases(df, per_pattern=3).count() == 3

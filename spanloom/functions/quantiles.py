@@ -21,10 +21,12 @@ BINS_PER_E_FOLD = 64
 
 
 def value_bin(value: Column, resolution: int = BINS_PER_E_FOLD) -> Column:
-    """Monotone logarithmic bin of a double."""
+    """Monotone bin of a double: of equal relative width at every magnitude, zero apart."""
     v = value.cast("double")
     size = F.least(F.abs(v), F.lit(1.7e308))  # infinities share the outermost bin
-    return (F.signum(v) * F.floor(F.log1p(size) * resolution)).cast("long")
+    # ln of the least double is above -746, so bins of non-zero values are positive before the sign
+    place = F.floor((F.log(size) + 746) * resolution)
+    return F.when(v == 0, F.lit(0).cast("long")).otherwise((F.signum(v) * place).cast("long"))
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

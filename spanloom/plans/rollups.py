@@ -178,7 +178,7 @@ SELECT project_id, workflow_id, model, vendor, CAST(sum(call_count) AS BIGINT) A
   round(avg(avg_latency_ms), 6) AS avg_latency_ms
 FROM e2 WHERE {DAYS.format(n=30)} GROUP BY project_id, workflow_id, model, vendor""")
 def _(spark, d):
-    return R.model_usage_by_workflow(R.ai_node_daily(spans(spark, d)), as_of())
+    return R.model_usage_by_workflow(R.ai_node_daily(spans(spark, d), quantiles=False), as_of())
 
 
 @reg.add("e8_most_expensive_workflows", with_(SPANS, TRACES, E1, E2) + f"""
@@ -190,14 +190,14 @@ SELECT * FROM (
     USING (project_id, workflow_id)
   WHERE {DAYS.format(n=30)} GROUP BY project_id, workflow_name) WHERE rank <= 10""")
 def _(spark, d):
-    return R.most_expensive_workflows(R.ai_node_daily(spans(spark, d)), R.workflow_daily(traces(spark, d)), as_of())
+    return R.most_expensive_workflows(R.ai_node_daily(spans(spark, d), quantiles=False), R.workflow_daily(traces(spark, d), quantiles=False), as_of())
 
 
 @reg.add("e9_error_rate_trend", with_(EV, TRACES, E1) + f"""
 SELECT project_id, workflow_name, date, execution_count, error_count,
   round(error_count / execution_count * 100, 2) AS error_rate_pct FROM e1 WHERE {DAYS.format(n=30)}""")
 def _(spark, d):
-    return R.error_rate_trend(R.workflow_daily(traces(spark, d)), as_of())
+    return R.error_rate_trend(R.workflow_daily(traces(spark, d), quantiles=False), as_of())
 
 
 @reg.add("e10_slowest_nodes", with_(SPANS, E3) + f"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions.ordering import HOUR_US, first_per_key, latest_per_key, position, previous, running, time_bucket, top_per_key
-from spanloom.functions.quantiles import agg_with_quantiles, exact_quantiles, order_statistic
+from spanloom.functions.quantiles import agg_with_quantiles, exact_quantiles, order_statistic, value_bin
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,12 @@ def test_top_k_is_pruned_before_the_shuffle(df):
 def test_empty_input(df):
     assert exact_quantiles(df.where("false"), ["key"], "v", {"x": 0.5}).collect() == []
     assert position(df.where("false"), ["key"], time_bucket(F.col("ts")), [F.col("ts")], "n").collect() == []
+
+
+def test_small_values_have_many_bins(spark):
+    df = spark.range(1, 1001).select((F.col("id") / 1e6).alias("v"), (F.col("id") / -1e9).alias("w"), F.lit(5e-324).alias("least"))
+    for c in ("v", "w"):
+        bins = [r[0] for r in df.orderBy(c).select(value_bin(F.col(c))).collect()]
+        # about 64 values lie a bin apart, the rest span ln(1000 / 64) * 64 = 176 bins
+        assert bins == sorted(bins) and len(set(bins)) > 230
+    assert df.select(value_bin(F.col("least")) > 0, value_bin(-F.col("least")) < 0, value_bin(F.lit(0.0)) == 0).first() == (True, True, True)

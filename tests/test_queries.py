@@ -1,6 +1,6 @@
 """Registered queries against their checking SQL, and plan shapes.
 
-By default every third query runs on the smallest data; ALL_QUERIES=1 runs all.
+By default every fourth query runs on the smallest data; ALL_QUERIES=1 runs all.
 """
 
 import os

@@ -1,10 +1,11 @@
 """Near duplicates: consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
 Weights. A document's shingles are its runs of five words; a shingle's weight is its count
-times 1 + idf/2, with idf = log(N / df) / log(N) between 0 and 1, so frequent passages count
-less than rare ones, by a third at most. Document frequencies cover all documents, in a table of
-2**18 hashed counts from which the mean load of a cell is taken off. Weights are rounded to
-steps of 1/8 in the logarithm; the rounded ones are meant everywhere below.
+times 1 + idf/8, with idf = log(N / df) / log(N) between 0 and 1, so frequent passages count
+less than rare ones, by a ninth at most: words changed in a much-copied text are rare, and must not
+outweigh what the copies share. Document frequencies cover all documents, in a table of
+2**18 hashed counts from which the mean load of a cell is taken off. Counts are rounded to
+steps of 1/4 in the logarithm, idf to thirds; the rounded weights are meant everywhere below.
 
 Samples. Improved consistent weighted sampling: a shingle's r, c ~ Gamma(2, 1) and b ~ U(0, 1)
 depend on the shingle and the sample's number only; t = floor(ln w / r + b) and a = c / exp(r (t - b) + r);
@@ -15,13 +16,16 @@ shingle and the sample's number; as weights have few steps, a and t are tables t
 Candidates. 24 bands of 5 samples: a pair of similarity 0.8 meets in some band with probability
 0.9999. Documents of equal words are first replaced by one of them. In a bucket of at most ``FEW``
 documents all pairs are candidates. In a larger one, each document is paired with the least of the
-bucket, and with the least of those that agree in a sixth, and a seventh, sample too; groups of
-copies are so joined by trees, not by all their pairs. One byte of each of the 120 samples is
+bucket, with the least of those that agree in a sixth, and a seventh, sample too, and with the
+``NEIGHBOURS`` before it when the bucket is sorted by the samples that follow the band, which are those
+that share the longest run of samples with it; groups of copies are so joined by trees and
+chains, not by all their pairs. One byte of each of the 120 samples is
 kept to drop pairs whose estimated similarity is 5 standard errors below the threshold.
 
 Verification. The weighted Jaccard similarity is computed from both whole texts: first for the best
 partner of each document, then for all remaining candidates whose ends aren't yet in one
-component; a link inside a component would not change it.
+component; a link inside a component would not change it. A pair whose shingles without weights reach
+the threshold is a link as well.
 
 Null, empty and wordless texts are each a class of their own. A text of one to four words has one
 shingle. Of rows that repeat an id, the one of the least word-list digest makes its candidates; rows
@@ -45,19 +49,22 @@ SAMPLES = BANDS * ROWS
 CELLS = 1 << 18
 SLOTS = 1 << 16
 FEW = 8
-STEP = 8  # steps of ln w per unit
-LEVELS = 64
+NEIGHBOURS = 2
+COUNTS, RARITIES = 32, 4
+LEVELS = COUNTS * RARITIES
+#: Weight of each level: e**(c/4) for a count, times 1 to 1 + 1/8 for rarity.
+WEIGHTS = (np.exp(np.arange(COUNTS) / 4)[:, None] * (1 + np.arange(RARITIES) / (RARITIES - 1) / 8)).ravel()
 SLICE = 1 << 19
 
 
 class Frequencies:
-    """Hashed document frequencies, as the factor of each cell's weight."""
+    """Hashed document frequencies, as the rarity level of each cell."""
 
     def __init__(self, counts: np.ndarray, documents: int) -> None:
         load = counts.sum() / CELLS
         df = np.maximum(1.0, counts - load)
         n = max(documents, 2)
-        self.log_weight = np.log1p(0.5 * np.clip(np.log(n / df) / np.log(n), 0, 1)).astype(np.float32)
+        self.rarity = np.rint(np.clip(np.log(n / df) / np.log(n), 0, 1) * (RARITIES - 1)).astype(np.int8)
 
 
 def cell(h: np.ndarray) -> np.ndarray:
@@ -81,7 +88,7 @@ def weighted(column: pa.Array, frequencies: Frequencies | None):
     begin = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(at) - 1))])
     level = None
     if frequencies is not None:
-        level = np.minimum(np.rint((np.log(count) + frequencies.log_weight[cell(s)]) * STEP).astype(np.int64), LEVELS - 1)
+        level = np.minimum(np.rint(np.log(count) * 4).astype(np.int64), COUNTS - 1) * RARITIES + frequencies.rarity[cell(s)]
     return s, level, begin, (h, first)
 
 
@@ -106,7 +113,7 @@ class Sampler:
     def __init__(self, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         r, c, b = rng.gamma(2, 1, SLOTS), rng.gamma(2, 1, SLOTS), rng.random(SLOTS)
-        t = np.floor((np.arange(LEVELS) / STEP)[:, None] / r + b)
+        t = np.floor(np.log(WEIGHTS)[:, None] / r + b)
         a = (c / np.exp(r * (t - b) + r)).astype(np.float32)
         # the order of positive floats is that of their bits; t tells apart two weights of one shingle
         self.key = (a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | ((t.astype(np.int64).astype(np.uint64) & np.uint64(0xFF)) << np.uint64(24))
@@ -144,11 +151,13 @@ def worker_sampler() -> Sampler:
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two (sorted hashes, weights)."""
+    """Jaccard of two (sorted hashes, weights): the weighted one, or the plain one where that is higher."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = np.minimum(a[1][i], b[1][j]).sum()
     either = a[1].sum() + b[1].sum() - both
-    return float(both / either) if either else 1.0
+    if not either:
+        return 1.0
+    return max(float(both / either), len(i) / (len(a[0]) + len(b[0]) - len(i)))
 
 
 def document_frequencies(narrow: DataFrame) -> Shared:
@@ -198,7 +207,8 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     keyed = rows.select("id", F.posexplode("bands").alias("band", "key"), "bytes")
     extra = lambda n: F.substring("bytes", ((F.col("band") * ROWS + ROWS) % SAMPLES + 1).cast("int"), F.lit(n))
     # a key says which samples agree: those of the band, and one or two of the next band as well
-    level0 = keyed.select("id", "key", F.xxhash64("key", extra(1)).alias("key1"), F.xxhash64("key", extra(2)).alias("key2"))
+    after = F.substring(F.concat("bytes", "bytes"), (F.col("band") * ROWS + ROWS + 1).cast("int"), F.lit(16))
+    level0 = keyed.select("id", "key", F.xxhash64("key", extra(1)).alias("key1"), F.xxhash64("key", extra(2)).alias("key2"), after.alias("after"))
     few = (level0.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1"))
     placed = level0.join(few, "key")
     small = (placed.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -208,7 +218,32 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     for finer in ("key1", "key2"):
         low = large.groupBy(finer).agg(F.min("id").alias("v"), F.count("*").alias("m")).where("m > 1")
         pairs = pairs.unionByName(large.select(F.col("id").alias("u"), finer).join(low, finer).select("u", "v"))
-    return pairs.where("u > v").distinct()
+    return pairs.unionByName(neighbours(large.select("key", "after", "id"))).where("u > v").distinct()
+
+
+def neighbours(large: DataFrame) -> DataFrame:
+    """Pairs of documents at most ``NEIGHBOURS`` apart in their bucket, sorted by the samples after the band.
+
+    Ranges of (bucket, samples, id) are dealt to tasks, so a bucket may spread over many of them.
+    """
+    def run(batches):
+        keys, ids = np.zeros(0, np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last rows of the batch before stand in front
+            ids = batch.column(1) if ids is None else pa.concat_arrays([ids, batch.column(1)])
+            keys = np.concatenate([keys, batch.column(0).to_numpy()])
+            old = len(keys) - batch.num_rows
+            for lag in range(1, NEIGHBOURS + 1):
+                at = np.arange(max(old, lag), len(keys))
+                at = at[keys[at] == keys[at - lag]]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), ids.take(pa.array(at - lag))], ["a", "b"])
+            keys, ids = keys[-NEIGHBOURS:], ids[-NEIGHBOURS:]
+
+    kind = large.schema["id"].dataType.simpleString()
+    placed = large.repartitionByRange("key", "after", "id").sortWithinPartitions("key", "after", "id").select("key", "id")
+    return placed.mapInArrow(run, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
 def estimated(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -246,7 +281,7 @@ def verified(pairs: DataFrame, narrow: DataFrame, frequencies: Shared, threshold
                 sides = []
                 for c in (2, 3):
                     s, level, begin, _ = weighted(batch.column(c), frequencies.value)
-                    w = np.exp(level / STEP)
+                    w = WEIGHTS[level]
                     sides.append([(s[a:b], w[a:b]) for a, b in zip(begin[:-1], begin[1:])])
                 sim = np.array([similarity(a, b) for a, b in zip(*sides)])
                 keep = pa.array(sim >= threshold)

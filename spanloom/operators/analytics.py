@@ -177,17 +177,18 @@ def batch_summary(executions: DataFrame) -> DataFrame:
         F.when(failed == 0, "completed").when(done == 0, "failed").otherwise("partial").alias("status"))
 
 
-def replay_differences(original: DataFrame, modified: DataFrame, fields: list[str], cut: int = 500) -> DataFrame:
+def replay_differences(original: DataFrame, modified: DataFrame, fields: list[str], cut: int | None = None) -> DataFrame:
     """Field-by-field differences of two span sets joined on (trace, span name)."""
     key = ["trace_id", "span_name"]
+    shown = (lambda c: F.col(c)) if cut is None else (lambda c: F.substring(c, 1, cut))
     o = original.select(*key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias("o"))
     m = modified.select(*key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias("m"))
     pairs = o.join(m, key, "full_outer").withColumn("f", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"o.{f}").alias("original_value"),
                  F.col(f"m.{f}").alias("modified_value")) for f in fields])))
     return pairs.where(~F.col("f.original_value").eqNullSafe(F.col("f.modified_value"))).select(
-        *key, "f.field", F.substring("f.original_value", 1, cut).alias("original_value"),
-        F.substring("f.modified_value", 1, cut).alias("modified_value"))
+        *key, "f.field", shown("f.original_value").alias("original_value"),
+        shown("f.modified_value").alias("modified_value"))
 
 
 def monthly_replays(executions: DataFrame, traces: DataFrame, as_of: Column, cap: int = 100) -> DataFrame:

@@ -24,6 +24,13 @@ MEASURES = {
     "model": ("llm.model", "str"),
 }
 
+# ---- fixed values: what is said of a cause ---------------------------------------------------
+CAUSES = {
+    "model_change": "Model changed: ",
+    "input_complexity_increase": "Input complexity increased by %.1f%%",
+    "error_rate_increase": "Error rate increased (success rate dropped %.1f%%)",
+}
+
 
 def agent_rows(spans: DataFrame, types: list[str] | None = None) -> DataFrame:
     rows = with_attrs(spans.where(F.col("span_type").isin(types or ["agent"])), MEASURES)
@@ -171,15 +178,15 @@ def with_causes(scored: DataFrame, models: DataFrame) -> DataFrame:
                         F.lit(confidence).alias("confidence"))
 
     changed = F.when(F.size("models") > 1, cause(
-        "model_change", F.concat(F.lit("Model changed: "), F.array_join("models", ", ")), 0.9))
+        "model_change", F.concat(F.lit(CAUSES["model_change"]), F.array_join("models", ", ")), 0.9))
     heavier = F.transform(
         F.filter("anomalies", lambda m: (m["metric_name"] == "token_usage") & (m["z_score"] > 0)),
         lambda m: cause("input_complexity_increase",
-                        F.format_string("Input complexity increased by %.1f%%", m["change_percent"]), 0.8))
+                        F.format_string(CAUSES["input_complexity_increase"], m["change_percent"]), 0.8))
     failing = F.transform(
         F.filter("anomalies", lambda m: (m["metric_name"] == "success_rate") & (m["direction"] == "decreased")),
         lambda m: cause("error_rate_increase", F.format_string(
-            "Error rate increased (success rate dropped %.1f%%)", F.abs(m["change_percent"])), 0.95))
+            CAUSES["error_rate_increase"], F.abs(m["change_percent"])), 0.95))
     found = F.filter(F.concat(F.array(changed), heavier, failing), lambda c: c.isNotNull())
     return scored.where(F.size("anomalies") > 0).join(models, AGENT, "left").withColumn("causes", found).drop("models")
 

@@ -49,6 +49,20 @@ FIX_TIME = {
     "network_error": "5-10 minutes", "auth_failure": "5-10 minutes",
 }
 DEFAULT_FIX_TIME = "10-30 minutes"
+# ---- fixed values: advice per class (title, action, confidence, effect on cost) ------------
+ADVICE = {
+    "rate_limit": ("Wait and retry with exponential backoff", "replay", 0.95, None),
+    "rate_limit_expensive": ("Switch to gpt-4o-mini for lower rate limits", "replay", 0.85, "-83% cost, +200% rate limit capacity"),
+    "token_limit": ("Increase max_tokens to %d", "replay", 0.90, "+50%% output capacity, +$%.4f per call"),
+    "token_limit_prompt": ("Compress your system prompt", "code_change", 0.70, "-20% input tokens"),
+    "auth_failure": ("Check your API key configuration", "config_change", 0.95, None),
+    "model_not_found": ("Try %s instead", "replay", 0.80, "Similar pricing and capabilities"),
+    "network_error": ("Retry the request", "replay", 0.85, None),
+    "network_error_setup": ("Check your network connection", "config_change", 0.70, None),
+    "tool_error": ("Verify tool is registered", "code_change", 0.80, None),
+    "unknown": ("Review the error message", "code_change", 0.50, None),
+}
+DEFAULT_ADVICE = "Review error details"
 # ---- fixed values: replacement models ----------------------------------------------------
 GPT4_ALTERNATIVES = ["gpt-4o", "gpt-4-turbo", "gpt-4o-mini"]
 GPT35_ALTERNATIVES = ["gpt-4o-mini", "gpt-3.5-turbo"]
@@ -103,13 +117,12 @@ def model_alternatives(model: Column) -> Column:
             .otherwise(F.array().cast("array<string>")))
 
 
-def recommendation(title: Column | str, action: str, confidence: float, params: Column | None = None,
-                   impact: Column | str | None = None) -> Column:
-    def text(v):
-        return F.lit(v).cast("string") if v is None or isinstance(v, str) else v
-
-    return F.struct(text(title).alias("title"), F.lit(action).alias("action_type"), F.lit(confidence).alias("confidence"),
-                    text(params).alias("replay_params"), text(impact).alias("cost_impact"))
+def recommendation(name: str, params: Column | None = None, title: Column | None = None, impact: Column | None = None) -> Column:
+    """One entry of ``ADVICE``; title and impact may be filled in."""
+    words, action, confidence, effect = ADVICE[name]
+    return F.struct((F.lit(words) if title is None else title).alias("title"), F.lit(action).alias("action_type"), F.lit(confidence).alias("confidence"),
+                    (F.lit(None).cast("string") if params is None else params).alias("replay_params"),
+                    (F.lit(effect).cast("string") if impact is None else impact).alias("cost_impact"))
 
 
 def recommendations(category: Column, model: Column, max_tokens: Column) -> Column:
@@ -118,25 +131,18 @@ def recommendations(category: Column, model: Column, max_tokens: Column) -> Colu
     more = F.floor(tokens * 1.5).cast("long")
     expensive = F.lower(model).contains("gpt-4") & ~F.lower(model).contains("mini")
     alternatives = F.transform(model_alternatives(model), lambda alt: recommendation(
-        F.concat(F.lit("Try "), alt, F.lit(" instead")), "replay", 0.80, F.to_json(F.struct(alt.alias("model"))),
-        "Similar pricing and capabilities"))
+        "model_not_found", F.to_json(F.struct(alt.alias("model"))), F.format_string(ADVICE["model_not_found"][0], alt)))
     per_class = {
-        "rate_limit": [
-            recommendation("Wait and retry with exponential backoff", "replay", 0.95, F.lit("{}")),
-            F.when(expensive, recommendation(
-                "Switch to gpt-4o-mini for lower rate limits", "replay", 0.85, F.lit('{"model":"gpt-4o-mini"}'),
-                "-83% cost, +200% rate limit capacity"))],
+        "rate_limit": [recommendation("rate_limit", F.lit("{}")),
+                       F.when(expensive, recommendation("rate_limit_expensive", F.lit('{"model":"gpt-4o-mini"}')))],
         "token_limit": [
-            recommendation(F.format_string("Increase max_tokens to %d", more), "replay", 0.90,
-                           F.to_json(F.struct(more.alias("max_tokens"))),
-                           F.format_string("+50%% output capacity, +$%.4f per call", (more - tokens) * 0.00001)),
-            recommendation("Compress your system prompt", "code_change", 0.70, None, "-20% input tokens")],
-        "auth_failure": [recommendation("Check your API key configuration", "config_change", 0.95)],
-        "network_error": [
-            recommendation("Retry the request", "replay", 0.85, F.lit("{}")),
-            recommendation("Check your network connection", "config_change", 0.70)],
-        "tool_error": [recommendation("Verify tool is registered", "code_change", 0.80)],
-        "unknown": [recommendation("Review the error message", "code_change", 0.50)],
+            recommendation("token_limit", F.to_json(F.struct(more.alias("max_tokens"))), F.format_string(ADVICE["token_limit"][0], more),
+                           F.format_string(ADVICE["token_limit"][3], (more - tokens) * 0.00001)),
+            recommendation("token_limit_prompt")],
+        "auth_failure": [recommendation("auth_failure")],
+        "network_error": [recommendation("network_error", F.lit("{}")), recommendation("network_error_setup")],
+        "tool_error": [recommendation("tool_error")],
+        "unknown": [recommendation("unknown")],
     }
     out = F.when(category == "model_not_found", alternatives)
     for name, advice in per_class.items():
@@ -192,7 +198,7 @@ def top_issues(classified: DataFrame, k: int = 5, newest: int | None = None) ->
         rows = top_per_key(rows, ["project_id"], [F.desc("started_at"), F.col("span_id")], newest)
     advice = F.try_element_at(recommendations(F.col("category"), F.col("model"), F.col("max_tokens")), F.lit(1))["title"]
     latest = F.struct("started_at", "span_id")
-    out = rows.withColumn("_advice", F.coalesce(advice, F.lit("Review error details"))).groupBy("project_id", "category").agg(
+    out = rows.withColumn("_advice", F.coalesce(advice, F.lit(DEFAULT_ADVICE))).groupBy("project_id", "category").agg(
         F.count("*").alias("error_count"), F.max_by("severity", latest).alias("severity"),
         F.max_by("trace_id", latest).alias("latest_trace_id"), F.max_by("_advice", latest).alias("recommendation"),
         F.max(latest).alias("_latest"))
@@ -216,15 +222,17 @@ def debug_timeline(spans: DataFrame) -> DataFrame:
         F.nullif("parent_span_id", F.lit("")).alias("parent_span_id"))
 
 
-def _cut(text: Column, n: int) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+def debug_digest(spans: DataFrame, page_spans: int = 200, chars: int | None = None) -> DataFrame:
+    """Text of the spans, errors and details of each trace, as pages of ``page_spans`` spans in time order.
+
+    ``chars`` shortens prompts, answers and inputs; by default they are whole.
+    """
+    numbered = position(spans, ["trace_id"], time_bucket(F.col("started_at"), HOUR_US), [F.col("started_at"), F.col("span_id")], "n")
 
+    def shown(value: Column) -> Column:
+        return value if chars is None else F.when(F.length(value) > chars, F.concat(F.substring(value, 1, chars), F.lit("..."))).otherwise(value)
 
-def debug_digest(spans: DataFrame, timeline_lines: int = 30, detail_spans: int = 20) -> DataFrame:
-    """One text per trace: its first spans, error texts and key details."""
-    order = [F.col("started_at"), F.col("span_id")]
-    first = top_per_key(spans, ["trace_id"], order, timeline_lines, "n")
-    rows = with_attrs(first, {
+    rows = with_attrs(numbered, {
         "_model": ("llm.model", "str"), "_model2": ("gen_ai.request.model", "str"), "_prompt": ("llm.prompt", "str"),
         "_prompt2": ("gen_ai.prompt", "str"), "_answer": ("llm.response", "str"), "_answer2": ("gen_ai.completion", "str"),
         "_tokens": ("llm.total_tokens", "str"), "_tool": ("tool.name", "str"), "_input": ("tool.input", "str"),
@@ -233,7 +241,7 @@ def debug_digest(spans: DataFrame, timeline_lines: int = 30, detail_spans: int =
     line = F.concat(
         F.format_string("  [%s] %s (%s) - %.0fms", F.when(is_error(F.col("status")), "ERROR").otherwise("OK"),
                         "name", "span_type", "duration_ms"),
-        F.coalesce(F.concat(F.lit("\n         Error: "), F.substring(error, 1, 200)), F.lit("")))
+        F.coalesce(F.concat(F.lit("\n         Error: "), error), F.lit("")))
 
     def part(label: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(label), value)).otherwise("")
@@ -243,18 +251,18 @@ def debug_digest(spans: DataFrame, timeline_lines: int = 30, detail_spans: int =
             F.format_string("  LLM Call [%s]: model=%s", F.col("name"),
                             blank_to(blank_to(F.col("_model"), F.col("_model2")), "unknown")),
             part(", tokens=", F.col("_tokens")),
-            part("\n    Prompt: ", _cut(blank_to(F.col("_prompt"), F.col("_prompt2")), 300)),
-            part("\n    Response: ", _cut(blank_to(F.col("_answer"), F.col("_answer2")), 300))))
+            part("\n    Prompt: ", shown(blank_to(F.col("_prompt"), F.col("_prompt2")))),
+            part("\n    Response: ", shown(blank_to(F.col("_answer"), F.col("_answer2"))))))
         .when(F.col("span_type") == "tool", F.format_string(
-            "  Tool Call [%s]: input=%s", blank_to(F.col("_tool"), F.col("name")), _cut(F.col("_input"), 200)))
+            "  Tool Call [%s]: input=%s", blank_to(F.col("_tool"), F.col("name")), shown(F.col("_input"))))
         .when(F.col("span_type") == "retrieval", F.format_string(
-            "  Retrieval [%s]: query=%s", F.col("name"), _cut(blank_to(F.col("_query"), F.col("_sql")), 200))))
-    rows = rows.select("trace_id", "n", line.alias("line"), F.when(F.col("n") <= detail_spans, detail).alias("detail"))
-    text = rows.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("n", "line", "detail"))).alias("r"))
+            "  Retrieval [%s]: query=%s", F.col("name"), shown(blank_to(F.col("_query"), F.col("_sql"))))))
+    rows = rows.select("trace_id", F.floor((F.col("n") - 1) / page_spans).cast("long").alias("page"), "n", line.alias("line"), detail.alias("detail"))
+    text = rows.groupBy("trace_id", "page").agg(F.array_sort(F.collect_list(F.struct("n", "line", "detail"))).alias("r"))
     details = F.array_join(F.filter(F.transform("r", lambda x: x["detail"]), lambda x: x.isNotNull()), "\n")
-    return text.select("trace_id", F.concat(
-        F.lit("Execution Timeline (chronological):\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"),
-        F.lit("\n\nKey Span Details:\n"), blank_to(details, "  (No detailed span attributes available)")).alias("digest"))
+    return text.select("trace_id", "page", F.concat(
+        F.lit("Spans by start:\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"),
+        F.lit("\n\nCalls:\n"), blank_to(details, "  none")).alias("digest"))
 
 
 def parse_analysis(responses: DataFrame, text: str = "response") -> DataFrame:
@@ -271,10 +279,10 @@ def parse_analysis(responses: DataFrame, text: str = "response") -> DataFrame:
     conf = F.expr(f"try_cast(regexp_extract({text}, 'CONFIDENCE:\\\\s*([^\\\\n]*)', 1) AS double)")
     return responses.withColumns({
         "root_cause": blank_to(section("ROOT_CAUSE", "EXPLANATION", "FIX_SUGGESTIONS", "CONFIDENCE"),
-                               "Analysis could not determine a specific root cause."),
+                               "The answer names no root cause."),
         "explanation": blank_to(section("EXPLANATION", "FIX_SUGGESTIONS", "CONFIDENCE"),
-                                "Review the execution timeline for details."),
-        "fix_suggestions": F.when(F.size(fixes) > 0, fixes).otherwise(F.array(F.lit("Review span details for more context"))),
+                                "The answer explains nothing."),
+        "fix_suggestions": F.when(F.size(fixes) > 0, fixes).otherwise(F.array(F.lit("The answer proposes no fix."))),
         "confidence": F.when(conf.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))})
 
 
@@ -283,5 +291,5 @@ def parse_explanation(responses: DataFrame, text: str = "response") -> DataFrame
     why = F.trim(F.regexp_extract(text, r"(?s)WHY:\s*(.*?)\s*(?:WHAT:|\z)", 1))
     what = F.trim(F.regexp_extract(text, r"(?s)WHY:.*?WHAT:\s*(.*?)\s*\z", 1))
     return responses.withColumns({
-        "why_it_happened": blank_to(why, "Error analysis unavailable."),
-        "what_to_do": blank_to(what, "Review error details and try suggested fixes.")})
+        "why_it_happened": blank_to(why, "The answer gives no reason."),
+        "what_to_do": blank_to(what, "The answer gives no advice.")})

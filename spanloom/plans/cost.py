@@ -119,7 +119,7 @@ PROMPTS = """
 prompts AS (SELECT doc_id AS prompt_id, text, n_chars // 4 AS tokens, (n_chars // 4) / 100000.0::DOUBLE AS cost,
   TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS asked_at FROM documents)"""
 H9 = """
-h9 AS (SELECT md5(text) AS cluster_id, count(*) AS member_count, left(arg_min(text, ROW(asked_at, prompt_id)), 200) AS representative_text,
+h9 AS (SELECT md5(text) AS cluster_id, count(*) AS member_count, arg_min(text, ROW(asked_at, prompt_id)) AS representative_text,
   avg(tokens) AS avg_tokens, sum(cost) AS total_cost, CASE WHEN count(*) >= 2 THEN
     count(*) / greatest((epoch_us(max(asked_at)) - epoch_us(min(asked_at))) / 86400000000.0::DOUBLE, 1) ELSE count(*) END AS frequency_per_day
   FROM prompts WHERE coalesce(text, '') <> '' AND tokens > 0 GROUP BY md5(text) HAVING count(*) >= 2)"""
@@ -163,7 +163,7 @@ def _(spark, d):
 
 @reg.add("h11_semantic_clusters")
 def _(spark, d):
-    return H.semantic_clusters(table(spark, d, "embeddings"))
+    return H.semantic_clusters(table(spark, d, "embeddings"), 20)
 
 
 @reg.add("h12_embedding_cosine", """

@@ -112,14 +112,14 @@ def _(spark, d):
 
 @reg.add("j11_debug_digest", with_(SPANS) + """
 , r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY started_at, span_id) AS n FROM spans)
-SELECT trace_id, 'Execution Timeline (chronological):' || chr(10) || string_agg('  [' || CASE WHEN status = 'error' THEN 'ERROR' ELSE 'OK' END
+SELECT trace_id, (n - 1) // 200 AS page, 'Spans by start:' || chr(10) || string_agg('  [' || CASE WHEN status = 'error' THEN 'ERROR' ELSE 'OK' END
     || '] ' || name || ' (' || span_type || ') - ' || CAST(CAST(round(CAST(duration_ms AS DECIMAL(18, 4)), 0) AS BIGINT) AS VARCHAR) || 'ms'
     || coalesce(chr(10) || '         Error: ' || error_message, ''), chr(10) ORDER BY n)
-  || chr(10) || chr(10) || 'Key Span Details:' || chr(10) || coalesce(string_agg(CASE span_type
+  || chr(10) || chr(10) || 'Calls:' || chr(10) || coalesce(string_agg(CASE span_type
     WHEN 'llm' THEN '  LLM Call [' || name || ']: model=' || model || ', tokens=' || total_tokens
     WHEN 'tool' THEN '  Tool Call [' || name || ']: input=' WHEN 'retrieval' THEN '  Retrieval [' || name || ']: query=' END,
-    chr(10) ORDER BY n) FILTER (n <= 20 AND span_type <> 'agent'), '  (No detailed span attributes available)') AS digest
-FROM r WHERE n <= 30 GROUP BY trace_id""")
+    chr(10) ORDER BY n) FILTER (span_type <> 'agent'), '  none') AS digest
+FROM r GROUP BY trace_id, page""")
 def _(spark, d):
     return E.debug_digest(spans(spark, d))
 

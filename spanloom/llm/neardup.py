@@ -19,7 +19,8 @@ documents all pairs are candidates. In a larger one, each document is paired wit
 bucket, with the least of those that agree in a sixth, and a seventh, sample too, and with the
 ``NEIGHBOURS`` before it when the bucket is sorted by the samples that follow the band, which are those
 that share the longest run of samples with it; groups of copies are so joined by trees and
-chains, not by all their pairs. One byte of each of the 120 samples is
+chains, not by all their pairs; where most of a large bucket is just below the threshold, a link
+may be missed (figures in the README). One byte of each of the 120 samples is
 kept to drop pairs whose estimated similarity is 5 standard errors below the threshold.
 
 Verification. The weighted Jaccard similarity is computed from both whole texts: first for the best

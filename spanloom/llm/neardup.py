@@ -19,13 +19,14 @@ documents all pairs are candidates. In a larger one, each document is paired wit
 bucket, with the least of those that agree in a sixth, and a seventh, sample too, and with the
 ``NEIGHBOURS`` before it when the bucket is sorted by the samples that follow the band, which are those
 that share the longest run of samples with it; groups of copies are so joined by trees and
-chains, not by all their pairs; where most of a large bucket is just below the threshold, a link
-may be missed (figures in the README). One byte of each of the 120 samples is
-kept to drop pairs whose estimated similarity is 5 standard errors below the threshold.
+chains. These pairs come first only to save work: once they are verified, every pair of a large
+bucket that the links found so far leave in two components is a candidate too (``crowded``), so all
+pairs of all buckets are judged but those whose link would change nothing. One byte of each of the
+120 samples is kept to drop pairs whose estimated similarity is 5 standard errors below the threshold.
 
 Verification. The weighted Jaccard similarity is computed from both whole texts: first for the best
 partner of each document, then for all remaining candidates whose ends aren't yet in one
-component; a link inside a component would not change it. A pair whose shingles without weights reach
+component, then for those of ``crowded``; a link inside a component would not change it. A pair whose shingles without weights reach
 the threshold is a link as well.
 
 Null, empty and wordless texts are each a class of their own. A text of one to four words has one
@@ -51,6 +52,7 @@ CELLS = 1 << 18
 SLOTS = 1 << 16
 FEW = 8
 NEIGHBOURS = 2
+CHUNK = 1024
 COUNTS, RARITIES = 32, 4
 LEVELS = COUNTS * RARITIES
 #: Weight of each level: e**(c/4) for a count, times 1 to 1 + 1/8 for rarity.
@@ -247,6 +249,82 @@ def neighbours(large: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
+def crowded(rows: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (u > v, share) of the buckets of more than ``FEW`` whose ends have different roots, without those far below the threshold.
+
+    A bucket's rows of its most frequent root needn't meet each other; the others meet all. Both are cut
+    into parts of about ``CHUNK``, and each pair of parts is compared in one place. A pair that shares several
+    buckets is compared in the first of them.
+    """
+    placed = rows.join(root, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.posexplode("bands").alias("band", "key"))
+    mixed = (placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+             .groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("root", F.struct("c", "root")).alias("big"))
+             .where((F.col("n") > FEW) & (F.col("n") > F.col("top"))))
+    parts = lambda c: F.ceil(c / CHUNK).cast("int")
+    split = (placed.join(mixed, "key").select("id", "root", "band", "key", (F.col("root") == F.col("big")).alias("main"),
+                                              parts(F.col("top")).alias("pb"), parts(F.col("n") - F.col("top")).alias("po"))
+             .withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("pb")).otherwise(F.col("po"))).cast("int")))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    # places (i, j): rows of the frequent root in part i with others in part j, or others of parts -1 - i and j
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    part = F.col("part")
+    where = F.when(F.col("main"), F.transform(upto("po"), lambda o: place(part, o, F.lit(1)))).otherwise(F.concat(
+        F.transform(upto("pb"), lambda b: place(b, part, F.lit(0))),
+        F.transform(upto("po"), lambda o: place(-1 - F.least(part, o), F.greatest(part, o), part > o))))
+    sent = split.select("id", "root", "band", "key", F.explode(where).alias("p")).select("id", "root", "band", "key", "p.*")
+    dealt = (sent.join(rows.select("id", F.col("bands").alias("all"), "bytes"), "id")
+             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+             .select("id", "root", "key", "i", "j", "side", "band", "all", "bytes"))
+    least = threshold - 5 * (threshold * (1 - threshold) / SAMPLES) ** 0.5
+
+    def compared(group: pa.RecordBatch):
+        side, band = group.column("side").to_numpy(), group.column("band")[0].as_py()
+        root = group.column("root").dictionary_encode().indices.to_numpy()
+        keys = group.column("all").flatten().to_numpy().reshape(-1, BANDS)
+        x = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        ones = int(side.sum())
+        zeros = len(side) - ones
+        one_by_one, rest = (range(zeros), (zeros, len(side))) if zeros <= ones else (range(zeros, len(side)), (0, zeros))
+        if not ones:  # a part with itself
+            one_by_one = range(zeros)
+        a, b, shares = [], [], []
+        for r in one_by_one:
+            lo, hi = (r + 1, zeros) if not ones else rest
+            share = (x[lo:hi] == x[r]).mean(1)
+            at = np.flatnonzero((share >= least) & (root[lo:hi] != root[r]))
+            at = at[(keys[lo + at] == keys[r]).argmax(1) == band]
+            a.append(np.full(len(at), r))
+            b.append(lo + at)
+            shares.append(share[at])
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            for k in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([group.column("id").take(pa.array(a[k:k + 50_000])), group.column("id").take(pa.array(b[k:k + 50_000])),
+                                                  pa.array(np.concatenate(shares)[k:k + 50_000])], ["a", "b", "share"])
+
+    def run(batches):
+        held = []  # rows of the group that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            now = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
+            change = np.ones(now.num_rows, bool)
+            change[1:] = False
+            for c in ("key", "i", "j"):
+                v = now.column(c).to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            heads = np.flatnonzero(change)
+            for s, e in zip(heads[:-1], heads[1:]):
+                yield from compared(now.slice(s, e - s))
+            held = [now.slice(heads[-1])]
+        if held:
+            yield from compared(held[0])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, share double").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), "share")
+
+
 def estimated(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs with the share of agreeing samples, without those far below the threshold."""
     # a byte of two different samples agrees by chance once in 256
@@ -309,7 +387,7 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
     rows = settled(some.select("id", "bands", "bytes"))
     candidates = settled(estimated(bucket_pairs(rows), rows, threshold))
     ends = candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct()
-    narrow = settled(narrow.join(ends, "id", "left_semi"))  # the texts that verification needs
+    whole, narrow = narrow, settled(narrow.join(ends, "id", "left_semi"))  # the texts that verification needs
     best = candidates.groupBy("u").agg(F.max_by("v", F.struct("share", "v")).alias("v")).where("u is not null")
     first = settled(verified(best, narrow, frequencies, threshold).select("u", "v"))
     root = settled(components(first))
@@ -318,5 +396,12 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
             .join(at("u"), "u", "left").join(at("v"), "v", "left")
             .where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
     second = verified(rest, narrow, frequencies, threshold).select("u", "v")
-    final = components(first.unionByName(second)).select(F.col("id").alias("lead"), "root")
+    links = settled(first.unionByName(second))
+    root = settled(components(links))
+    missing = settled(crowded(rows, root, threshold).select("u", "v").join(candidates.select("u", "v"), ["u", "v"], "left_anti"))
+    if not missing.isEmpty():
+        ends = missing.select(F.col("u").alias("id")).unionByName(missing.select(F.col("v").alias("id"))).distinct()
+        third = verified(missing, settled(whole.join(ends, "id", "left_semi")), frequencies, threshold).select("u", "v")
+        root = components(links.unionByName(third))
+    final = root.select(F.col("id").alias("lead"), "root")
     return (copies.join(final, "lead", "left").groupBy(F.col("id").alias("doc_id")).agg(F.min(F.coalesce("root", "lead")).alias("class_id")))

@@ -92,6 +92,11 @@ def test_sparse_links_among_many_texts_just_below_the_threshold(make):
     assert found > 500 and kept >= 0.9 * found
 
 
+def test_no_link_is_lost_among_texts_just_below_the_threshold(make, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 60)  # buckets in several parts
+    found, kept = kept_links(make, changed(250, 120, 2))
+    assert kept == found > 500
+
 
 def test_components(spark):
     rng = random.Random(4)

@@ -25,14 +25,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each near-duplicate class; rows without an id stay."""
-    found = neardup.classes(docs)
-    gone = found.where("doc_id <> class_id").select("doc_id")
-    # a row that repeats an id is a copy as well; of those the least in all columns stays
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("s")).select("s.*")
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    """The row of the least id of each near-duplicate class; rows are compared each for itself, also those that share an id or have none."""
+    rows, hashed = neardup.keyed(docs, "__key")
+    found = neardup.row_classes(rows, text="text", key="__key").withColumnRenamed("key", "__key")
+    if not hashed:
+        gone = found.where("__key <> class").select(F.col("__key").alias("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = settled(found)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    lead = rows.select("__key", "doc_id").join(found, "__key").groupBy("class").agg(F.min_by("__key", order).alias("__key")).select("__key")
+    kept = rows.join(lead, "__key", "left_semi")
+    # rows of one id and text are copies; of those the least in all columns stays. Texts without words and id are nobody's copy
+    alone = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
+    twice = kept.where(~alone).groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key")
+    again = kept.join(twice, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("s")).select("s.*")
+    return kept.join(twice, "__key", "left_anti").select(*docs.columns).unionByName(again)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

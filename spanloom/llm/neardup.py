@@ -30,8 +30,9 @@ component, then for those of ``crowded``; a link inside a component would not ch
 the threshold is a link as well.
 
 Null, empty and wordless texts are each a class of their own. A text of one to four words has one
-shingle. Of rows that repeat an id, the one of the least word-list digest makes its candidates; rows
-without an id are left out.
+shingle. Rows that repeat an id with different texts are compared each for itself, under a key of their
+own (``keyed``); an id has one class, so ids that share a class by any of their rows are together.
+Rows without an id are left out of the report.
 """
 
 from __future__ import annotations
@@ -370,10 +371,36 @@ def verified(pairs: DataFrame, narrow: DataFrame, frequencies: Shared, threshold
     return joined.mapInArrow(run, f"u {kind}, v {kind}, similarity double")
 
 
+def keyed(docs: DataFrame, key: str, *, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, bool]:
+    """``docs`` with a column ``key`` that differs wherever id or text differ: the id where all are unique, else a hash of both; and whether it is a hash.
+
+    Rows that share a key are the same text under the same id. Rows without an id that have the same text share a key as well.
+    """
+    i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    if docs.groupBy(i.alias("i")).agg(F.count("*").alias("n")).where("n > 1 or i is null").isEmpty():
+        return docs.withColumn(key, i), False
+    said = lambda c: F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-"))
+    return docs.withColumn(key, F.unhex(F.md5(F.concat(F.md5(said(i).cast("binary")), F.md5(said(t).cast("binary"))).cast("binary")))), True
+
+
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id): one row per distinct non-null id; class_id is the least id of its near-duplicate class."""
+    some = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null")
+    rows, hashed = keyed(some, "key")
+    found = row_classes(rows, text="text", key="key", threshold=threshold)
+    if not hashed:
+        return found.select(F.col("key").alias("doc_id"), F.col("class").alias("class_id"))
+    each = settled(rows.select("doc_id", "key").distinct().join(found, "key").select("doc_id", "class").distinct())
+    # ids of one class, and classes of one id, belong together
+    edges = each.join(each.groupBy("class").agg(F.min("doc_id").alias("low")), "class").select(F.col("doc_id").alias("u"), F.col("low").alias("v"))
+    root = components(edges).select(F.col("id").alias("doc_id"), "root")
+    return each.select("doc_id").distinct().join(root, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+
+
+def row_classes(docs: DataFrame, *, text: str, key: str, threshold: float = 0.8) -> DataFrame:
+    """(key, class): one row per distinct non-null key, whose rows all have one text; class is the least key of its near-duplicate class."""
     prepare(docs.sparkSession)
-    narrow = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id is not null")
+    narrow = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id is not null")
     frequencies = document_frequencies(narrow)
     signed = signatures(narrow, frequencies)
     signed = settled(signed.groupBy("id").agg(F.min_by(F.struct("digest", "n", "bands", "bytes"), "digest").alias("s")).select("id", "s.*"))
@@ -404,4 +431,4 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", thre
         third = verified(missing, settled(whole.join(ends, "id", "left_semi")), frequencies, threshold).select("u", "v")
         root = components(links.unionByName(third))
     final = root.select(F.col("id").alias("lead"), "root")
-    return (copies.join(final, "lead", "left").groupBy(F.col("id").alias("doc_id")).agg(F.min(F.coalesce("root", "lead")).alias("class_id")))
+    return (copies.join(final, "lead", "left").groupBy(F.col("id").alias("key")).agg(F.min(F.coalesce("root", "lead")).alias("class")))

@@ -98,6 +98,15 @@ def test_no_link_is_lost_among_texts_just_below_the_threshold(make, monkeypatch)
     assert kept == found > 500
 
 
+def test_rows_that_share_an_id_or_have_none_are_compared(spark, make):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, one), (1, two), (1, one), (2, two), (3, three), (None, three), (None, one + " z"), (None, "alone here"), (None, "alone here"), (None, None), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], make(["x"]).schema).repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == Counter([(1, one), (1, two), (3, three), (None, "alone here"), (None, None), (None, None), (4, "")])
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 50)]

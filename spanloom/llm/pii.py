@@ -30,8 +30,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){2,8}(?![A-Za-z0-9])")
+#: Characters of an IBAN in countries that have it most.
+IBAN_LENGTH = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
+               "IT": 27, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,200}(?![A-Za-z0-9_+/=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+")
 # places worth a look for the last three
 TRIGGER = re.compile(r"[0-9]")
 
@@ -66,6 +69,21 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def ibans(text: str):
+    """Spans from each possible start: to the end that the country's length gives, else to the last end that holds."""
+    m = IBAN.search(text)
+    while m:
+        start, at = m.start(), m.start() + 1
+        ends = [m.end(), *[i for i in range(m.end() - 1, start, -1) if text[i] == " "]]
+        ends.sort(key=lambda e: len(text[start:e].replace(" ", "")) != IBAN_LENGTH.get(text[start:start + 2]))
+        for end in ends:
+            if mod97(text[start:end]):
+                yield start, end
+                at = end
+                break
+        m = IBAN.search(text, at)
+
+
 def emails(text: str):
     """Leftmost non-overlapping matches, found from each @ outwards."""
     at, last = text.find("@"), 0
@@ -98,9 +116,7 @@ def proposed(text: str) -> list[tuple[int, int, int]]:
         for m in PHONE.finditer(text):
             if 10 <= sum(map(str.isdigit, m[0])) <= 15:
                 out.append((m.start(), 3, m.end()))
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            out.append((m.start(), 4, m.end()))
+    out += [(a, 4, b) for a, b in ibans(text)]
     if "-" in text:
         out += [(m.start(), 5, m.end()) for m in SSN.finditer(text)]
     for m in SECRET.finditer(text):

@@ -59,6 +59,13 @@ def test_own_kinds_and_redaction(make):
     assert out[7] == "write [EMAIL] now" and out[6] is None and out[0] == "IBAN [IBAN] yes" and out[1] == texts[1]
 
 
+def test_iban_before_upper_case_words_and_long_secrets(make):
+    iban, key = "DE89 3704 0044 0532 0130 00", "aB3" * 100
+    texts = [f"{iban} BIC COBADEFF", f"IBAN {iban} GB82 WEST 1234 5698 7654 32", f"ID42 {iban} BIC", f"token = {key} end", "token = " + "k9" * 200_000]
+    out = {r.doc_id: r.text for r in pii.redacted(make(texts)).collect()}
+    assert out == {0: "[IBAN] BIC COBADEFF", 1: "IBAN [IBAN] [IBAN]", 2: "ID42 [IBAN] BIC", 3: "token = [SECRET] end", 4: "token = [SECRET]"}
+
+
 def test_decontamination_is_sql(spark, small):
     assert compare(op2_decontamination(spark, small), duck(small), decontam.REPORT_SQL) == ""
 

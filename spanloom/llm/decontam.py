@@ -10,8 +10,10 @@ Many places are looked at in step: every text is cut into runs of end positions,
 vectorised step moves the cursor of each run by its own shift.
 
 Null texts have no words; empty texts have none either and are clean. Items without words
-never occur. Repeated rows are judged each for itself. The benchmark is broadcast; its
-size is checked against ``max_benchmark_bytes`` and a larger one is refused with an error.
+never occur. Items without an id count as hits like all others; together they are one item, a null
+in the list of items (as in ``REPORT_SQL``). Repeated rows are judged each for itself. The benchmark is
+broadcast in blocks of at most ``max_benchmark_bytes`` of text, one pass over the documents for each, and
+covered words add up; only a single item above that size is refused with an error.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .batches import carried, mixed, prepare, slices, span_hashes, utf8, words
 from .bpe import Shared
+from .shared import settled
 
 RUN = 256
 
@@ -83,7 +86,7 @@ class Strings:
 
 
 class Benchmark:
-    def __init__(self, items: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
         self.items = [i for i, _ in items]
         data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         low, starts, ends, first = words(data, offsets)
@@ -101,13 +104,19 @@ class Benchmark:
                     owners.append(i)
         self.strings = [Strings(np.array([v[0] for v in group.values()]), [list(k) for k in group], [v[1] for v in group.values()]) for _, group in sorted(found.items())]
 
-    def scan(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """Per text: words, words inside an occurrence, items that occur."""
+    def scan(self, column: pa.Array, covers: list[list[int]], known: list[list[str | None]]) -> tuple[np.ndarray, np.ndarray, list[list[str | None]], np.ndarray, np.ndarray]:
+        """Per text: words, words inside an occurrence, items that occur; which words are inside, first word of each text.
+
+        ``covers`` (start, end, start, ... of covered words) and ``known`` items of each text, if not empty, count as well.
+        """
         data, offsets = utf8(column)
         low, starts, ends, first = words(data, offsets)
         h = span_hashes(low, starts, ends)
         cover = np.zeros(len(h) + 1, np.int64)
-        items: list[set[str]] = [set() for _ in range(len(offsets) - 1)]
+        items: list[set[str | None]] = [set(x) for x in known] or [set() for _ in range(len(offsets) - 1)]
+        for r, c in enumerate(covers):
+            cover[first[r] + np.array(c[::2], np.int64)] += 1
+            np.subtract.at(cover, first[r] + np.array(c[1::2], np.int64), 1)
         for group in self.strings:
             at, which = group.search(h, first)
             row = np.searchsorted(first, at, side="right") - 1
@@ -117,31 +126,65 @@ class Benchmark:
                     cover[b] += 1
                     cover[e + 1] -= 1
                     items[r].update(self.items[o] for o in group.owners[p])
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-        return np.diff(first), hit[first[1:]] - hit[first[:-1]], [sorted(x) for x in items]
+        inside = np.cumsum(cover[:-1]) > 0
+        hit = np.concatenate([[0], np.cumsum(inside)])
+        return np.diff(first), hit[first[1:]] - hit[first[:-1]], [sorted(x, key=lambda i: (i is None, i or "")) for x in items], inside, first
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                   item_id: str = "item_id", item_text: str = "text", max_benchmark_bytes: int = 256 << 20) -> DataFrame:
     """``keep`` columns, n_words, n_hit, items (ids of occurring items as text), contaminated."""
     spark = prepare(docs.sparkSession)
-    tests = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null and t is not null")
-    size = tests.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    if size > max_benchmark_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text; max_benchmark_bytes is {max_benchmark_bytes}")
-    shared = Shared(spark, Benchmark(sorted((r.i, r.t) for r in tests.collect()), window))
+    tests = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
+    widest = tests.agg(F.coalesce(F.max(F.octet_length("t")), F.lit(0))).first()[0]
+    if widest > max_benchmark_bytes:
+        raise ValueError(f"a benchmark item has {widest} bytes of text; max_benchmark_bytes is {max_benchmark_bytes}")
     narrow, at, schema = carried(docs, keep, text)
+    block, held, later = [], 0, False
+    for r in tests.toLocalIterator():
+        n = len(r.t.encode("utf-8", "surrogatepass"))
+        if block and held + n > max_benchmark_bytes:
+            narrow, later = settled(_marked(narrow, at, block, window, later)), True
+            block, held = [], 0
+        block.append((r.i, r.t))
+        held += n
+    shared = Shared(spark, Benchmark(_ordered(block), window))
 
     def run(batches):
         tests = shared.value
         for batch in slices(batches, at):
-            n, hit, items = tests.scan(batch.column(at))
+            n, hit, items, _, _ = tests.scan(batch.column(at), *_before(batch, later))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(n.astype(np.int64)), pa.array(hit.astype(np.int64)), pa.array(items, pa.list_(pa.string())), pa.array((hit > 0) & (share * hit >= n))],
                                              [*keep, "n_words", "n_hit", "items", "contaminated"])
 
     return narrow.mapInArrow(run, f"{schema}, n_words long, n_hit long, items array<string>, contaminated boolean")
 
 
+def _ordered(items: list[tuple[str | None, str]]) -> list[tuple[str | None, str]]:
+    return sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1]))
+
+
+def _before(batch: pa.RecordBatch, later: bool) -> tuple[list, list]:
+    """Covered words and items of the blocks before, which are the last two columns."""
+    return (batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()) if later else ([], [])
+
+
+def _marked(narrow: DataFrame, at: int, block: list[tuple[str | None, str]], window: int, later: bool) -> DataFrame:
+    """``narrow`` with the words that one block of the benchmark, and those before it, cover, and their items."""
+    shared = Shared(narrow.sparkSession, Benchmark(_ordered(block), window))
+    fields = narrow.schema.fields[:-2] if later else narrow.schema.fields
+    names, width = [f.name for f in fields] + ["__cover", "__items"], len(fields)
+
+    def run(batches):
+        tests = shared.value
+        for batch in slices(batches, at):
+            _, _, items, inside, first = tests.scan(batch.column(at), *_before(batch, later))
+            covers = [np.flatnonzero(np.diff(np.concatenate([[0], inside[a:b].astype(np.int8), [0]]))).tolist() for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(covers, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names)
+
+    return narrow.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", __cover array<long>, __items array<string>")
+
+
 def report(found: DataFrame) -> DataFrame:
     """The flat form: number of items and a digest of their ids."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

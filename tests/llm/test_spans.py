@@ -104,3 +104,27 @@ def test_decontamination_edges(spark, make):
     assert decontam.contamination(make(["a"]).where("false"), none).count() == 0
     with pytest.raises(ValueError):
         decontam.contamination(make(["a"]), spark.createDataFrame([(1, "abc")], "item_id long, text string"), max_benchmark_bytes=2)
+
+
+def test_decontamination_items_without_id_and_benchmarks_in_blocks(spark, make):
+    long = " ".join(f"w{i}" for i in range(40))
+    items = [(None, "alpha beta"), (None, "gamma"), (3, long), (4, "gamma delta")]
+    texts = ["x alpha beta y", "gamma delta alpha beta", "start " + long + " gamma", "clean", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = [tuple(r) for r in decontam.contamination(make(texts), bench).orderBy("doc_id").collect()]
+    assert whole == [(0, 4, 2, [None], True), (1, 4, 4, ["4", None], True), (2, 42, 41, ["3", None], True), (3, 1, 0, [], False), (4, 0, 0, [], False)]
+    parts = decontam.contamination(make(texts), bench, max_benchmark_bytes=len(long))
+    assert [tuple(r) for r in parts.orderBy("doc_id").collect()] == whole
+    con = duck_of(documents=list(enumerate(texts)), benchmark=items)
+    want = con.execute(decontam.REPORT_SQL + " ORDER BY 1").fetchall()
+    assert [tuple(r) for r in decontam.report(parts).orderBy("doc_id").collect()] == want
+
+
+def duck_of(documents, benchmark):
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", documents)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", benchmark)
+    return con

@@ -13,7 +13,8 @@ broadcast and run against all documents; results of a block are kept in the shar
 score = sum over query words of idf * tf (k1 + 1) / (tf + k1 (1 - b + b n / mean n)), where
 idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a word that a query has twice counts twice. Ties go to the
 lesser id. Null, empty and wordless texts are found by no query, and as queries find nothing; documents
-that share no word with a query aren't found. Rows with repeated ids are documents each.
+that share no word with a query aren't found. Rows with repeated ids are documents each, and queries
+each: query rows are numbered, and every one has ranks of its own.
 """
 
 from __future__ import annotations
@@ -112,8 +113,8 @@ class Shard:
         return d[keep], s[keep], floor
 
 
-def block_search(narrow: DataFrame, rows: list[tuple[object, str]], k: int, documents: int, mean: float) -> DataFrame:
-    """(query_id, doc_id, score): the best k of each shard and query of one block."""
+def block_search(narrow: DataFrame, rows: list[tuple[object, str]], k: int, documents: int, mean: float, number: int = 0) -> DataFrame:
+    """(q, query_id, doc_id, score): the best k of each shard and query of one block; q counts query rows from ``number``."""
     spark = narrow.sparkSession
     q = Queries(rows)
     plain = Shared(spark, q)
@@ -143,16 +144,17 @@ def block_search(narrow: DataFrame, rows: list[tuple[object, str]], k: int, docu
                 return
             ids, term, doc, length = held[0], np.concatenate(held[1]), np.concatenate(held[2]), np.concatenate(held[3])
             shard = Shard(q, ids, term, doc, length)
-            rows_q, rows_d, rows_s = [], [], []
+            rows_n, rows_q, rows_d, rows_s = [], [], [], []
             for i, part in enumerate(q.parts):
                 if len(part[0]):
                     d, s, floor = shard.best(part, k, floors[i])
                     floors[i] = max(floors[i], floor) if len(d) >= k else floors[i]
                     top = np.lexsort((shard.ids[d], -s))[:k]
+                    rows_n += [number + i] * len(top)
                     rows_q += [q.ids[i]] * len(top)
                     rows_d += shard.ids[d[top]].tolist()
                     rows_s += s[top].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(rows_q, kind), pa.array(rows_d, kind), pa.array(rows_s, pa.float64())], ["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows_n, pa.int64()), pa.array(rows_q, kind), pa.array(rows_d, kind), pa.array(rows_s, pa.float64())], ["q", "query_id", "doc_id", "score"])
 
         held, size, kind = ([], [], [], []), 0, None
         for batch in slices(batches):
@@ -171,7 +173,7 @@ def block_search(narrow: DataFrame, rows: list[tuple[object, str]], k: int, docu
         yield from answers(held)
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(searched, f"query_id {kind}, doc_id {kind}, score double")
+    return narrow.mapInArrow(searched, f"q long, query_id {kind}, doc_id {kind}, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, text: str = "text", doc_id: str = "doc_id", block_queries: int = 4096, block_bytes: int = 32 << 20) -> DataFrame:
@@ -189,15 +191,16 @@ def search(docs: DataFrame, queries: DataFrame, *, k: int = 10, text: str = "tex
 
     size = narrow.mapInArrow(measured, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     documents, mean = size.n or 0, (size.words or 0) / max(size.n or 0, 1) or 1.0
-    done, rows, held = [], [], 0
+    done, rows, held, number = [], [], 0, 0
     for r in pick(queries).toLocalIterator():
         rows.append((r.doc_id, r.text))
         held += len(r.text)
         if len(rows) >= block_queries or held >= block_bytes:
-            done.append(settled(block_search(narrow, rows, k, documents, mean)))
+            done.append(settled(block_search(narrow, rows, k, documents, mean, number)))
+            number += len(rows)
             rows, held = [], 0
     if rows or not done:
-        done.append(block_search(narrow, rows, k, documents, mean))
+        done.append(block_search(narrow, rows, k, documents, mean, number))
     per_shard = reduce(DataFrame.unionByName, done)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id"))
     return per_shard.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

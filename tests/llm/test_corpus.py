@@ -153,6 +153,14 @@ def test_search_edges(make, odd):
     assert not [r for r in rows if r.query_id < 3]
 
 
+def test_repeated_query_rows_have_lists_of_their_own(make):
+    df = make([f"word x{i}" for i in range(8)])
+    ask = df.where("doc_id = 3")
+    rows = search.search(df, ask.unionByName(ask), k=5, block_queries=1).collect()
+    want = [(1, 3), (2, 0), (3, 1), (4, 2), (5, 4)]
+    assert sorted((r["rank"], r.doc_id) for r in rows) == sorted(want + want)
+
+
 PAGE = """<html><head><title>t</title></head><body><nav><a>Home</a></nav><div class="box">Site of all</div><!-- x > y --><article><h1>A &amp; B {n}</h1>
 <p>One<br>two&nbsp; three <b>bold<p>Same line everywhere<ul><li>x<li>y</ul><div class="share">Share</div><div>Teaser of all</div><script>if (a<b) "</p>"</script></article>
 <div class="comments"><p>Nice!</p></div><footer>&copy;</footer></body></html>"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import bpe, decontam, langid, neardup, pagetext, pii, quality, search, tokencount, toxicity
+from . import bpe, chat, decontam, langid, neardup, pagetext, periodic, pii, quality, search, tokencount, toxicity, whitening
 from .batches import fold
 
 
@@ -61,5 +61,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(docs, bpe.vocabulary(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_language, op4_toxicity, op5_near_duplicates, op6_quality, op7_page_text, op8_bpe, op9_search, op10_token_counts)}
-SQL = {"op2_decontamination": decontam.REPORT_SQL}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.periodic_runs(_read(spark, sf_dir, "documents"), alter="doc_id"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.formatted(chat.with_probe(spark, _read(spark, sf_dir, "conversations"))))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.scaled(_read(spark, sf_dir, "embeddings"))
+    return whitening.report(rows, whitening.model(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_language, op4_toxicity, op5_near_duplicates, op6_quality, op7_page_text, op8_bpe, op9_search, op10_token_counts,
+                                op11_periodic_runs, op12_chat, op13_whitening)}
+SQL = {"op2_decontamination": decontam.REPORT_SQL, "op12_chat": chat.REPORT_SQL}

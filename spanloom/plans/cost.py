@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from ..operators.similarity import similar
 from ..operators import cost as H, rollup as R
 from ..sources.readers import table
 from . import bind as B
@@ -176,6 +177,30 @@ def _(spark, d):
     return a.join(b, "vec_id").select("vec_id", (F.col("vec_id") + 1).alias("next_id"), cosine(F.col("ea"), F.col("eb")).alias("cosine"))
 
 
+SIMILAR = 0.3
+
+
+@reg.add("h12_similar_prompts", f"""
+WITH unit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+links AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS other, list_dot_product(a.v, b.v) AS cosine FROM unit a JOIN unit b ON b.vec_id <> a.vec_id
+  WHERE a.vec_id % 100 = 0 AND list_dot_product(a.v, b.v) >= {SIMILAR}),
+best AS (
+  SELECT query_id, count(*) AS links, min_by(other, struct_pack(c := -round(cosine, 12), other := other)) AS best_id, round(max(cosine), 6) AS best_cosine,
+    sum(other) AS linked_ids FROM links GROUP BY query_id)
+SELECT vec_id AS query_id, coalesce(links, 0) AS links, best_id, best_cosine,
+  (SELECT string_agg(other, ',' ORDER BY round(cosine, 12) DESC, other) FROM (
+     SELECT other, cosine FROM links l WHERE l.query_id = u.vec_id ORDER BY round(cosine, 12) DESC, other LIMIT 10)) AS best_ids
+FROM unit u LEFT JOIN best b ON b.query_id = u.vec_id WHERE vec_id % 100 = 0""")
+def _(spark, d):
+    points = table(spark, d, "embeddings")
+    found = similar(points, points.where("vec_id % 100 = 0"), SIMILAR)
+    ids = F.array_join(F.transform("best", lambda b: b["key"]), ",")
+    return found.select("query_id", "links", F.try_element_at("best", F.lit(1))["key"].alias("best_id"),
+                        F.try_element_at("best", F.lit(1))["cosine"].alias("best_cosine"), F.when(F.size("best") > 0, ids).alias("best_ids"))
+
+
 @reg.add("h13_cache_savings", CACHE + """
 SELECT cluster_id, round(hit_rate, 6) AS hit_rate, round(monthly_savings, 6) AS monthly_savings, round(annual_savings, 6) AS annual_savings FROM h13""")
 def _(spark, d):

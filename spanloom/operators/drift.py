@@ -124,10 +124,11 @@ def change_percent(current: Column, mean: Column) -> Column:
     return F.coalesce(F.try_divide(current - mean, mean) * 100, F.lit(0.0))
 
 
-def score_agents(current: DataFrame, baselines: DataFrame, sensitivity: float = 2.0) -> DataFrame:
-    """One row per agent with the array of its drifted metrics (at most five)."""
+def score_agents(current: DataFrame, baselines: DataFrame, sensitivity: float = 2.0, keys: list[str] = AGENT,
+                 keep: list[str] | None = None) -> DataFrame:
+    """One row per agent (or other ``keys``, and columns ``keep`` of the current row) with the array of its drifted metrics (at most five)."""
     base = baselines.drop("sample_size").withColumnRenamed("success_rate", "base_success")
-    joined = current.join(base, AGENT)
+    joined = current.join(base, keys)
 
     def metric(name: str, unit: str, mean: str, stddev: Column | None) -> Column:
         value, center = F.col(name), F.col(mean)
@@ -153,7 +154,7 @@ def score_agents(current: DataFrame, baselines: DataFrame, sensitivity: float =
         metric("cost", "USD", "cost_mean", F.col("cost_mean") * 0.3),
         metric("success_rate", "%", "base_success", None),
     )
-    return joined.select(*AGENT, "baseline_id", "sample_size",
+    return joined.select(*keys, *(keep or []), "baseline_id", "sample_size",
                          F.filter(metrics, lambda m: m.isNotNull()).alias("anomalies"))
 
 

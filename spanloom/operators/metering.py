@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.attrs import with_attrs
-from ..functions.ordering import HOUR_US, MINUTE_US, position, previous, running, time_bucket
+from ..functions.ordering import HOUR_US, MINUTE_US, position, running, time_bucket
 from ..functions.quantiles import exact_quantiles
 from ..schema import is_error, is_success, lookup
 
@@ -50,34 +51,81 @@ def limit_of(tier: Column, limits: dict) -> Column:
     return lookup(finite, F.when(known, tier).otherwise("free"))
 
 
-def admissions(rows: DataFrame, keys: list[str], ts: str, tie: str, limit: Column) -> DataFrame:
+def _fold_runs(batches):
+    """Usage and rows before each run, for runs sorted by key and time; one number per key is held."""
+    used = seen = 0
+    for batch in batches:
+        out_used, out_seen = [], []
+        for opens, had, n, most in zip(*[batch.column(c).to_pylist() for c in ("_opens", "_had", "n", "most")]):
+            if opens:
+                used, seen = had or 0, 0
+            out_used.append(used)
+            out_seen.append(seen)
+            seen += n
+            used = used + n if most is None else max(used, min(used + n, most))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_key", "_b", "_run", "_first")], pa.array(out_used, pa.int64()), pa.array(out_seen, pa.int64())],
+                                         ["_key", "_b", "_run", "_first", "_used", "_seen"])
+
+
+def admissions(rows: DataFrame, keys: list[str], ts: str, tie: str, limit: Column, used: DataFrame | None = None) -> DataFrame:
     """Add arrival, quota, allowed and usage: a counter per key that grows by one on accepted rows only.
 
-    A key's rows are cut into runs of equal limit; over a run of n rows a usage u becomes
-    max(u, min(u + n, limit)), so folding the runs gives the usage before each, and inside a run
-    the position decides. A key has as many runs as its limit changes, not as it has rows.
+    A key's rows are cut by minute, and a minute into runs of equal limit; over a run of n rows a usage u becomes
+    max(u, min(u + n, limit)). Runs are far fewer than rows; they are sorted per key and folded in a stream that holds
+    one usage, and inside a run the position decides. ``used`` (keys, usage) is what keys start with, else 0.
     """
-    minute = time_bucket(F.col(ts), MINUTE_US)
-    coded = rows.withColumn("quota", limit.cast("long")).withColumn("_code", F.coalesce(F.col("quota").cast("string"), F.lit("none")))
-    marked = previous(coded, keys, minute, [ts, tie], {"_before": "_code"})
-    starts = F.when(F.col("_code").eqNullSafe(F.col("_before")), 0).otherwise(1).cast("long")
-    numbered = running(marked, keys, minute, [F.col(ts), F.col(tie)], {"arrival": F.lit(1).cast("long"), "_run": starts})
-    numbered = numbered.drop("_code", "_before").withColumn("_key", F.struct(*keys))
-    runs = numbered.groupBy("_key", "_run").agg(F.count("*").alias("n"), F.min("quota").alias("most"), F.min("arrival").alias("first"))
-
-    def step(acc: Column, r: Column) -> Column:
-        used = F.when(r["most"].isNull(), acc["used"] + r["n"]).otherwise(F.greatest(acc["used"], F.least(acc["used"] + r["n"], r["most"])))
-        entry = F.struct(r["_run"].alias("_run"), r["first"].alias("_first"), acc["used"].alias("_used"))
-        return F.struct(used.alias("used"), F.concat(acc["runs"], F.array(entry)).alias("runs"))
-
-    begin = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<_run:bigint,_first:bigint,_used:bigint>>").alias("runs"))
-    per_key = runs.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_run", "n", "most", "first"))).alias("_runs"))
-    before = per_key.select("_key", F.explode(F.aggregate("_runs", begin, step, lambda acc: acc["runs"])).alias("r")).select("_key", "r.*")
-    reached = F.col("_used") + F.col("arrival") - F.col("_first") + 1
-    return numbered.join(before, ["_key", "_run"]).withColumns({
-        "allowed": F.col("quota").isNull() | (reached <= F.col("quota")),
+    rows = rows.withColumns({"quota": limit.cast("long"), "_key": F.struct(*keys), "_b": time_bucket(F.col(ts), MINUTE_US)})
+    w = Window.partitionBy("_key", "_b").orderBy(ts, tie)
+    before = F.lag(F.struct("quota")).over(w)
+    starts = F.when(before.isNull() | ~before["quota"].eqNullSafe(F.col("quota")), 1).otherwise(0)
+    placed = rows.withColumns({"_pos": F.row_number().over(w).cast("long"), "_start": starts})
+    placed = placed.withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = placed.groupBy("_key", "_b", "_run").agg(F.count("*").alias("n"), F.min("quota").alias("most"), F.min("_pos").alias("_first"))
+    if used is None:
+        runs = runs.withColumn("_had", F.lit(0).cast("long"))
+    else:
+        runs = runs.join(used.select(F.struct(*keys).alias("_key"), F.col("usage").alias("_had")), "_key", "left")
+    opens = F.row_number().over(Window.partitionBy("_key").orderBy("_b", "_run")) == 1
+    kind = f"_key {placed.schema['_key'].dataType.simpleString()}, _b long, _run long, _first long, _used long, _seen long"
+    # the window leaves its rows sorted by key, minute and run
+    folded = runs.withColumn("_opens", opens).select("_key", "_b", "_run", "_first", "_opens", "_had", "n", "most").mapInArrow(_fold_runs, kind)
+    out = placed.join(folded, ["_key", "_b", "_run"])
+    arrival = F.col("_seen") + F.col("_pos") - F.col("_first") + 1
+    reached = F.col("_used") + F.col("_pos") - F.col("_first") + 1
+    return out.withColumns({
+        "arrival": arrival, "allowed": F.col("quota").isNull() | (reached <= F.col("quota")),
         "usage": F.when(F.col("quota").isNull(), reached).otherwise(F.greatest(F.col("_used"), F.least(reached, F.col("quota"))))}).drop(
-        "_key", "_run", "_first", "_used")
+        "_key", "_b", "_run", "_first", "_used", "_seen", "_pos", "_start")
+
+
+def cost_admissions(rows: DataFrame, keys: list[str], ts: str, tie: str, limit: Column, cost: str, used: DataFrame | None = None) -> DataFrame:
+    """Like ``admissions`` with a cost per row: a row whose cost doesn't fit is refused and later, cheaper ones may fit.
+
+    That cannot be computed out of order, so a key's rows pass one task, sorted, in a stream that holds one usage.
+    """
+    rows = rows.withColumns({"quota": limit.cast("long"), "_key": F.struct(*keys)})
+    if used is None:
+        rows = rows.withColumn("_had", F.lit(0).cast("long"))
+    else:
+        rows = rows.join(used.select(F.struct(*keys).alias("_key"), F.col("usage").alias("_had")), "_key", "left")
+    rows = rows.withColumn("_opens", F.row_number().over(Window.partitionBy("_key").orderBy(ts, tie)) == 1).drop("_key")
+    kept = [c for c in rows.columns if c not in ("_had", "_opens")]
+
+    def fold(batches):
+        usage = 0
+        for batch in batches:
+            allowed, after = [], []
+            for opens, had, price, most in zip(*[batch.column(c).to_pylist() for c in ("_opens", "_had", cost, "quota")]):
+                if opens:
+                    usage = had or 0
+                fits = most is None or usage + (price or 0) <= most
+                usage += (price or 0) if fits else 0
+                allowed.append(fits)
+                after.append(usage)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(allowed, pa.bool_()), pa.array(after, pa.int64())], [*kept, "allowed", "usage"])
+
+    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("usage", T.LongType())])
+    return rows.mapInArrow(fold, schema)
 
 
 def quota_decisions(facts: DataFrame, user: str, ts: str, tie: str, tier: str, limits: dict) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import jobs as Q
+from ..streaming import jobs as Q, upkeep as U
 from . import bind as B
-from .bind import EV, SPANS, cat, pick, sql_pick, ts_sql, with_
+from .bind import EV, SPANS, TRACES, cat, pick, sql_pick, ts_sql, with_
+from .drift import AGENTS, SENSITIVITY
 from .registry import Registry
-from .rollups import E5, rounded
+from .rollups import E1, E2, E3, E4, E5, rounded
 
 reg = Registry()
 
@@ -26,6 +27,84 @@ def appended(spark, stream, name):
     return Q.read_output(spark, folder, stream.schema).drop("batch_id")
 
 
+# ---- arrivals in several micro-batches ----------------------------------------------------------
+ARRIVALS = 4
+
+
+def arrival(ts, number=None):
+    """Arrival by date; where rows have a ``number``, one in thirteen comes one or two arrivals late."""
+    days = F.datediff(ts, F.lit("2024-01-01"))
+    on_time = F.greatest(F.lit(0), F.least(F.floor(days / 8), F.lit(ARRIVALS - 1)))
+    if number is None:
+        return on_time
+    return F.least(on_time + F.when(number % 13 == 0, 1 + number % 2).otherwise(0), F.lit(ARRIVALS - 1))
+
+
+def arrival_sql(ts, number=None):
+    on_time = f"greatest(0, least(floor(date_diff('day', DATE '2024-01-01', CAST({ts} AS DATE)) / 8), {ARRIVALS - 1}))"
+    late = "" if number is None else f" + CASE WHEN {number} % 13 = 0 THEN 1 + {number} % 2 ELSE 0 END"
+    return f"CAST(least({on_time}{late}, {ARRIVALS - 1}) AS BIGINT)"
+
+
+def fed(rows, come, job, folder, shape=lambda stream: stream):
+    """``rows`` arrive in parts (column ``come``); after each the job is started, takes what is new and stops."""
+    spark = rows.sparkSession
+    parts = rows.withColumn("_come", come)
+    for n in range(ARRIVALS):
+        parts.where(F.col("_come") == n).drop("_come").write.parquet(f"{folder}/in/arrival{n}")
+        Q.run(shape(Q.file_stream(spark, f"{folder}/in/*", rows.schema)), folder, writer=job)
+
+
+def kept(spark, rows, come, name, delay="1 day"):
+    folder = Q.new_folder(spark, name)
+    job = U.RollupUpkeep(spark, folder, [name], delay=delay)
+    fed(rows, come, job, folder)
+    return job.read(name, rows)
+
+
+def late_ctes(table, ts, number):
+    """``rows``: the table with arrival and whether a row's day was over when it came."""
+    return f"""
+come AS (SELECT *, {arrival_sql(ts, number)} AS come FROM {table}),
+marks AS (SELECT b, (SELECT max({ts}) FROM come WHERE come < b) - INTERVAL 1 DAY AS mark FROM range({ARRIVALS}) r(b)),
+arrived AS (SELECT come.*, coalesce(CAST({ts} AS DATE) + INTERVAL 1 DAY <= mark, false) AS late FROM come JOIN marks ON b = come)"""
+
+
+def upkept(cte, rounds, of="spans", number="event_id"):
+    """A daily rollup's SQL over arrived rows: quantiles as sketches of small groups give them, and the number of late rows."""
+    import re
+
+    body = re.sub(r"quantile_cont\((\w+), ([0-9.]+)\)", r"list_sort(list(\1))[greatest(1, CAST(ceil(\2 * count(\1)) AS BIGINT))]", cte)
+    body = body.replace(f"FROM {of}", "FROM arrived").replace("count(*) AS", "count(*) FILTER (late) AS late_rows, count(*) AS", 1)
+    name = cte.split()[0]
+    return late_ctes(of, "started_at", number), body, f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in rounds.split())}) FROM {name}"
+
+
+def _daily(name, base, cte, rounds, of, number, rows):
+    late, body, select = upkept(cte, rounds, of, number)
+
+    @reg.add(f"q3_{name}_upkeep", with_(*base, late, body) + select)
+    def _(spark, d):
+        return rows(spark, d, name)
+
+
+def span_arrivals(spark, d, name):
+    rows = B.spans(spark, d)
+    return kept(spark, rows, arrival("started_at", F.col("span_id").cast("long")), name)
+
+
+def trace_arrivals(spark, d, name):
+    rows = B.traces(spark, d)
+    return kept(spark, rows, arrival("started_at", F.col("root_span_id").cast("long")), name)
+
+
+_daily("workflow_daily", (EV, TRACES), E1, "avg_duration_ms", "traces", "first_id", trace_arrivals)
+_daily("ai_node_daily", (SPANS,), E2, "avg_latency_ms total_cost_usd", "spans", "event_id", span_arrivals)
+_daily("node_daily", (SPANS,), E3, "avg_duration_ms", "spans", "event_id", span_arrivals)
+_daily("span_daily", (SPANS,), E4, "avg_duration_ms", "spans", "event_id", span_arrivals)
+_daily("usage_daily", (SPANS,), E5, "avg_latency_ms total_cost_usd", "spans", "event_id", span_arrivals)
+
+
 def payload_stream(spark, d):
     """Native trace payloads from the event stream (every event one message)."""
     ev = B.event_stream(spark, d)
@@ -83,6 +162,20 @@ def _(spark, d):
     return Q.merge_parts(updated(spark, Q.live_traces(B.spans_from(ev)), "traces", ["project_id", "trace_id", "window_start"]))
 
 
+@reg.add("q4_closed_traces", with_(SPANS) + f"""
+, weeks AS (SELECT *, 'w' || user_id || '-' || CAST(floor(date_diff('day', DATE '1970-01-01', CAST(started_at AS DATE)) / 7) AS BIGINT) AS week FROM spans)
+SELECT project_id, week AS trace_id, {ts_sql('min(started_at)')} AS started_at, {ts_sql('max(ended_at)')} AS completed_at, bool_or(status = 'error') AS failed,
+  first(span_id ORDER BY started_at, span_id) AS first_span_id, count(*) AS span_count,
+  max(started_at) + INTERVAL 12 HOUR <= (SELECT max(started_at) FROM spans) - INTERVAL 1 DAY AS closed FROM weeks GROUP BY project_id, week""")
+def _(spark, d):
+    week = F.floor(F.unix_date(F.to_date("ts")) / 7)  # a trace is a user's week, with silences and over midnights
+    ev = B.events(spark, d).withColumns({"trace_id": cat("w", F.col("user_id"), "-", week), "parent_span_id": F.lit("")})
+    folder = Q.new_folder(spark, "assembly")
+    job = U.TraceAssembly(spark, folder, gap="12 hours", delay="1 day")
+    fed(B.spans_from(ev), arrival("started_at", F.col("span_id").cast("long")), job, folder)
+    return job.traces().drop("parts")
+
+
 @reg.add("q5_bursts", with_(EV) + f"""
 SELECT 'p' || (user_id % 5) AS project_id, {ts_sql("date_trunc('hour', ts)")} AS window_start, count(*) AS hits, greatest(count(*) - 2, 0) AS rejected
 FROM ev GROUP BY user_id % 5, date_trunc('hour', ts)""")
@@ -96,10 +189,30 @@ SELECT event_id AS row_id, user_id, strftime(ts, '%Y-%m') AS period, CAST(1 AS B
   row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) <= 40 AS allowed,
   least(row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id), 40) AS usage FROM ev""")
 def _(spark, d):
-    arrivals = B.event_stream(spark, d).select(
+    return admitted(spark, d, F.lit(1), 40, True)
+
+
+def admitted(spark, d, cost, quota, unit):
+    rows = B.events(spark, d).select(
         F.col("event_id").alias("row_id"), "user_id", F.date_format("ts", "yyyy-MM").alias("period"), F.col("ts").alias("arrived_at"),
-        F.lit(1).cast("long").alias("cost"), F.lit(40).cast("long").alias("quota"))
-    return appended(spark, Q.quota(arrivals), "quota")
+        cost.cast("long").alias("cost"), F.lit(quota).cast("long").alias("quota"))
+    folder = Q.new_folder(spark, "quota")
+    job = U.QuotaUpkeep(spark, folder, unit)
+    fed(rows, arrival("arrived_at"), job, folder)
+    return job.decisions()
+
+
+@reg.add("q6_cost_quota_stream", with_(EV).replace("WITH", "WITH RECURSIVE") + """
+, costs AS (SELECT event_id AS row_id, user_id, strftime(ts, '%Y-%m') AS period, k % 5 AS cost,
+  row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS n FROM ev),
+judged AS (
+  SELECT row_id, user_id, period, cost, n, cost <= 60 AS allowed, CASE WHEN cost <= 60 THEN cost ELSE 0 END AS usage FROM costs WHERE n = 1
+  UNION ALL
+  SELECT c.row_id, c.user_id, c.period, c.cost, c.n, j.usage + c.cost <= 60, j.usage + CASE WHEN j.usage + c.cost <= 60 THEN c.cost ELSE 0 END
+  FROM judged j JOIN costs c ON c.user_id = j.user_id AND c.period = j.period AND c.n = j.n + 1)
+SELECT row_id, user_id, period, cost, allowed, usage FROM judged""")
+def _(spark, d):
+    return admitted(spark, d, F.col("k") % 5, 60, False)
 
 
 @reg.add("q7_paired_runs", with_(EV) + f"""
@@ -130,12 +243,116 @@ def _(spark, d):
     return updated(spark, windows, "windows", ["rule_id", "evaluated_at"]).select("rule_id", "evaluated_at", "n", "errors")
 
 
-@reg.add("q8_alerts_with_cooldown")
+# The metric rules of the binding.
+METRIC_RULES = [
+    ("a1", "p0", None, "error_rate", 60, "gte", 0.5, 180), ("a2", "p1", None, "success_rate", 120, "lt", 0.4, 60),
+    ("a3", "p2", "agent7", "error_rate", 1440, "gt", 0.2, 1440), ("a4", "p3", None, "latency_p95", 1440, "gt", 400.0, 240),
+    ("a5", "p4", None, "latency_mean", 360, "lte", 200.0, 30), ("a6", "p0", "agent5", "cost_per_trace", 720, "gt", 0.005, 300),
+    ("a7", "p1", None, "token_usage", 240, "gt", 1500.0, 0), ("a8", "p2", None, "token_usage", 60, "lt", -1.0, 0),
+]
+COOLED = """
+fired AS (
+  SELECT * FROM (SELECT {keys}, min(tick) AS tick FROM due GROUP BY ALL)
+  UNION ALL
+  SELECT {dkeys}, min(d.tick) FROM fired f JOIN due d ON {same} AND d.tick > f.tick AND d.tick >= f.tick + {wait} GROUP BY ALL)"""
+
+
+def metric_rules(spark):
+    return spark.createDataFrame([(*r, True) for r in METRIC_RULES], "rule_id string, project_id string, agent_name string, metric_type string, window_minutes int, "
+                                 "condition string, threshold double, cooldown_minutes int, enabled boolean")
+
+
+def rules_sql():
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    rows = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in METRIC_RULES)
+    return f"rules(rule_id, project_id, agent_name, metric_type, window_minutes, condition, threshold, cooldown_minutes) AS (VALUES {rows})"
+
+
+P95 = "list_sort(list(duration_ms) FILTER (span_type = 'llm'))[greatest(1, CAST(ceil(0.95 * count(*) FILTER (span_type = 'llm')) AS BIGINT))]"
+
+
+@reg.add("q8_alerts_with_cooldown", with_(SPANS).replace("WITH", "WITH RECURSIVE") + f""", {rules_sql()},
+hit AS (SELECT r.*, s.*, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, started_at) + INTERVAL 5 MINUTE,
+    time_bucket(INTERVAL 5 MINUTE, started_at) + to_minutes(window_minutes), INTERVAL 5 MINUTE)) AS tick
+  FROM spans s JOIN rules r ON r.project_id = s.project_id AND (r.agent_name IS NULL OR r.agent_name = s.agent_name)),
+metrics AS (
+  SELECT rule_id, metric_type, condition, threshold, cooldown_minutes, tick, CASE metric_type
+    WHEN 'error_rate' THEN count(*) FILTER (error_code >= 400 OR status = 'error') / count(*)
+    WHEN 'success_rate' THEN 1 - count(*) FILTER (error_code >= 400 OR status = 'error') / count(*)
+    WHEN 'latency_p95' THEN {P95}
+    WHEN 'latency_mean' THEN avg(duration_ms) FILTER (span_type = 'llm')
+    WHEN 'cost_per_trace' THEN sum(cost_usd) / count(DISTINCT trace_id)
+    WHEN 'token_usage' THEN sum(total_tokens) FILTER (span_type = 'llm') END AS value
+  FROM hit WHERE tick <= (SELECT max(started_at) FROM spans) - INTERVAL 5 MINUTE
+  GROUP BY rule_id, metric_type, condition, threshold, cooldown_minutes, tick),
+due AS (SELECT * FROM metrics WHERE CASE condition WHEN 'gt' THEN value > threshold WHEN 'lt' THEN value < threshold
+  WHEN 'gte' THEN value >= threshold WHEN 'lte' THEN value <= threshold END),
+{COOLED.format(keys="rule_id, cooldown_minutes", dkeys="d.rule_id, d.cooldown_minutes", same="d.rule_id = f.rule_id", wait="to_minutes(f.cooldown_minutes)").strip()}
+SELECT rule_id, metric_type, {ts_sql('tick')} AS evaluated_at, round(value, 6) AS value FROM fired JOIN due USING (rule_id, tick)""")
 def _(spark, d):
     folder = Q.new_folder(spark, "alerts")
-    stream = Q.rule_windows(window_rules(spark), B.span_stream(spark, d))
-    Q.run(stream, folder, "update", Q.alert_writer(folder))
-    return spark.read.parquet(f"{folder}/data").drop("batch_id")
+    job = U.AlertUpkeep(spark, folder, metric_rules(spark))
+    rows = B.spans(spark, d)
+    fed(rows, arrival("started_at"), job, folder)
+    return job.alerts()
+
+
+def drift_job(spark, d, **options):
+    folder = Q.new_folder(spark, "drift")
+    job = U.DriftUpkeep(spark, folder, **options)
+    fed(B.spans(spark, d), arrival("started_at"), job, folder)
+    return job
+
+
+DRIFT_MEASURES = {"duration": "duration_ms", "token_usage": "total_tokens", "tool_calls": "tool_calls", "cost": "cost_usd"}
+
+
+def _drift_sql():
+    agent = "project_id, agent_name, service_name"
+    own = "b.project_id = c.project_id AND b.agent_name = c.agent_name AND b.service_name = c.service_name"
+    means = ", ".join(f"avg({c}) AS {m}, stddev_pop({c}) AS {m}_sd" for m, c in DRIFT_MEASURES.items())
+    z = lambda m, sd: f"CASE WHEN {sd} > 0 THEN abs(c.{m} - b.{m}) / ({sd}) END"
+    grade = lambda v: f"CASE WHEN {v} >= 4 THEN 4 WHEN {v} >= 3 THEN 3 WHEN {v} >= 2 THEN 2 ELSE 1 END"
+    found = []
+    for m in DRIFT_MEASURES:
+        v = z(m, f"b.{m} * 0.3" if m == "cost" else f"b.{m}_sd")
+        found.append(f"SELECT {', '.join('c.' + a for a in agent.split(', '))}, c.tick, '{m}' AS metric, {grade(v)} AS rank FROM cur c JOIN base b ON {own} AND b.tick = date_trunc('hour', c.tick) WHERE {v} >= {SENSITIVITY}")
+    diff = "abs(c.good - b.good)"
+    found.append(f"SELECT {', '.join('c.' + a for a in agent.split(', '))}, c.tick, 'success_rate', CASE WHEN {diff} > 0.3 THEN 4 WHEN {diff} > 0.2 THEN 3 ELSE 2 END FROM cur c JOIN base b ON {own} AND b.tick = date_trunc('hour', c.tick) WHERE {diff} > 0.1")
+    over = lambda name, every, span: f"""{name} AS (SELECT {agent}, tick, {means}, count(*) FILTER (status = 'success') / count(*) AS good FROM (
+      SELECT *, unnest(generate_series(time_bucket(INTERVAL {every} MINUTE, slot_end + INTERVAL {every} MINUTE - INTERVAL 1 MICROSECOND), slot_end + INTERVAL {span} HOUR - INTERVAL 1 MICROSECOND, INTERVAL {every} MINUTE)) AS tick
+      FROM slots) WHERE tick <= (SELECT max(started_at) FROM agents) - INTERVAL 15 MINUTE GROUP BY ALL)"""
+    return with_(SPANS, AGENTS).replace("WITH", "WITH RECURSIVE") + f""",
+slots AS (SELECT *, time_bucket(INTERVAL 15 MINUTE, started_at) + INTERVAL 15 MINUTE AS slot_end FROM agents),
+{over('cur', 15, 24)}, {over('base', 60, 168)},
+anom AS ({' UNION ALL '.join(found)}),
+due AS (SELECT {agent}, tick, max(rank) AS rank, string_agg(metric, '|' ORDER BY metric) AS metrics FROM anom GROUP BY ALL),
+{COOLED.format(keys=agent, dkeys='d.project_id, d.agent_name, d.service_name', same='d.project_id = f.project_id AND d.agent_name = f.agent_name AND d.service_name = f.service_name', wait='INTERVAL 60 MINUTE').strip()}
+SELECT {agent}, {ts_sql('tick')} AS evaluated_at, (['low', 'medium', 'high', 'critical'])[rank] AS severity, metrics FROM fired JOIN due USING ({agent}, tick)"""
+
+
+@reg.add("q8_drift_cadence", _drift_sql())
+def _(spark, d):
+    return drift_job(spark, d, sensitivity=SENSITIVITY).alerts().drop("anomalies")
+
+
+DISC = "list_sort(list({c}))[greatest(1, CAST(ceil({q} * count({c})) AS BIGINT))]"
+
+
+@reg.add("g14_baseline_upkeep", with_(SPANS, AGENTS) + f""",
+marks AS (SELECT b, date_trunc('hour', (SELECT max(started_at) FROM agents WHERE {arrival_sql('started_at')} <= b) - INTERVAL 15 MINUTE) AS tick FROM range({ARRIVALS}) r(b)),
+hours AS (SELECT DISTINCT tick FROM marks)
+SELECT project_id, agent_name, service_name, {ts_sql('tick')} AS window_end, count(*) AS sample_size, round(avg(duration_ms), 6) AS duration_mean,
+  round(stddev_pop(duration_ms), 6) AS duration_stddev, {DISC.format(c='duration_ms', q=0.5)} AS duration_p50, {DISC.format(c='duration_ms', q=0.95)} AS duration_p95,
+  {DISC.format(c='duration_ms', q=0.99)} AS duration_p99, min(duration_ms) AS duration_min, max(duration_ms) AS duration_max,
+  round(avg(total_tokens), 6) AS token_usage_mean, round(stddev_pop(total_tokens), 6) AS token_usage_stddev,
+  {DISC.format(c='total_tokens', q=0.5)}::DOUBLE AS token_usage_p50, {DISC.format(c='total_tokens', q=0.95)}::DOUBLE AS token_usage_p95,
+  round(avg(tool_calls), 6) AS tool_calls_mean, round(stddev_pop(tool_calls), 6) AS tool_calls_stddev,
+  round(count(*) FILTER (status = 'success') / count(*), 6) AS success_rate, count(*) FILTER (status = 'error') AS error_count,
+  round(avg(cost_usd), 6) AS cost_mean, round(sum(cost_usd), 6) AS cost_total
+FROM agents JOIN hours ON started_at < tick AND started_at >= tick - INTERVAL 7 DAY GROUP BY project_id, agent_name, service_name, tick""")
+def _(spark, d):
+    return drift_job(spark, d, checks=False).baselines().drop("response_length_mean", "response_length_stddev")
 
 
 @reg.add("q9_scan_stream", with_(EV) + """

@@ -8,12 +8,10 @@ its own output and a lost executor or driver never doubles rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.attrs import with_attrs
 from ..functions.ordering import latest_per_key
@@ -22,6 +20,7 @@ from ..operators.rollup import USAGE, usage_sums
 from ..schema import is_error, is_success
 from ..session import checkpoint_root
 from ..sources import native
+from .upkeep import cooled
 
 
 # ---- sources ------------------------------------------------------------------
@@ -171,37 +170,6 @@ def bursts(hits: DataFrame, key: str, ts: str, limit: int = 100, unit: str = "1
                          F.greatest(F.col("hits") - limit, F.lit(0)).alias("rejected"))
 
 
-QUOTA_OUT = "row_id long, user_id long, period string, cost long, allowed boolean, usage long"
-
-
-def quota(arrivals: DataFrame, delay: str = "1 hour", retention_ms: int = 60 * 86_400_000) -> DataFrame:
-    """Admission per arrival (row_id, user_id, period, arrived_at, cost, quota): usage grows on accepted rows only.
-
-    Kept per user and month until 60 days after the last arrival. Rows of one user must be judged one after
-    another, so a user is one state key; use the batch form for unit costs in bulk.
-    """
-
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        usage = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["arrived_at", "row_id"])
-        out = []
-        for row in rows.itertuples():
-            limit = row.quota
-            allowed = pd.isna(limit) or usage + row.cost <= limit
-            usage += row.cost if allowed else 0
-            out.append((row.row_id, key[0], key[1], row.cost, bool(allowed), usage))
-        state.update((int(usage),))
-        latest = int(rows["arrived_at"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + retention_ms)
-        yield pd.DataFrame(out, columns=["row_id", "user_id", "period", "cost", "allowed", "usage"])
-
-    return arrivals.withWatermark("arrived_at", delay).groupBy("user_id", "period").applyInPandasWithState(
-        judge, QUOTA_OUT, "usage long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def pair_runs(starts: DataFrame, ends: DataFrame, longest: str = "24 hours", grace: str = "1 hour") -> DataFrame:
     """Workflow starts joined to their ends by execution id; starts without an end come out as running."""
     s = starts.withWatermark("started_at", grace).alias("s")
@@ -225,45 +193,10 @@ def rule_windows(rules: DataFrame, spans: DataFrame, window: str = "1 hour", sli
                       F.try_divide("errors", "n").alias("value"))
 
 
-FIRED_OUT = "rule_id string, evaluated_at timestamp, value double"
-
-
 def with_cooldown(evaluations: DataFrame, last_fired: DataFrame | None = None) -> DataFrame:
-    """Evaluations that fire, at most once per cooldown and rule.
-
-    One row per rule and evaluation goes in (a day has 288), so a rule fits one group.
-    """
+    """Evaluations that fire, at most once per cooldown and rule."""
     due = evaluations.where(metering.condition_met(F.col("value"), F.col("condition"), F.col("threshold")))
-    rows = due.select("rule_id", "evaluated_at", "value", "cooldown_minutes", F.lit(None).cast("timestamp").alias("last_fired"))
-    if last_fired is not None:
-        rows = rows.drop("last_fired").join(last_fired.select("rule_id", "last_fired"), "rule_id", "left")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("evaluated_at")
-        last = pdf["last_fired"].iloc[0]
-        kept = []
-        for row in pdf.itertuples():
-            if pd.isna(last) or row.evaluated_at - last >= pd.Timedelta(minutes=int(row.cooldown_minutes)):
-                kept.append((row.rule_id, row.evaluated_at, row.value))
-                last = row.evaluated_at
-        return pd.DataFrame(kept, columns=["rule_id", "evaluated_at", "value"])
-
-    return rows.groupBy("rule_id").applyInPandas(keep, FIRED_OUT)
-
-
-def alert_writer(folder: str) -> Callable[[DataFrame, int], None]:
-    """Writer for ``rule_windows``: fired alerts of each batch, with the cooldown carried over from earlier batches."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = None
-        if batch_id > 0:
-            schema = T.StructType.fromDDL(FIRED_OUT + ", batch_id long")
-            earlier = spark.read.schema(schema).parquet(f"{folder}/data").where(F.col("batch_id") < batch_id).groupBy("rule_id").agg(
-                F.max("evaluated_at").alias("last_fired"))
-        with_cooldown(batch, earlier).write.mode("overwrite").parquet(f"{folder}/data/batch_id={batch_id}")
-
-    return write
+    return cooled(due, ["rule_id"], "evaluated_at", F.col("cooldown_minutes"), last_fired).select("rule_id", "evaluated_at", "value")
 
 
 def scan_stream(spans: DataFrame, delay: str = "1 day") -> DataFrame:

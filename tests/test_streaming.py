@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spanloom.plans import bind as B
 from spanloom.sources.otlp import synthesize_traces
-from spanloom.streaming import jobs as Q
+from spanloom.streaming import jobs as Q, upkeep as U
 
 
 @pytest.fixture(scope="module")
@@ -106,10 +106,10 @@ def test_quota_skips_rejected_rows(spark, tmp_path):
     at = [dt.datetime(2024, 1, 1, 0, 0, i) for i in range(5)]
     df = spark.createDataFrame([(0, 1, "2024-01", at[0], 3, 5), (1, 1, "2024-01", at[1], 4, 5), (2, 1, "2024-01", at[2], 2, 5), (3, 1, "2024-01", at[3], 1, 5), (4, 2, "2024-01", at[4], 9, None)], cols)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = Q.quota(Q.file_stream(spark, str(tmp_path / "in"), df.schema))
     folder = Q.new_folder(spark, "t-quota")
-    Q.run(stream, folder)
-    got = {r["row_id"]: (r["allowed"], r["usage"]) for r in Q.read_output(spark, folder, stream.schema).collect()}
+    job = U.QuotaUpkeep(spark, folder, unit=False)
+    Q.run(Q.file_stream(spark, str(tmp_path / "in"), df.schema), folder, writer=job)
+    got = {r["row_id"]: (r["allowed"], r["usage"]) for r in job.decisions().collect()}
     assert got == {0: (True, 3), 1: (False, 3), 2: (True, 5), 3: (False, 5), 4: (True, 9)}
 
 

@@ -25,7 +25,7 @@ def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return agg_with_quantiles(df, keys, [F.count(value).alias("n")],
+    return agg_with_quantiles(df, keys, {"n": ("count_of", value)},
                               {value: {"p50": 0.5, "p95": 0.95, "p99": 0.99}})
 
 

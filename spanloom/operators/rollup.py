@@ -36,6 +36,16 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part, whole)
 
 
+USAGE_MEASURES = {
+    "call_count": ("count", None),
+    "prompt_tokens": ("sum", "prompt_tokens"),
+    "completion_tokens": ("sum", "completion_tokens"),
+    "total_tokens": ("sum", "total_tokens"),
+    "avg_latency_ms": ("avg", "latency_ms"),
+    "total_cost_usd": ("sum", "cost_usd"),
+}
+
+
 def usage_sums() -> list[Column]:
     return [
         F.count("*").alias("call_count"),
@@ -53,26 +63,26 @@ def workflow_daily(traces: DataFrame, quantiles: bool = True) -> DataFrame:
     rows = with_attrs(traces.where(has_key("attributes", "n8n.workflow.id")), WORKFLOW).withColumn("date", day())
     return agg_with_quantiles(
         rows, ["project_id", "workflow_id", "workflow_name", "date"],
-        [
-            F.count("*").alias("execution_count"),
-            F.count_if(is_error(F.col("status"))).alias("error_count"),
-            F.count_if(is_success(F.col("status"))).alias("success_count"),
-            F.avg("duration_ms").alias("avg_duration_ms"),
-            F.min("duration_ms").alias("min_duration_ms"),
-            F.max("duration_ms").alias("max_duration_ms"),
-        ],
+        {
+            "execution_count": ("count", None),
+            "error_count": ("count_if", is_error(F.col("status"))),
+            "success_count": ("count_if", is_success(F.col("status"))),
+            "avg_duration_ms": ("avg", "duration_ms"),
+            "min_duration_ms": ("min", "duration_ms"),
+            "max_duration_ms": ("max", "duration_ms"),
+        },
         {"duration_ms": {"p50_duration_ms": 0.5, "p95_duration_ms": 0.95, "p99_duration_ms": 0.99}} if quantiles else {},
     )
 
 
 def ai_node_daily(spans: DataFrame, quantiles: bool = True) -> DataFrame:
-    """Model calls of workflow nodes per day; without quantiles, which need passes of their own, where they aren't read."""
+    """Model calls of workflow nodes per day; without quantiles where they aren't read."""
     rows = spans.where((F.col("span_type") == "llm") & has_key("attributes", "n8n.workflow.id"))
     rows = with_attrs(rows, {"workflow_id": WORKFLOW["workflow_id"], **USAGE})
     rows = rows.withColumn("date", day()).withColumnRenamed("name", "node_name")
     return agg_with_quantiles(
         rows, ["project_id", "workflow_id", "node_name", "model", "vendor", "date"],
-        [*usage_sums(), F.count_if(is_error(F.col("status"))).alias("error_count")],
+        {**USAGE_MEASURES, "error_count": ("count_if", is_error(F.col("status")))},
         {"latency_ms": {"p95_latency_ms": 0.95}} if quantiles else {},
     )
 
@@ -87,12 +97,12 @@ def node_daily(spans: DataFrame) -> DataFrame:
     }).withColumn("date", day())
     return agg_with_quantiles(
         rows, ["project_id", "workflow_id", "node_name", "node_type", "span_type", "date"],
-        [
-            F.count("*").alias("execution_count"),
-            F.avg("duration_ms").alias("avg_duration_ms"),
-            F.count_if(is_error(F.col("status"))).alias("error_count"),
-            F.count_if(is_success(F.col("status"))).alias("success_count"),
-        ],
+        {
+            "execution_count": ("count", None),
+            "avg_duration_ms": ("avg", "duration_ms"),
+            "error_count": ("count_if", is_error(F.col("status"))),
+            "success_count": ("count_if", is_success(F.col("status"))),
+        },
         {"duration_ms": {"p95_duration_ms": 0.95}},
     )
 
@@ -101,11 +111,11 @@ def span_daily(spans: DataFrame) -> DataFrame:
     """Span counts and durations per service, type and day."""
     return agg_with_quantiles(
         spans.withColumn("date", day()), ["project_id", "service_name", "span_type", "date"],
-        [
-            F.count("*").alias("span_count"),
-            F.avg("duration_ms").alias("avg_duration_ms"),
-            F.count_if(is_error(F.col("status"))).alias("error_count"),
-        ],
+        {
+            "span_count": ("count", None),
+            "avg_duration_ms": ("avg", "duration_ms"),
+            "error_count": ("count_if", is_error(F.col("status"))),
+        },
         {"duration_ms": {"p95_duration_ms": 0.95}},
     )
 

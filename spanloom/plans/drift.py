@@ -83,12 +83,12 @@ ALERT_COLS = ["project_id", "agent_name", "service_name", "severity_rank", "seve
 
 def anomalies(spark, d):
     s = spans(spark, d)
-    return G.detect_anomalies(G.current_metrics(s, as_of()), G.agent_baselines(s, [as_of()]), SENSITIVITY)
+    return G.detect_anomalies(G.current_metrics(s, as_of()), G.agent_baselines(s, [as_of()], quantiles=False), SENSITIVITY)
 
 
 def scored_agents(spark, d):
     s = spans(spark, d)
-    return G.score_agents(G.current_metrics(s, as_of()), G.agent_baselines(s, [as_of()]), SENSITIVITY)
+    return G.score_agents(G.current_metrics(s, as_of()), G.agent_baselines(s, [as_of()], quantiles=False), SENSITIVITY)
 
 
 def new_alerts(spark, d):
@@ -107,7 +107,7 @@ def _(spark, d):
 @reg.add("g2_baseline_agents", with_(SPANS, AGENTS, BASE) + """
 SELECT project_id, count(*) AS baselines, CAST(sum(sample_size) AS BIGINT) AS samples FROM base GROUP BY project_id""")
 def _(spark, d):
-    return G.agent_baselines(spans(spark, d), [as_of()]).groupBy("project_id").agg(
+    return G.agent_baselines(spans(spark, d), [as_of()], quantiles=False).groupBy("project_id").agg(
         F.count("*").alias("baselines"), F.sum("sample_size").alias("samples"))
 
 
@@ -117,7 +117,7 @@ SNAPS = f"{ALL_BASE}, snaps AS (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNIO
 
 
 def snapshots(spark, d):
-    return G.agent_baselines(spans(spark, d), [as_of() - F.expr(f"INTERVAL {n} DAY") for n in (0, 8, 16)])
+    return G.agent_baselines(spans(spark, d), [as_of() - F.expr(f"INTERVAL {n} DAY") for n in (0, 8, 16)], quantiles=False)
 
 
 @reg.add("g3_latest_baselines", with_(SPANS, AGENTS, SNAPS) + f"""
@@ -144,7 +144,7 @@ FROM agents s ASOF JOIN snaps b ON s.project_id = b.project_id AND s.agent_name
 def _(spark, d):
     points = G.agent_rows(spans(spark, d)).select(*BASE_KEYS, "span_id", "started_at")
     base = snapshots(spark, d).select(*BASE_KEYS, "window_end", "duration_mean")
-    return G.baseline_as_of(points, base, BASE_KEYS, "started_at", as_of()).select("span_id", "window_end", "duration_mean")
+    return G.baseline_as_of(points, base, BASE_KEYS, "started_at").select("span_id", "window_end", "duration_mean")
 
 
 @reg.add("g4_current_metrics", with_(SPANS, AGENTS, CUR) + """

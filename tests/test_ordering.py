@@ -40,7 +40,7 @@ def test_exact_quantiles(df, rows, q):
 
 def test_quantiles_with_aggregates_and_null_values(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", None)], "key string, v double")
-    got = {r["key"]: (r["n"], r["p"]) for r in agg_with_quantiles(df, ["key"], [F.count("*").alias("n")], {"v": {"p": 0.5}}).collect()}
+    got = {r["key"]: (r["n"], r["p"]) for r in agg_with_quantiles(df, ["key"], {"n": ("count", None)}, {"v": {"p": 0.5}}).collect()}
     assert got == {"a": (2, 1.0), "b": (1, None)}
 
 
@@ -102,3 +102,53 @@ def test_small_values_have_many_bins(spark):
         # about 64 values lie a bin apart, the rest span ln(1000 / 64) * 64 = 176 bins
         assert bins == sorted(bins) and len(set(bins)) > 230
     assert df.select(value_bin(F.col("least")) > 0, value_bin(-F.col("least")) < 0, value_bin(F.lit(0.0)) == 0).first() == (True, True, True)
+
+
+# ---- aggregates and quantiles from one read ------------------------------------------------
+def test_one_pass_equals_separate_aggregates(spark):
+    import math
+    import random
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), 0.0, -1.5, 2.0, rng.uniform(-1e6, 1e6)]), rng.choice([None, rng.randrange(50)]), rng.random() < 0.3)
+            for _ in range(600)] + [("only nulls", None, None, True)] * 3 + [("one", 7.25, 7, False)]
+    df = spark.createDataFrame(rows, "key string, v double, w long, bad boolean").repartition(5)
+    got = {r["key"]: r for r in agg_with_quantiles(
+        df, ["key"], {"n": ("count", None), "nv": ("count_of", "w"), "bad": ("count_if", F.col("bad")), "s": ("sum", "w"), "m": ("avg", "w"), "lo": ("min", "w"),
+                      "hi": ("max", "w"), "sd": ("stddev", "w"), "share": ("rate", F.col("bad"))},
+        {"v": {"v0": 0.0, "v50": 0.5, "v95": 0.95}, "w": {"w25": 0.25, "w100": 1.0}}).collect()}
+    assert set(got) == {"a", "b", None, "only nulls", "one"}
+
+    def quantile(values, q):
+        values = sorted(values)
+        at = (len(values) - 1) * q
+        lo, hi = values[math.floor(at)], values[math.ceil(at)]
+        return lo + (hi - lo) * (at - math.floor(at))
+
+    for key, r in got.items():
+        mine = [x for x in rows if x[0] == key]
+        w = [x[2] for x in mine if x[2] is not None]
+        v = [x[1] for x in mine if x[1] is not None and not math.isnan(x[1])]
+        assert (r["n"], r["nv"], r["bad"]) == (len(mine), len(w), sum(x[3] for x in mine))
+        assert r["share"] == pytest.approx(r["bad"] / r["n"])
+        if not w:
+            assert (r["s"], r["m"], r["lo"], r["hi"], r["sd"], r["v50"], r["w25"]) == (None,) * 7
+            continue
+        mean = sum(w) / len(w)
+        assert (r["s"], r["lo"], r["hi"]) == (sum(w), min(w), max(w)) and r["m"] == pytest.approx(mean)
+        assert r["sd"] == pytest.approx((sum((x - mean) ** 2 for x in w) / len(w)) ** 0.5, abs=1e-9)
+        assert [r["v0"], r["v50"], r["v95"]] == pytest.approx([quantile(v, q) for q in (0, 0.5, 0.95)])
+        assert [r["w25"], r["w100"]] == pytest.approx([quantile(w, q) for q in (0.25, 1)])
+
+
+@pytest.mark.parametrize("name", ["e2_ai_node_daily", "e3_node_daily", "e4_span_daily", "g1_agent_baselines"])
+def test_rollups_read_the_facts_once(spark, small, name):
+    """In the plan that ran, the facts are scanned once; the other reader takes the same exchange."""
+    from spanloom import plans
+
+    df = plans.all_queries()[name](spark, small)
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    ran = plan.split("Initial Plan")[0]
+    assert ran.count("FileScan parquet") == 1 and "Reused" in ran

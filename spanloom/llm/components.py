@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import settled
+from .shared import release, settled
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -22,7 +22,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").unionByName(low.select(F.col("u").alias("v"), "m"))
-        now = settled(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        last, now = now, settled(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        del both, least, large, low, small
+        release(edges.sparkSession, last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 from .batches import MULTIPLIER, mixed, prepare, shingles, slices, span_hashes, utf8, words
 from .bpe import Shared
 from .components import components
-from .shared import settled
+from .shared import release, settled
 
 WORDS = 5
 BANDS, ROWS = 24, 5
@@ -412,11 +412,16 @@ def row_classes(docs: DataFrame, *, text: str, key: str, threshold: float = 0.8)
     copies = settled(leads)
     some = signed.where("n > 0").join(copies.where("id = lead").select("id"), "id", "left_semi")
     rows = settled(some.select("id", "bands", "bytes"))
+    del member, lead, leads, some
+    release(docs.sparkSession, signed)
     candidates = settled(estimated(bucket_pairs(rows), rows, threshold))
+    release(docs.sparkSession)
     ends = candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct()
     whole, narrow = narrow, settled(narrow.join(ends, "id", "left_semi"))  # the texts that verification needs
     best = candidates.groupBy("u").agg(F.max_by("v", F.struct("share", "v")).alias("v")).where("u is not null")
+    release(docs.sparkSession)
     first = settled(verified(best, narrow, frequencies, threshold).select("u", "v"))
+    release(docs.sparkSession)
     root = settled(components(first))
     at = lambda side: root.select(F.col("id").alias(side), F.col("root").alias(f"r{side}"))
     rest = (candidates.select("u", "v").join(best.select("u", "v"), ["u", "v"], "left_anti")
@@ -424,11 +429,17 @@ def row_classes(docs: DataFrame, *, text: str, key: str, threshold: float = 0.8)
             .where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
     second = verified(rest, narrow, frequencies, threshold).select("u", "v")
     links = settled(first.unionByName(second))
+    del best, rest, second, ends
+    release(docs.sparkSession, root, narrow, first)
     root = settled(components(links))
     missing = settled(crowded(rows, root, threshold).select("u", "v").join(candidates.select("u", "v"), ["u", "v"], "left_anti"))
+    release(docs.sparkSession)
     if not missing.isEmpty():
         ends = missing.select(F.col("u").alias("id")).unionByName(missing.select(F.col("v").alias("id"))).distinct()
-        third = verified(missing, settled(whole.join(ends, "id", "left_semi")), frequencies, threshold).select("u", "v")
+        narrow = settled(whole.join(ends, "id", "left_semi"))
+        release(docs.sparkSession)
+        third = settled(verified(missing, narrow, frequencies, threshold).select("u", "v"))
+        release(docs.sparkSession, narrow)
         root = components(links.unionByName(third))
     final = root.select(F.col("id").alias("lead"), "root")
     return (copies.join(final, "lead", "left").groupBy(F.col("id").alias("key")).agg(F.min(F.coalesce("root", "lead")).alias("class")))

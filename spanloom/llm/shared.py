@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,25 @@ def shared_dir(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Written to the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the shared folder as Parquet and read from there; its lineage ends there."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more, and let the driver drop the shuffle files of finished steps.
+
+    Spark removes shuffle files once no plan refers to them, but only when the driver collects garbage.
+    """
+    for df in done:
+        path = getattr(df, "_settled_at", None)
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark._jvm.System.gc()

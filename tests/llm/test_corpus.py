@@ -191,3 +191,22 @@ def test_pipeline(spark, docs, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         again = stage(spark, again, small)
         assert again.columns == docs.columns
+
+
+def test_stages_take_any_extra_columns(spark, docs, small):
+    """Columns named like those of the operators pass through every stage, and an empty table through all."""
+    from pyspark.sql import functions as F
+
+    names = ["score", "predicted", "ratio", "items", "n_hit", "n_words", "contaminated", "key", "class", "lead", "root", "spans", "ids", "decoded", "bytes", "__key"]
+    extra = docs.limit(60).withColumns({n: F.lit(n) for n in names})
+    for table in (extra, extra.where("false")):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, small)
+            assert now.columns == table.columns, name
+            rows = now.collect()
+            assert all(r[n] == n for r in rows for n in names)
+            now = spark.createDataFrame(rows, table.schema)
+        out = corpus_pipeline.STAGES[-1][1](spark, now, small)
+        assert out.count() == now.count()
+    assert now.count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.attrs import blank_to, has_key, with_attrs
-from ..functions.ordering import top_per_key
+from ..functions.ordering import MINUTE_US, position, time_bucket, top_per_key
 from ..schema import is_error, is_success
 from .rollup import USAGE, WORKFLOW
 
@@ -35,14 +35,17 @@ def workflow_list(traces: DataFrame, as_of: Column, hours: int = 24) -> DataFram
     )
 
 
-def recent_executions(traces: DataFrame, per_workflow: int = 50) -> DataFrame:
-    """Newest executions of every workflow."""
+def recent_executions(traces: DataFrame, per_workflow: int | None = None) -> DataFrame:
+    """Executions of every workflow, newest first, as ``recent_rank`` says; with ``per_workflow`` the newest so many."""
     rows = with_attrs(traces.where(has_key("attributes", "n8n.workflow.id")), {
         **RUN, "execution_id": ("n8n.execution.id", "str")})
     rows = rows.select("project_id", "workflow_id", "execution_id", "started_at", "completed_at", "status",
                        F.round("duration_ms", 3).alias("duration_ms"), "total_tokens", "cost_usd")
-    return top_per_key(rows, ["project_id", "workflow_id"], [F.desc("started_at"), F.col("execution_id")],
-                       per_workflow, "recent_rank")
+    keys, order = ["project_id", "workflow_id"], [F.desc("started_at"), F.col("execution_id")]
+    if per_workflow is not None:
+        return top_per_key(rows, keys, order, per_workflow, "recent_rank")
+    # newest first and whole: minutes count down, so a busy workflow is spread over them
+    return position(rows, keys, -time_bucket(F.col("started_at"), MINUTE_US), order, "recent_rank")
 
 
 def ai_nodes(spans: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
@@ -58,6 +61,19 @@ def ai_nodes(spans: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
         F.sum("completion_tokens").alias("completion_tokens"), F.avg("latency_ms").alias("avg_latency_ms"))
 
 
+def workflow_page(traces: DataFrame, spans: DataFrame, as_of: Column, runs: int = 50) -> DataFrame:
+    """One row per workflow active in the last day: its summary, its newest ``runs`` runs and its model-calling nodes.
+
+    Runs are a report of fixed length; nodes are already one entry per node, model and vendor.
+    """
+    keys = ["project_id", "workflow_id"]
+    newest = recent_executions(traces, runs).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("recent_rank", "execution_id", "started_at", "completed_at", "status", "duration_ms", "total_tokens", "cost_usd"))).alias("runs"))
+    nodes = ai_nodes(spans, as_of).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "node_name", "model", "vendor", "call_count", "prompt_tokens", "completion_tokens", F.round("avg_latency_ms", 1).alias("avg_latency_ms")))).alias("nodes"))
+    return workflow_list(traces, as_of).join(newest, keys, "left").join(nodes, keys, "left")
+
+
 def workflow_detail(traces: DataFrame, spans: DataFrame, as_of: Column) -> DataFrame:
     """Summary per workflow with the last run and the number of model-calling nodes."""
     summary = workflow_list(traces, as_of)

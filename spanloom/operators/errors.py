@@ -265,18 +265,30 @@ def debug_digest(spans: DataFrame, page_spans: int = 200, chars: int | None = No
         F.lit("\n\nCalls:\n"), blank_to(details, "  none")).alias("digest"))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def parse_analysis(responses: DataFrame, text: str = "response") -> DataFrame:
-    """Sections ROOT_CAUSE, EXPLANATION, FIX_SUGGESTIONS and CONFIDENCE of an answer text."""
-    t = F.col(text)
+    """Sections ROOT_CAUSE, EXPLANATION, FIX_SUGGESTIONS and CONFIDENCE of an answer text.
 
-    def section(name: str, *ends: str) -> Column:
-        stop = "|".join(f"{e}:" for e in ends)
-        return F.trim(F.regexp_extract(t, rf"(?s){name}:\s*(.*?)\s*(?:{stop}|\z)", 1))
+    A section goes from its first mark to the first occurrence of the first of its end marks that follows at all.
+    Suggestions are the lines that begin with a digit and hold a dot; confidence is a number in 0 to 1, else 0.5.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def after(name: str) -> Column:
+        return F.when(F.contains(t, F.lit(name)), F.substr(t, F.locate(name, t) + F.lit(len(name))))
 
-    lines = F.split(section("FIX_SUGGESTIONS", "CONFIDENCE"), "\n")
-    fixes = F.filter(F.transform(F.filter(lines, lambda x: F.trim(x).rlike(r"^\d.*\.")),
-                                 lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[^.]*\.", ""))), lambda x: x != "")
-    conf = F.expr(f"try_cast(regexp_extract({text}, 'CONFIDENCE:\\\\s*([^\\\\n]*)', 1) AS double)")
+    def section(name: str, *ends: str) -> Column:
+        rest = after(f"{name}:")
+        cuts = [F.when(F.contains(rest, F.lit(f"{e}:")), F.substring_index(rest, f"{e}:", 1)) for e in ends]
+        return _stripped(F.coalesce(*cuts, rest))
+
+    lines = F.transform(F.split(section("FIX_SUGGESTIONS", "CONFIDENCE"), "\n"), _stripped)
+    fixes = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(r"^\d.*\.")), lambda x: _stripped(F.regexp_replace(x, r"^[^.]*\.", ""))), lambda x: x != "")
+    number = _stripped(F.substring_index(_stripped(after("CONFIDENCE:")), "\n", 1))
+    conf = F.when(number.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), number.try_cast("double"))
     return responses.withColumns({
         "root_cause": blank_to(section("ROOT_CAUSE", "EXPLANATION", "FIX_SUGGESTIONS", "CONFIDENCE"),
                                "The answer names no root cause."),

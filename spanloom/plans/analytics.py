@@ -48,6 +48,29 @@ def _(spark, d):
     return A.workflow_detail(traces(spark, d), spans(spark, d), as_of())
 
 
+@reg.add("f2_workflow_runs", with_(EV, TRACES, F1, F3) + f"""
+SELECT project_id, workflow_id, recent_rank, execution_id, {ts_sql('started_at')} AS started_at, f3.status, round(duration_ms, 3) AS duration_ms, total_tokens,
+  round(cost_usd, 6) AS cost_usd, round(avg_duration_ms, 6) AS avg_duration_ms FROM f1 JOIN f3 USING (project_id, workflow_id) WHERE recent_rank <= 50""".replace("total_tokens,", "f3.total_tokens,"))
+def _(spark, d):
+    page = A.workflow_page(traces(spark, d), spans(spark, d), as_of())
+    return page.select("project_id", "workflow_id", "avg_duration_ms", F.explode("runs").alias("r")).select(
+        "project_id", "workflow_id", "avg_duration_ms", "r.recent_rank", "r.execution_id", "r.started_at", "r.status", "r.duration_ms", "r.total_tokens", "r.cost_usd")
+
+
+@reg.add("f2_workflow_nodes", with_(SPANS, TRACES, F1, F4) + """
+SELECT project_id, workflow_id, execution_count, node_name, model, vendor, call_count, prompt_tokens, completion_tokens, round(avg_latency_ms, 1) AS avg_latency_ms
+FROM f1 JOIN f4 USING (project_id, workflow_id)""")
+def _(spark, d):
+    page = A.workflow_page(traces(spark, d), spans(spark, d), as_of())
+    return page.select("project_id", "workflow_id", "execution_count", F.explode("nodes").alias("n")).select("project_id", "workflow_id", "execution_count", "n.*")
+
+
+@reg.add("f3_all_executions", with_(EV, TRACES, F3) + f"""
+SELECT * REPLACE ({ts_sql('started_at')} AS started_at, {ts_sql('completed_at')} AS completed_at, round(duration_ms, 3) AS duration_ms) FROM f3""")
+def _(spark, d):
+    return A.recent_executions(traces(spark, d))
+
+
 @reg.add("f3_recent_executions", with_(EV, TRACES, F3) + f"""
 SELECT * REPLACE ({ts_sql('started_at')} AS started_at, {ts_sql('completed_at')} AS completed_at,
   round(duration_ms, 3) AS duration_ms) FROM f3 WHERE recent_rank <= 50""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics, errors as E
 from . import bind as B
-from .bind import SPANS, spans, ts_sql, with_
+from .bind import EV, SPANS, spans, ts_sql, with_
 from .registry import Registry
 
 reg = Registry()
@@ -130,3 +130,39 @@ FROM spans LEFT JOIN j1 USING (trace_id, span_id) GROUP BY trace_id""")
 def _(spark, d):
     s = spans(spark, d)
     return analytics.trace_errors(s, E.classify(s))
+
+
+def answers(spark, d):
+    """Answer texts of six shapes: whole, without or with odd parts, in another order, without marks."""
+    k, e = F.col("k"), F.col("event_type")
+    cause, why = F.concat(F.lit("ROOT_CAUSE: "), e, F.lit(" failed\n")), F.concat(F.lit("EXPLANATION:\n  step "), k, F.lit(" broke\nit\n\n"))
+    fixes = F.concat(F.lit("FIX_SUGGESTIONS:\n1. retry "), k, F.lit(". twice\n2.\n- no number\n 3. check "), e, F.lit("\n"))
+    sure = F.concat(F.lit("CONFIDENCE: "), k / F.lit(50.0), F.lit("\nend"))
+    return B.events(spark, d).select("event_id", F.when(k % 6 == 0, F.concat(cause, why, fixes, sure)).when(k % 6 == 1, F.concat(cause, fixes, F.lit("CONFIDENCE: high")))
+                                     .when(k % 6 == 2, F.concat(F.lit("Well. "), why, cause)).when(k % 6 == 3, F.concat(cause, fixes, why, sure))
+                                     .when(k % 6 == 4, F.concat(e, F.lit(" without marks"))).alias("response"))
+
+
+def _section_sql(name, *ends):
+    rest = f"substr(t, strpos(t, '{name}:') + {len(name) + 1})"
+    cuts = " ".join(f"WHEN contains({rest}, '{e}:') THEN split_part({rest}, '{e}:', 1)" for e in ends)
+    return f"regexp_replace(CASE WHEN contains(t, '{name}:') THEN CASE {cuts} ELSE {rest} END END, '^\\s+|\\s+$', '', 'g')"
+
+
+@reg.add("j12_analysis_sections", with_(EV) + f"""
+, shapes AS (SELECT event_id, k % 6 AS shape, 'ROOT_CAUSE: ' || event_type || ' failed' || chr(10) AS cause,
+  'EXPLANATION:' || chr(10) || '  step ' || k || ' broke' || chr(10) || 'it' || chr(10) || chr(10) AS why,
+  'FIX_SUGGESTIONS:' || chr(10) || '1. retry ' || k || '. twice' || chr(10) || '2.' || chr(10) || '- no number' || chr(10) || ' 3. check ' || event_type || chr(10) AS fixes,
+  'CONFIDENCE: ' || (k / 50.0::DOUBLE) || chr(10) || 'end' AS sure, event_type || ' without marks' AS plain FROM ev),
+texts AS (SELECT event_id, coalesce(CASE shape WHEN 0 THEN cause || why || fixes || sure WHEN 1 THEN cause || fixes || 'CONFIDENCE: high' WHEN 2 THEN 'Well. ' || why || cause
+  WHEN 3 THEN cause || fixes || why || sure WHEN 4 THEN plain END, '') AS t FROM shapes),
+cut AS (SELECT event_id, t, {_section_sql('ROOT_CAUSE', 'EXPLANATION', 'FIX_SUGGESTIONS', 'CONFIDENCE')} AS cause, {_section_sql('EXPLANATION', 'FIX_SUGGESTIONS', 'CONFIDENCE')} AS why,
+  list_filter(list_transform(list_filter(list_transform(string_split({_section_sql('FIX_SUGGESTIONS', 'CONFIDENCE')}, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^\d.*\.')),
+    lambda x: trim(regexp_replace(x, '^[^.]*\.', ''))), lambda x: x <> '') AS fixes,
+  CASE WHEN contains(t, 'CONFIDENCE:') THEN TRY_CAST(trim(split_part(trim(substr(t, strpos(t, 'CONFIDENCE:') + 11)), chr(10), 1)) AS DOUBLE) END AS sure FROM texts)
+SELECT event_id, CASE WHEN coalesce(cause, '') = '' THEN 'The answer names no root cause.' ELSE cause END AS root_cause,
+  CASE WHEN coalesce(why, '') = '' THEN 'The answer explains nothing.' ELSE why END AS explanation,
+  CASE WHEN coalesce(len(fixes), 0) = 0 THEN 'The answer proposes no fix.' ELSE array_to_string(fixes, '|') END AS fix_suggestions,
+  CASE WHEN sure IS NULL THEN 0.5 ELSE round(greatest(0, least(1, sure)), 6) END AS confidence FROM cut""")
+def _(spark, d):
+    return E.parse_analysis(answers(spark, d)).drop("response")

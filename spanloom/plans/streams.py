@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from ..streaming import jobs as Q, upkeep as U
 from . import bind as B
 from .bind import EV, SPANS, TRACES, cat, pick, sql_pick, ts_sql, with_
@@ -46,13 +47,13 @@ def arrival_sql(ts, number=None):
     return f"CAST(least({on_time}{late}, {ARRIVALS - 1}) AS BIGINT)"
 
 
-def fed(rows, come, job, folder, shape=lambda stream: stream):
+def fed(rows, come, job, folder, shape=lambda stream: stream, fmt="parquet"):
     """``rows`` arrive in parts (column ``come``); after each the job is started, takes what is new and stops."""
     spark = rows.sparkSession
     parts = rows.withColumn("_come", come)
     for n in range(ARRIVALS):
-        parts.where(F.col("_come") == n).drop("_come").write.parquet(f"{folder}/in/arrival{n}")
-        Q.run(shape(Q.file_stream(spark, f"{folder}/in/*", rows.schema)), folder, writer=job)
+        parts.where(F.col("_come") == n).drop("_come").write.format(fmt).save(f"{folder}/in/arrival{n}")
+        Q.run(shape(Q.file_stream(spark, f"{folder}/in/*", rows.schema, fmt=fmt)), folder, writer=job)
 
 
 def kept(spark, rows, come, name, delay="1 day"):
@@ -105,16 +106,79 @@ _daily("span_daily", (SPANS,), E4, "avg_duration_ms", "spans", "event_id", span_
 _daily("usage_daily", (SPANS,), E5, "avg_latency_ms total_cost_usd", "spans", "event_id", span_arrivals)
 
 
+def twice(job):
+    """Every micro-batch is written two times, as after a failure."""
+
+    def write(batch, batch_id):
+        job(batch, batch_id)
+        job(batch, batch_id)
+
+    return write
+
+
+@reg.add("a28_fact_sink", with_(SPANS) + f"""
+SELECT project_id, strftime(started_at, '%Y%m') AS month, {arrival_sql('started_at', 'event_id')} AS batch_id, count(*) AS spans, count(DISTINCT span_id) AS ids,
+  {ts_sql('min(started_at)')} AS first_at, round(sum(duration_ms), 6) AS total_ms
+FROM spans WHERE project_id IN ('p1', 'p3') AND started_at >= TIMESTAMP '2024-01-05' AND started_at <= TIMESTAMP '2024-01-28 12:00:00' GROUP BY ALL""")
+def _(spark, d):
+    folder = Q.new_folder(spark, "facts")
+    fed(B.spans(spark, d), arrival("started_at", F.col("span_id").cast("long")), twice(tables.FactSink(f"{folder}/facts")), folder)
+    rows = tables.read_facts(spark, f"{folder}/facts", "2024-01-05", "2024-01-28 12:00:00").where("project_id in ('p1', 'p3')")
+    return rows.groupBy("project_id", F.col("month").cast("string").alias("month"), "batch_id").agg(
+        F.count("*").alias("spans"), F.count_distinct("span_id").alias("ids"), F.min("started_at").alias("first_at"), F.sum("duration_ms").alias("total_ms"))
+
+
+@reg.add("a27_tie_safe_pulls", with_(EV) + f"""
+, landed AS (SELECT event_id, 'p' || (user_id % 5) AS source_id, date_trunc('day', ts) AS ts, {arrival_sql('ts', 'event_id')} AS come FROM ev),
+marks AS (SELECT source_id, b, (SELECT max(ts) FROM landed l WHERE l.source_id = s.source_id AND come < b) AS mark FROM (SELECT DISTINCT source_id FROM landed) s, range({ARRIVALS}) r(b))
+SELECT event_id, l.source_id, {ts_sql('ts')} AS ts, come AS batch_id FROM landed l JOIN marks m ON m.source_id = l.source_id AND b = come WHERE mark IS NULL OR ts >= mark""")
+def _(spark, d):
+    folder = Q.new_folder(spark, "pulls")
+    job = tables.Pull(spark, folder)
+    rows = B.events(spark, d).select("event_id", cat("p", F.col("user_id") % 5).alias("source_id"), F.date_trunc("day", "ts").alias("ts"),
+                                     arrival("ts", F.col("event_id")).alias("come"))
+    for n in range(ARRIVALS):  # the landing table grows; whole days share a timestamp
+        twice(job)(rows.where(F.col("come") <= n).drop("come"), n)
+    return job.pulled()
+
+
+@reg.add("q11_resumable_import", with_(EV) + f"SELECT event_id, event_type, {arrival_sql('ts', 'event_id')} AS batch_id FROM ev")
+def _(spark, d):
+    folder = Q.new_folder(spark, "import")
+    rows = B.events(spark, d).select("event_id", "event_type", "ts")
+    fed(rows, arrival("ts", F.col("event_id")), Q.batch_writer(f"{folder}/data"), folder, shape=lambda s: s.select("event_id", "event_type"))
+    return spark.read.parquet(f"{folder}/data")
+
+
+@reg.add("a24_json_topics", with_(EV) + """
+SELECT 'traces' AS topic, 't' || event_id AS trace_id, CASE WHEN k % 20 = 3 THEN NULL ELSE 'p' || (user_id % 5) END AS project_id, CASE WHEN k % 20 = 3 THEN 0 ELSE 1 END AS accepted, 1 AS spans FROM ev WHERE k % 20 <> 3
+UNION ALL SELECT 'rejects', NULL, NULL, 0, 0 FROM ev WHERE k % 20 = 3""")
+def _(spark, d):
+    """Messages of a topic as JSON lines (key, payload), in several arrivals."""
+    folder = Q.new_folder(spark, "topic")
+    messages = payloads(B.events(spark, d)).select(F.col("event_id").cast("string").alias("key"), "payload", "come")
+    fed(messages, F.col("come"), Q.trace_fanout(f"{folder}/out"), folder, fmt="json", shape=lambda s: s.drop("come"))
+    traces = spark.read.parquet(f"{folder}/out/traces").join(
+        spark.read.parquet(f"{folder}/out/spans").groupBy("trace_id").agg(F.count("*").alias("spans")), "trace_id")
+    rejects = spark.read.parquet(f"{folder}/out/rejects")
+    return traces.select(F.lit("traces").alias("topic"), "trace_id", "project_id", F.lit(1).alias("accepted"), "spans").unionByName(
+        rejects.select(F.lit("rejects").alias("topic"), F.lit(None).cast("string").alias("trace_id"), F.lit(None).cast("string").alias("project_id"),
+                       F.lit(0).alias("accepted"), F.lit(0).cast("long").alias("spans")))
+
+
 def payload_stream(spark, d):
     """Native trace payloads from the event stream (every event one message)."""
-    ev = B.event_stream(spark, d)
+    return payloads(B.event_stream(spark, d)).drop("come")
+
+
+def payloads(ev):
     k, eid = F.col("k"), F.col("event_id")
     span = F.struct(cat("s", eid).alias("span_id"), F.col("event_type").alias("name"), F.lit("llm").alias("span_type"),
                     F.when(k % 2 == 0, "own").alias("service_name"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("started_at"))
     meta = F.struct(cat("p", F.col("user_id") % 5).alias("project_id"), F.when(k % 3 == 0, cat("wf", k)).alias("workflow_id"))
     payload = F.to_json(F.struct(F.when(k % 20 != 3, cat("t", eid)).alias("trace_id"), F.lit("svc").alias("service_name"),
                                  F.col("event_type").alias("status"), meta.alias("metadata"), F.array(span).alias("spans")))
-    return ev.select("event_id", payload.alias("payload"))
+    return ev.select("event_id", payload.alias("payload"), arrival("ts").alias("come"))
 
 
 @reg.add("q1_parse_fanout", with_(EV) + """

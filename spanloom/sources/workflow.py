@@ -22,8 +22,6 @@ NODE_TYPES = {
     "n8n-nodes-langchain.toolCalculator": "tool",
     "n8n-nodes-langchain.toolCode": "tool",
 }
-MAX_ITEMS = 1000
-MAX_BYTES = 5 * 1024 * 1024
 
 
 def node_span_type(node_type: Column) -> Column:
@@ -78,19 +76,22 @@ WEBHOOK = ("struct<workflow:struct<id:string,name:string>,execution:struct<id:st
            "node:struct<name:string,type:string>,data:array<string>>")
 
 
-def parse_webhooks(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Webhook payloads with project and reject reason; query project beats header beats 'default'."""
+def parse_webhooks(payloads: DataFrame, column: str = "payload", max_bytes: int | None = None, max_items: int | None = None) -> DataFrame:
+    """Webhook payloads with project and reject reason; query project beats header beats 'default'.
+
+    A gateway that limits its payloads passes ``max_bytes`` and ``max_items``; no payload is refused for its size otherwise.
+    """
     rows = payloads.withColumn("w", F.from_json(column, WEBHOOK))
     query = F.nullif("query_project", F.lit("default"))
     project = F.coalesce(query, F.nullif("header_project", F.lit("")), F.lit("default"))
     ex, wf = F.col("w.execution.id"), F.col("w.workflow.id")
     rows = rows.withColumn("project_id", project)
     reason = (
-        F.when(F.octet_length(column) > MAX_BYTES, "payload too large")
+        F.when(F.lit(False) if max_bytes is None else F.octet_length(column) > max_bytes, "payload too large")
         .when(~F.col("project_id").rlike(PROJECT_ID), "bad project id")
         .when((F.coalesce(ex, F.lit("")) == "") | (F.coalesce(wf, F.lit("")) == ""), "missing ids")
         .when(~ex.rlike(EXECUTION_ID) | ~wf.rlike(EXECUTION_ID), "bad ids")
-        .when(F.size("w.data") > MAX_ITEMS, "too many items"))
+        .when(F.lit(False) if max_items is None else F.size("w.data") > max_items, "too many items"))
     return rows.withColumn("reject_reason", reason)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attrs import with_attrs
 from ..functions.ordering import latest_per_key
-from ..schema import ROLE_RANK, TIER_RANK, is_error, lookup
+from ..schema import ROLE_RANK, TIER_RANK, TRACE, is_error, lookup
 
 
 def project_stats(projects: DataFrame, traces: DataFrame, as_of: Column, parity: bool = False) -> DataFrame:
@@ -26,15 +26,15 @@ def project_stats(projects: DataFrame, traces: DataFrame, as_of: Column, parity:
 
 
 def with_llm_span_count(traces: DataFrame, spans: DataFrame) -> DataFrame:
-    counts = spans.where("span_type = 'llm'").groupBy("trace_id").agg(F.count("*").alias("_n"))
-    return traces.join(counts, "trace_id", "left").withColumn(
+    counts = spans.where("span_type = 'llm'").groupBy(*TRACE).agg(F.count("*").alias("_n"))
+    return traces.join(counts, TRACE, "left").withColumn(
         "llm_span_count", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
 def traces_with_error_span(traces: DataFrame, spans: DataFrame) -> DataFrame:
-    """Semi-join on the distinct trace ids, so a long trace is one join row."""
-    failed = spans.where(is_error(F.col("status"))).select("trace_id").distinct()
-    return traces.join(failed, "trace_id", "left_semi")
+    """Semi-join on the distinct traces, so a long trace is one join row."""
+    failed = spans.where(is_error(F.col("status"))).select(*TRACE).distinct()
+    return traces.join(failed, TRACE, "left_semi")
 
 
 def missing_projects(facts: DataFrame, projects: DataFrame) -> DataFrame:
@@ -46,9 +46,9 @@ def missing_projects(facts: DataFrame, projects: DataFrame) -> DataFrame:
 def span_totals_by_trace(traces: DataFrame, spans: DataFrame) -> DataFrame:
     """Traces joined to their spans in one shuffle, as counts per span type."""
     types = ["agent", "llm", "tool", "retrieval"]
-    per = spans.groupBy("trace_id").agg(
+    per = spans.groupBy(*TRACE).agg(
         *[F.count_if(F.col("span_type") == t).alias(f"{t}_spans") for t in types])
-    return traces.join(per, "trace_id")
+    return traces.join(per, TRACE)
 
 
 def match_rules(rules: DataFrame, alerts: DataFrame, honour_metric: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.attrs import blank_to, has_key, with_attrs
 from ..functions.ordering import MINUTE_US, position, time_bucket, top_per_key
-from ..schema import is_error, is_success
+from ..schema import TRACE, is_error, is_success
 from .rollup import USAGE, WORKFLOW
 
 RUN = {
@@ -115,7 +115,7 @@ def graph_nodes(spans: DataFrame) -> DataFrame:
     rows = with_attrs(spans, {"_id": ("agent.id", "str"), "_name": ("agent.name", "str")})
     rows = rows.withColumn("agent_id", blank_to(F.col("_id"), F.col("_name"))).where("agent_id <> ''")
     label = F.min_by(blank_to(F.col("_name"), F.col("agent_id")), F.struct("started_at", "span_id"))
-    return rows.groupBy("trace_id", "agent_id").agg(label.alias("label"), F.count("*").alias("invocations"))
+    return rows.groupBy(*TRACE, "agent_id").agg(label.alias("label"), F.count("*").alias("invocations"))
 
 
 def graph_edges(spans: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def graph_edges(spans: DataFrame) -> DataFrame:
         "_s": ("sender.name", "str"), "_s2": ("sender", "str"),
         "_r": ("recipient.name", "str"), "_r2": ("recipient", "str")})
     rows = rows.withColumns({"source": blank_to(F.col("_s"), F.col("_s2")), "target": blank_to(F.col("_r"), F.col("_r2"))})
-    return rows.where("source <> '' AND target <> ''").groupBy("trace_id", "source", "target").agg(
+    return rows.where("source <> '' AND target <> ''").groupBy(*TRACE, "source", "target").agg(
         F.count("*").alias("weight"))
 
 
@@ -139,12 +139,12 @@ def violation_summary(violations: DataFrame) -> DataFrame:
 # ---- replay analysis ------------------------------------------------------------
 def replay_candidates(traces: DataFrame, spans: DataFrame) -> DataFrame:
     """Traces with token and cost totals, model span count and a real snapshot flag."""
-    per_trace = spans.groupBy("trace_id").agg(
+    per_trace = spans.groupBy(*TRACE).agg(
         F.count_if(F.col("span_type") == "llm").alias("llm_span_count"),
         F.bool_or(F.coalesce(F.col("replay_snapshot"), F.lit("")).isin("", "{}") == F.lit(False)).alias("has_snapshot"))
     rows = with_attrs(traces, {"total_tokens": ("total_tokens", "int"), "total_cost_usd": ("total_cost_usd", "float")})
-    return rows.join(per_trace, "trace_id", "left").select(
-        "trace_id", "service_name", "started_at", "duration_ms", "total_tokens", "total_cost_usd",
+    return rows.join(per_trace, TRACE, "left").select(
+        *TRACE, "service_name", "started_at", "duration_ms", "total_tokens", "total_cost_usd",
         F.coalesce("has_snapshot", F.lit(False)).alias("has_replay_snapshot"), "span_count",
         F.coalesce("llm_span_count", F.lit(0)).alias("llm_span_count"))
 
@@ -153,8 +153,8 @@ def snapshot_summary(spans: DataFrame) -> DataFrame:
     """Snapshots and distinct snapshot models per trace."""
     model = F.get_json_object("replay_snapshot", "$.llm_request.model")
     rows = spans.where(~F.coalesce(F.col("replay_snapshot"), F.lit("")).isin("", "{}")).withColumn("_m", model)
-    per_model = rows.groupBy("trace_id", "_m").agg(F.count("*").alias("_n"))
-    return per_model.groupBy("trace_id").agg(
+    per_model = rows.groupBy(*TRACE, "_m").agg(F.count("*").alias("_n"))
+    return per_model.groupBy(*TRACE).agg(
         F.sum("_n").alias("snapshot_count"),
         F.array_sort(F.collect_set("_m")).alias("models"))
 
@@ -226,9 +226,9 @@ def check_batches(batches: DataFrame, traces: DataFrame) -> DataFrame:
 
 def trace_errors(spans: DataFrame, classified: DataFrame) -> DataFrame:
     """Failed spans per trace and whether any is critical; clean traces count 0."""
-    all_traces = spans.select("trace_id").distinct()
-    per = classified.groupBy("trace_id").agg(
+    all_traces = spans.select(*TRACE).distinct()
+    per = classified.groupBy(*TRACE).agg(
         F.count("*").alias("_n"), F.bool_or(F.col("severity") == "critical").alias("_crit"))
-    return all_traces.join(per, "trace_id", "left").select(
-        "trace_id", F.coalesce("_n", F.lit(0)).alias("error_count"),
+    return all_traces.join(per, TRACE, "left").select(
+        *TRACE, F.coalesce("_n", F.lit(0)).alias("error_count"),
         F.coalesce("_crit", F.lit(False)).alias("has_critical"))

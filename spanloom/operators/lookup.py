@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attrs import blank_to, has_key, with_attrs
 from ..functions.ordering import HOUR_US, first_per_key, position, time_bucket, top_per_key
-from ..schema import is_error
+from ..schema import TRACE, is_error
 
 
 def filter_all(df: DataFrame, **equal) -> DataFrame:
@@ -44,14 +44,14 @@ def list_traces(traces: DataFrame, spans: DataFrame | None = None, *, project: s
 def traces_of_agent(traces: DataFrame, spans: DataFrame, agent: str) -> DataFrame:
     """Traces that name the agent themselves or have a span that does."""
     name = {"_agent": ("agent.name", "str")}
-    own = with_attrs(traces, name).where(F.col("_agent") == agent).select("trace_id")
-    by_span = with_attrs(spans, name).where(F.col("_agent") == agent).select("trace_id")
-    return traces.join(own.union(by_span).distinct(), "trace_id", "left_semi")
+    own = with_attrs(traces, name).where(F.col("_agent") == agent).select(*TRACE)
+    by_span = with_attrs(spans, name).where(F.col("_agent") == agent).select(*TRACE)
+    return traces.join(own.union(by_span).distinct(), TRACE, "left_semi")
 
 
 def spans_in_order(spans: DataFrame) -> DataFrame:
     """Spans with their 1-based position inside the trace, for all traces at once."""
-    return position(spans, ["trace_id"], time_bucket(F.col("started_at"), HOUR_US),
+    return position(spans, TRACE, time_bucket(F.col("started_at"), HOUR_US),
                     [F.col("started_at"), F.col("span_id")], "position")
 
 
@@ -63,10 +63,10 @@ def trace_pages(traces: DataFrame, spans: DataFrame, page_size: int = 1000) -> D
     """
     paged = spans_in_order(spans).withColumn(
         "page", F.floor((F.col("position") - 1) / page_size) + 1)
-    nested = paged.groupBy("trace_id", "page").agg(
+    nested = paged.groupBy(*TRACE, "page").agg(
         F.array_sort(F.collect_list(F.struct("position", "span_id", "name", "span_type", "status"))).alias("spans"))
-    head = traces.select("trace_id", "project_id", "service_name", "status", "span_count")
-    return nested.join(head, "trace_id")
+    head = traces.select(*TRACE, "service_name", "status", "span_count")
+    return nested.join(head, TRACE)
 
 
 def search(spans: DataFrame, terms: list[str], limit: int | None = None, wildcards: bool = False) -> DataFrame:

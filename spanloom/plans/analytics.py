@@ -115,14 +115,14 @@ def _(spark, d):
 SELECT trace_id, agent_name AS agent_id, agent_name AS label, count(*) AS invocations
 FROM task_spans WHERE agent_name IS NOT NULL GROUP BY ALL""")
 def _(spark, d):
-    return A.graph_nodes(B.task_spans(spark, d))
+    return A.graph_nodes(B.task_spans(spark, d)).drop("project_id")
 
 
 @reg.add("f8_graph_edges", with_(EV, B.TASK_SPANS) + """
 SELECT trace_id, sender AS source, recipient AS target, count(*) AS weight
 FROM task_spans WHERE sender IS NOT NULL AND recipient IS NOT NULL GROUP BY ALL""")
 def _(spark, d):
-    return A.graph_edges(B.task_spans(spark, d))
+    return A.graph_edges(B.task_spans(spark, d)).drop("project_id")
 
 
 @reg.add("f9_violation_summary", with_(EV, B.VIOLATIONS) + """
@@ -149,14 +149,14 @@ SELECT t.trace_id, t.service_name, {ts_sql('t.started_at')} AS started_at, round
 FROM traces t JOIN spans s USING (trace_id)
 GROUP BY t.trace_id, t.service_name, t.started_at, t.duration_ms, t.total_tokens, t.cost_usd, t.span_count""")
 def _(spark, d):
-    return A.replay_candidates(traces(spark, d), spans(spark, d))
+    return A.replay_candidates(traces(spark, d), spans(spark, d)).drop("project_id")
 
 
 @reg.add("f13_snapshot_summary", with_(SPANS) + """
 SELECT trace_id, count(*) AS snapshot_count, string_agg(DISTINCT snapshot_model, '|' ORDER BY snapshot_model) AS models
 FROM spans WHERE snapshot_model IS NOT NULL GROUP BY trace_id""")
 def _(spark, d):
-    return A.snapshot_summary(spans(spark, d))
+    return A.snapshot_summary(spans(spark, d)).drop("project_id")
 
 
 @reg.add("b11_replay_history", with_(B.REPLAYS) + f"""

@@ -233,6 +233,16 @@ traces AS (
         FROM ev GROUP BY trace_id))"""
 
 
+def shared_ids(df: DataFrame) -> DataFrame:
+    """Trace ids that two users, and so two projects, have in common."""
+    user = F.regexp_extract("trace_id", r"^t(\d+)-", 1).cast("long")
+    return df.withColumn("trace_id", cat("t", F.floor(user / 2), F.regexp_extract("trace_id", r"(-.*)$", 1)))
+
+
+SHARED_SPANS = SPANS.replace("'t' || user_id ||", "'t' || (user_id // 2) ||")
+SHARED_TRACES = TRACES.replace("FROM ev GROUP BY trace_id)", "FROM ev GROUP BY trace_id, user_id)")
+
+
 def ts_sql(expr: str) -> str:
     """Timestamp as the text form ``tidy`` produces."""
     return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f')"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, distance
 from ..operators.similarity import similar
 from ..operators import cost as H, rollup as R
 from ..sources.readers import table
@@ -177,6 +177,25 @@ def _(spark, d):
     return a.join(b, "vec_id").select("vec_id", (F.col("vec_id") + 1).alias("next_id"), cosine(F.col("ea"), F.col("eb")).alias("cosine"))
 
 
+@reg.add("h11_cluster_invariants", """
+SELECT count(*) AS points, greatest(2, CAST(floor(sqrt(count(*) / 2)) AS BIGINT)) AS centres, count(*) AS members, 0 AS misplaced, 0 AS wrong_representatives,
+  sum(vec_id) AS sum_of_ids FROM embeddings""")
+def _(spark, d):
+    """What any k-means result must fulfil, found out apart from it: each point once and at its nearest centre, representatives nearest."""
+    points = table(spark, d, "embeddings")
+    placed = H.semantic_assignments(points, sample_rows=1000).select(
+        "vec_id", "embedding", "cluster", F.round(distance(F.col("embedding"), F.col("centroid")), 9).alias("away"), "centroid").persist()
+    centres = placed.groupBy("cluster").agg(F.first("centroid").alias("c"), F.min(F.struct("away", "vec_id"))["vec_id"].alias("best"))
+    # the centres are few: as an array in every row
+    every = centres.agg(F.collect_list("c").alias("all"), F.count("*").alias("centres"), (F.count("*") > 0).alias("some"))
+    judged = placed.withColumn("some", F.col("cluster") >= 0).join(every, "some")
+    nearest = F.array_min(F.transform("all", lambda c: F.round(distance(F.col("embedding"), c), 9)))
+    chosen = H.semantic_clusters(points, sample_rows=1000, min_size=1).join(centres, "cluster")
+    wrong = chosen.agg((F.count("*") > 0).alias("some"), F.count_if(F.col("representative") != F.col("best")).alias("wrong_representatives"), F.sum("member_count").alias("members"))
+    out = judged.agg((F.count("*") > 0).alias("some"), F.count("*").alias("points"), F.max("centres").alias("centres"), F.count_if(F.col("away") > nearest + 1e-6).alias("misplaced"), F.sum("vec_id").alias("sum_of_ids"))
+    return out.join(wrong, "some").drop("some")
+
+
 SIMILAR = 0.3
 
 

@@ -129,7 +129,7 @@ SELECT trace_id, count(j1.span_id) AS error_count, coalesce(bool_or(j1.severity
 FROM spans LEFT JOIN j1 USING (trace_id, span_id) GROUP BY trace_id""")
 def _(spark, d):
     s = spans(spark, d)
-    return analytics.trace_errors(s, E.classify(s))
+    return analytics.trace_errors(s, E.classify(s)).drop("project_id")
 
 
 def answers(spark, d):
@@ -157,8 +157,8 @@ def _section_sql(name, *ends):
 texts AS (SELECT event_id, coalesce(CASE shape WHEN 0 THEN cause || why || fixes || sure WHEN 1 THEN cause || fixes || 'CONFIDENCE: high' WHEN 2 THEN 'Well. ' || why || cause
   WHEN 3 THEN cause || fixes || why || sure WHEN 4 THEN plain END, '') AS t FROM shapes),
 cut AS (SELECT event_id, t, {_section_sql('ROOT_CAUSE', 'EXPLANATION', 'FIX_SUGGESTIONS', 'CONFIDENCE')} AS cause, {_section_sql('EXPLANATION', 'FIX_SUGGESTIONS', 'CONFIDENCE')} AS why,
-  list_filter(list_transform(list_filter(list_transform(string_split({_section_sql('FIX_SUGGESTIONS', 'CONFIDENCE')}, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^\d.*\.')),
-    lambda x: trim(regexp_replace(x, '^[^.]*\.', ''))), lambda x: x <> '') AS fixes,
+  list_filter(list_transform(list_filter(list_transform(string_split({_section_sql('FIX_SUGGESTIONS', 'CONFIDENCE')}, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^\\d.*\\.')),
+    lambda x: trim(regexp_replace(x, '^[^.]*\\.', ''))), lambda x: x <> '') AS fixes,
   CASE WHEN contains(t, 'CONFIDENCE:') THEN TRY_CAST(trim(split_part(trim(substr(t, strpos(t, 'CONFIDENCE:') + 11)), chr(10), 1)) AS DOUBLE) END AS sure FROM texts)
 SELECT event_id, CASE WHEN coalesce(cause, '') = '' THEN 'The answer names no root cause.' ELSE cause END AS root_cause,
   CASE WHEN coalesce(why, '') = '' THEN 'The answer explains nothing.' ELSE why END AS explanation,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.ordering import latest_per_key
-from ..operators import access as J, lookup as L, versions as V
+from ..operators import access as J, analytics, errors, lookup as L, versions as V
 from ..sources.readers import table
 from . import bind as B
 from .bind import AS_OF_SQL, EV, SPANS, TRACES, as_of, spans, traces, ts_sql, with_
@@ -266,7 +266,7 @@ SELECT t.trace_id, t.status, count(*) FILTER (span_type = 'agent') AS agent_span
   count(*) FILTER (span_type = 'tool') AS tool_spans, count(*) FILTER (span_type = 'retrieval') AS retrieval_spans
 FROM traces t JOIN spans s USING (trace_id) GROUP BY ALL""")
 def _(spark, d):
-    return J.span_totals_by_trace(traces(spark, d).select("trace_id", "status"), spans(spark, d))
+    return J.span_totals_by_trace(traces(spark, d).select("project_id", "trace_id", "status"), spans(spark, d)).drop("project_id")
 
 
 # The rule set of the binding.
@@ -427,3 +427,50 @@ def _(spark, d):
     teams = u.where("user_id % 3 <> 0").select(F.col("user_id").alias("owner_id"),
                                              B.cat("personal-", F.col("user_id")).alias("slug"))
     return J.missing_personal_teams(u, teams)
+
+
+# ---- projects that share trace ids ---------------------------------------------------------
+def _tenants(spark, d):
+    return B.shared_ids(traces(spark, d)), B.shared_ids(spans(spark, d))
+
+
+def _tenant_query(name, sql, of, *ctes):
+    @reg.add(f"{name}_two_tenants", with_(B.SHARED_SPANS, B.SHARED_TRACES, *ctes) + sql)
+    def _(spark, d):
+        return of(*_tenants(spark, d))
+
+
+_tenant_query("b2_traces_of_agent", """
+SELECT project_id, trace_id, span_count FROM traces WHERE agent_name = 'agent3'
+  OR (project_id, trace_id) IN (SELECT (project_id, trace_id) FROM spans WHERE agent_name = 'agent3')""",
+              lambda t, s: L.traces_of_agent(t, s, "agent3").select("project_id", "trace_id", "span_count"))
+_tenant_query("b3_spans_in_order", """
+SELECT project_id, trace_id, span_id, row_number() OVER (PARTITION BY project_id, trace_id ORDER BY started_at, span_id) AS position FROM spans""",
+              lambda t, s: L.spans_in_order(s).select("project_id", "trace_id", "span_id", "position"))
+_tenant_query("b4_trace_pages", """
+SELECT project_id, trace_id, page, string_agg(span_id, '|' ORDER BY position) AS spans, any_value(t.span_count) AS span_count
+FROM (SELECT *, (position - 1) // 5 + 1 AS page FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id, trace_id ORDER BY started_at, span_id) AS position FROM spans)) s
+JOIN traces t USING (project_id, trace_id) GROUP BY project_id, trace_id, page""",
+              lambda t, s: L.trace_pages(t, s, page_size=5).select("project_id", "trace_id", "page", "span_count", F.transform("spans", lambda x: x["span_id"]).alias("spans")))
+_tenant_query("c2_llm_span_counts", """
+SELECT project_id, trace_id, coalesce(n, 0) AS llm_span_count FROM traces LEFT JOIN (
+  SELECT project_id, trace_id, count(*) AS n FROM spans WHERE span_type = 'llm' GROUP BY ALL) USING (project_id, trace_id)""",
+              lambda t, s: J.with_llm_span_count(t, s).select("project_id", "trace_id", "llm_span_count"))
+_tenant_query("c4_traces_with_errors", """
+SELECT project_id, trace_id, span_count FROM traces WHERE (project_id, trace_id) IN (SELECT (project_id, trace_id) FROM spans WHERE status = 'error')""",
+              lambda t, s: J.traces_with_error_span(t, s).select("project_id", "trace_id", "span_count"))
+_tenant_query("c7_spans_under_traces", """
+SELECT project_id, trace_id, count(*) FILTER (span_type = 'agent') AS agent_spans, count(*) FILTER (span_type = 'llm') AS llm_spans
+FROM traces JOIN spans USING (project_id, trace_id) GROUP BY ALL""",
+              lambda t, s: J.span_totals_by_trace(t.select("project_id", "trace_id"), s).select("project_id", "trace_id", "agent_spans", "llm_spans"))
+_tenant_query("f11_trace_errors", """
+SELECT project_id, trace_id, count(*) FILTER (status = 'error') AS error_count FROM spans GROUP BY ALL""",
+              lambda t, s: analytics.trace_errors(s, errors.classify(s)).select("project_id", "trace_id", "error_count"))
+_tenant_query("f12_replay_candidates", """
+SELECT t.project_id, t.trace_id, bool_or(s.snapshot_model IS NOT NULL) AS has_replay_snapshot, t.span_count, count(*) FILTER (s.span_type = 'llm') AS llm_span_count
+FROM traces t JOIN spans s USING (project_id, trace_id) GROUP BY t.project_id, t.trace_id, t.span_count""",
+              lambda t, s: analytics.replay_candidates(t, s).select("project_id", "trace_id", "has_replay_snapshot", "span_count", "llm_span_count"))
+_tenant_query("f13_snapshot_summary", """
+SELECT project_id, trace_id, count(*) AS snapshot_count, string_agg(DISTINCT snapshot_model, '|' ORDER BY snapshot_model) AS models
+FROM spans WHERE snapshot_model IS NOT NULL GROUP BY ALL""", lambda t, s: analytics.snapshot_summary(s))

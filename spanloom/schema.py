@@ -22,6 +22,9 @@ SPANS = struct(
     replay_snapshot=S, source=S, created_at=TS,
 )
 
+#: key of a trace; ids are only unique inside a project
+TRACE = ["project_id", "trace_id"]
+
 # ---- fixed values: ordered enumerations ------------------------------------
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 SCAN_SEVERITY_RANK = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.jsontext import iso_timestamp, json_object, json_value, micros_between, truthy
-from ..schema import IMPORT_LEVEL_STATUS, OBSERVATION_TYPE, is_error, lookup
+from ..schema import IMPORT_LEVEL_STATUS, OBSERVATION_TYPE, TRACE as TRACE_KEY, is_error, lookup
 
 TRACE = ("struct<id:string,name:string,timestamp:string,userId:string,sessionId:string,tags:variant,release:string,"
          "version:string,metadata:variant>")
@@ -69,10 +69,10 @@ def imported_traces(payloads: DataFrame, spans: DataFrame, as_of: Column, column
         t("id").alias("trace_id"), "project_id", F.coalesce(t("name"), F.lit(SERVICE)).alias("service_name"),
         iso_timestamp(t("timestamp")).alias("_stamp"), attributes.alias("attributes"))
     has_parent = F.col("parent_span_id") != ""
-    per = spans.groupBy("trace_id").agg(
+    per = spans.groupBy(*TRACE_KEY).agg(
         F.min("started_at").alias("_first"), F.max("ended_at").alias("_last"), F.bool_or(is_error(F.col("status"))).alias("_failed"),
         F.min_by("span_id", F.struct(has_parent, F.col("started_at"), F.col("span_id"))).alias("_root"), F.count("*").alias("_n"))
-    joined = head.join(per, "trace_id", "left").withColumn("started_at", F.coalesce("_stamp", "_first", as_of))
+    joined = head.join(per, TRACE_KEY, "left").withColumn("started_at", F.coalesce("_stamp", "_first", as_of))
     joined = joined.withColumn("completed_at", F.coalesce("_last", "started_at"))
     return joined.select(
         "trace_id", "project_id", "service_name", "started_at", "completed_at",

@@ -83,6 +83,8 @@ REMEDIATION = {
     "pii_phone": "Redact phone numbers from LLM outputs. Consider PII masking in your pipeline.",
     "api_key_leak": "API key (%s) detected. Rotate immediately and add secret scanning to your pipeline.",
 }
+#: what SSNs, cards and phone numbers all hold
+DIGITS = r"\d{3}"
 EXCERPT: int | None = None  # characters of a finding to show; all by default
 
 FINDING_TYPE = ("array<struct<finding_type:string,severity:string,confidence:double,matched_text:string,"
@@ -169,7 +171,10 @@ def _keys(text: str, location: str) -> str:
 
 
 def _leaks(text: str, location: str) -> str:
-    return f"concat({', '.join(part(text, location) for part in (_ssn, _card, _email, _phone, _keys))})"
+    """SSNs, cards and phone numbers are looked for only where a text has three digits in a row, which each of them has."""
+    every, few = ((_ssn, _card, _email, _phone, _keys), (_email, _keys))
+    joined = lambda kinds: f"concat({', '.join(part(text, location) for part in kinds)})"
+    return f"if({text} rlike {_text(UNICODE + DIGITS)}, {joined(every)}, {joined(few)})"
 
 
 def injection_findings(text: str, location: str) -> Column:

@@ -1,9 +1,8 @@
-"""Vector arithmetic on array columns, and text similarity."""
+"""Vector arithmetic on array columns, and word sets."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 
 def _fold(values: Column) -> Column:
@@ -34,30 +33,3 @@ def words(text: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common words of two word sets."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two texts, batch-wise through Arrow."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("chunk", T.IntegerType())])))
-def best_ratios(claims: pd.Series, chunks: pd.Series) -> pd.Series:
-    """For each claim of a row the best ratio over the row's chunks; the first chunk wins ties."""
-    from difflib import SequenceMatcher
-
-    def row(cs, ks):
-        out = []
-        for c in cs:
-            best, at = 0.0, -1
-            for i, k in enumerate(ks):
-                r = SequenceMatcher(None, c.lower(), k.lower()).ratio()
-                if r > best:
-                    best, at = r, i
-            out.append({"score": best, "chunk": at})
-        return out
-
-    return pd.Series([row(c, k) for c, k in zip(claims, chunks)])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.attrs import with_attrs
-from ..functions.vectors import best_ratios, jaccard, words
+from ..functions.vectors import jaccard, words
 
 # ---- fixed values ----
 SENTENCE_GAP = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
@@ -90,22 +90,11 @@ def assess(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.try_element_at("chunks", (index + 1).cast("int")).alias("supporting_context"))
 
 
-def assess_by_ratio(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Like ``assess`` with the matching-block ratio as score, computed per span in Arrow batches."""
-    best = best_ratios(F.transform("claims", lambda c: c["text"]), F.col("chunks"))
-    out = rows.withColumn("_b", best).select(
-        "span_id", "chunks", F.explode(F.arrays_zip("claims", "_b")).alias("z")).select("span_id", "chunks", "z.*")
-    grounded = F.col("_b.score") >= threshold
-    index = F.when(grounded & (F.col("_b.chunk") >= 0), F.col("_b.chunk"))
-    return out.select(
-        "span_id", F.col("claims.index").alias("sentence_index"), F.col("claims.text").alias("claim"), grounded.alias("is_grounded"),
-        F.col("_b.score").alias("similarity"), index.alias("context_index"), F.try_element_at("chunks", index + 1).alias("supporting_context"))
-
-
 def verdicts(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per span: whether any claim is ungrounded, mean confidence and counts, within the row."""
-    best = F.transform("claims", lambda c: F.coalesce(F.array_max(F.transform(
-        "_words", lambda w: jaccard(words(c["text"]), w))), F.lit(0.0)))
+    # a claim is cut into words once, not once per chunk
+    best = F.transform(F.transform("claims", lambda c: words(c["text"])), lambda said: F.coalesce(F.array_max(F.transform(
+        "_words", lambda w: jaccard(said, w))), F.lit(0.0)))
     scored = rows.withColumn("_words", F.transform("chunks", words)).withColumn("_scores", best)
     n, total = F.size("_scores"), F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x)
     ungrounded = F.size(F.filter("_scores", lambda s: s < threshold))

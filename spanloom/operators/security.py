@@ -98,15 +98,20 @@ def evaluate_guardrails(spans: DataFrame, configs: DataFrame) -> DataFrame:
     ``configs``: project_id, guard_name, guard_type (pii, injection, max_tokens,
     content_filter), phase (input, output), action, limit (tokens or NULL), words.
     """
-    rows = with_attrs(with_texts(spans), {"_tokens": ("llm.total_tokens", "int")})
-    checks = F.struct(
-        (F.size(leak_findings("prompt", "prompt")) > 0).alias("pii_in"),
-        (F.size(leak_findings("response", "response")) > 0).alias("pii_out"),
-        (F.size(injection_findings("prompt", "prompt")) > 0).alias("inj_in"),
-        (F.size(injection_findings("response", "response")) > 0).alias("inj_out"))
+    enabled = configs.where("enabled")
+
+    def asked(kind: str, phase: str) -> Column:
+        return F.bool_or((F.col("guard_type") == kind) & (F.col("phase") == phase))
+
+    # what a project asks for comes first: other scans don't run on its texts, and spans of projects without guards are dropped unread
+    wanted = enabled.groupBy("project_id").agg(*[asked(k, p).alias(f"_{k}_{p}") for k in ("pii", "injection") for p in ("input", "output")])
+    rows = with_attrs(with_texts(spans.join(wanted, "project_id")), {"_tokens": ("llm.total_tokens", "int")})
+    scans = {"pii_in": ("_pii_input", leak_findings("prompt", "prompt")), "pii_out": ("_pii_output", leak_findings("response", "response")),
+             "inj_in": ("_injection_input", injection_findings("prompt", "prompt")), "inj_out": ("_injection_output", injection_findings("response", "response"))}
+    checks = F.struct(*[F.when(F.col(need), F.size(found) > 0).otherwise(False).alias(name) for name, (need, found) in scans.items()])
     flags = rows.select("span_id", "trace_id", "project_id", "started_at", "_tokens", "prompt", "response",
                         F.inline(F.array(checks)))
-    joined = flags.join(configs.where("enabled"), "project_id")
+    joined = flags.join(enabled, "project_id")
     into = F.col("phase") == "input"
     text = F.when(into, F.col("prompt")).otherwise(F.col("response"))
     kind = F.col("guard_type")

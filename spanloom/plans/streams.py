@@ -210,10 +210,11 @@ def _(spark, d):
 
 @reg.add("e13_span_daily_stream", with_(SPANS) + """
 SELECT project_id, service_name, span_type, CAST(started_at AS DATE) AS date, count(*) AS span_count,
-  count(*) FILTER (status = 'error') AS error_count, round(avg(duration_ms), 6) AS avg_duration_ms FROM spans GROUP BY ALL""")
+  count(*) FILTER (status = 'error') AS error_count, round(avg(duration_ms), 6) AS avg_duration_ms,
+  list_sort(list(duration_ms))[greatest(1, CAST(ceil(0.95 * count(duration_ms)) AS BIGINT))] AS p95_duration_ms FROM spans GROUP BY ALL""")
 def _(spark, d):
     out = updated(spark, Q.span_daily(B.span_stream(spark, d)), "spandaily", ["project_id", "service_name", "span_type", "date"])
-    return out.drop("p95_duration_ms")
+    return out
 
 
 @reg.add("q4_live_traces", with_(SPANS) + f"""
@@ -280,14 +281,19 @@ def _(spark, d):
 
 
 @reg.add("q7_paired_runs", with_(EV) + f"""
-SELECT 'x' || event_id AS execution_id, {ts_sql('ts')} AS started_at, {ts_sql('ts + to_minutes(k)')} AS ended_at, event_type AS outcome FROM ev WHERE k % 4 <> 0""")
+, ends AS (SELECT event_id, ts + to_minutes(k) AS ended_at FROM ev WHERE k % 4 <> 0),
+mark AS (SELECT least((SELECT max(ts) FROM ev), (SELECT max(ended_at) FROM ends)) - INTERVAL 1 HOUR AS mark)
+SELECT 'x' || event_id AS execution_id, {ts_sql('ts')} AS started_at, {ts_sql('ended_at')} AS ended_at,
+  CASE WHEN ended_at IS NULL THEN 'running' ELSE event_type END AS outcome
+FROM ev LEFT JOIN ends USING (event_id) WHERE ended_at IS NOT NULL OR ts + INTERVAL 24 HOUR < (SELECT mark FROM mark)""")
 def _(spark, d):
+    """Starts without an end are told once a day has passed them."""
     ev = B.event_stream(spark, d)
     starts = ev.select(cat("x", F.col("event_id")).alias("execution_id"), F.col("ts").alias("started_at"))
     ends = B.event_stream(spark, d).where("k % 4 <> 0").select(
         cat("x", F.col("event_id")).alias("execution_id"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("k"))).alias("ended_at"),
         F.col("event_type").alias("outcome"))
-    return appended(spark, Q.pair_runs(starts, ends), "pairs").where("outcome <> 'running'")
+    return appended(spark, Q.pair_runs(starts, ends), "pairs")
 
 
 def window_rules(spark):
@@ -301,10 +307,11 @@ def window_rules(spark):
 hit AS (SELECT rule_id, status, unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, started_at) + INTERVAL 5 MINUTE,
     time_bucket(INTERVAL 5 MINUTE, started_at) + INTERVAL 60 MINUTE, INTERVAL 5 MINUTE)) AS e
   FROM spans s JOIN rules r ON r.project_id = s.project_id AND (r.agent_name IS NULL OR r.agent_name = s.agent_name))
-SELECT rule_id, {ts_sql('e')} AS evaluated_at, count(*) AS n, count(*) FILTER (status = 'error') AS errors FROM hit GROUP BY rule_id, e""")
+SELECT rule_id, {ts_sql('e')} AS evaluated_at, count(*) AS n, count(*) FILTER (status = 'error') AS errors,
+  round(count(*) FILTER (status = 'error') / count(*), 6) AS value FROM hit GROUP BY rule_id, e""")
 def _(spark, d):
     windows = Q.rule_windows(window_rules(spark), B.span_stream(spark, d))
-    return updated(spark, windows, "windows", ["rule_id", "evaluated_at"]).select("rule_id", "evaluated_at", "n", "errors")
+    return updated(spark, windows, "windows", ["rule_id", "evaluated_at"]).select("rule_id", "evaluated_at", "n", "errors", "value")
 
 
 # The metric rules of the binding.

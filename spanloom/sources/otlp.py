@@ -42,18 +42,10 @@ def value_literal(v: Column) -> Column:
 
 
 def attribute_entries(attrs: Column) -> Column:
-    """Map key -> literal without empty keys or NULL values; of a repeated key the last counts."""
-    entries = F.filter(
+    """Map key -> literal without empty keys or NULL values; of a repeated key the last counts (``session.configure`` says so to Spark)."""
+    return F.map_from_entries(F.filter(
         F.transform(attrs, lambda a: F.named_struct(F.lit("key"), a["key"], F.lit("literal"), value_literal(a["value"]))),
-        lambda e: (F.coalesce(e["key"], F.lit("")) != "") & e["literal"].isNotNull())
-
-    def as_map(found: Column) -> Column:
-        keys = F.array_distinct(F.transform(found, lambda e: e["key"]))
-        return F.map_from_arrays(keys, F.transform(
-            keys, lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1)["literal"]))
-
-    # one-element array: the decoded entries are computed once per row
-    return F.transform(F.array(entries), as_map)[0]
+        lambda e: (F.coalesce(e["key"], F.lit("")) != "") & e["literal"].isNotNull()))
 
 
 def entries_json(entries: Column) -> Column:

@@ -54,6 +54,8 @@ SLOTS = 1 << 16
 FEW = 8
 NEIGHBOURS = 2
 CHUNK = 1024
+#: text bytes hashed at once; the arrays for it are some forty times as large
+SLICE = 1 << 20
 COUNTS, RARITIES = 32, 4
 LEVELS = COUNTS * RARITIES
 #: Weight of each level: e**(c/4) for a count, times 1 to 1 + 1/8 for rarity.
@@ -355,9 +357,8 @@ def verified(pairs: DataFrame, narrow: DataFrame, frequencies: Shared, threshold
               .join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv"))
 
     def run(batches):
-        for big in batches:
-            for k in range(0, big.num_rows, 64):
-                batch = big.slice(k, 64)
+        for part in slices(batches, 2, SLICE):
+            for batch in slices([part], 3, SLICE):
                 sides = []
                 for c in (2, 3):
                     s, level, begin, _ = weighted(batch.column(c), frequencies.value)

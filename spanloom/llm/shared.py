@@ -28,7 +28,7 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # writers hold one block each
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     return out

@@ -29,7 +29,10 @@ LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){2,8}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+IBAN_RUN = re.compile(r"[A-Z0-9]++")
+#: What a character counts in the check of an IBAN.
+VALUE = {c: int(c, 36) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 #: Characters of an IBAN in countries that have it most.
 IBAN_LENGTH = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
                "IT": 27, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26}
@@ -62,25 +65,37 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mod97(iban: str) -> bool:
-    text = iban.replace(" ", "")
-    if not 15 <= len(text) <= 34:
-        return False
-    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+def iban_ends(text: str, start: int) -> list[tuple[int, int]]:
+    """(length, end) of the numbers from ``start`` that fulfil mod 97: they end after a run of capitals and digits; runs are
+    parted by single spaces, and have 15 to 34 characters in all. The remainder is carried along, so an end costs nothing more."""
+    ends, held, at, rest = [], 0, start, 0
+    head = int("".join(str(VALUE[c]) for c in text[start:start + 4]))
+    while m := IBAN_RUN.match(text, at):
+        if held + m.end() - at > 34:
+            break
+        for c in text[max(at, start + 4):m.end()]:
+            v = VALUE[c]
+            rest = (rest * (10 if v < 10 else 100) + v) % 97
+        held += m.end() - at
+        after = text[m.end():m.end() + 1]
+        if held >= 15 and not (after.isascii() and after.isalnum()) and (rest * 1_000_000 + head) % 97 == 1:
+            ends.append((held, m.end()))
+        if after != " ":
+            break
+        at = m.end() + 1
+    return ends
 
 
 def ibans(text: str):
-    """Spans from each possible start: to the end that the country's length gives, else to the last end that holds."""
+    """Spans from each possible start: to the end that the country's length gives, else (and for other countries) to the last end that holds."""
     m = IBAN.search(text)
     while m:
-        start, at = m.start(), m.start() + 1
-        ends = [m.end(), *[i for i in range(m.end() - 1, start, -1) if text[i] == " "]]
-        ends.sort(key=lambda e: len(text[start:e].replace(" ", "")) != IBAN_LENGTH.get(text[start:start + 2]))
-        for end in ends:
-            if mod97(text[start:end]):
-                yield start, end
-                at = end
-                break
+        at = m.start() + 1
+        ends = iban_ends(text, m.start())
+        if ends:
+            size = IBAN_LENGTH.get(text[m.start():m.start() + 2])
+            at = next((end for held, end in ends if held == size), ends[-1][1])
+            yield m.start(), at
         m = IBAN.search(text, at)
 
 
@@ -196,4 +211,5 @@ def report(found: DataFrame) -> DataFrame:
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+                        F.size("spans").cast("long").alias("n_spans"))

@@ -2,16 +2,19 @@
 
 Every page is read into elements. Subtrees that may be template (any element that neither is
 nor holds the article, and inside the article only containers, not its paragraphs) are hashed;
-the hashes are counted per host, once a page; those on at least ``min_pages`` pages and ``min_share``
-of the host's pages are template, and are deleted with all they hold. Elements whose tag or class
-says that they are menus, headers, footers, side bars, notices, adverts, forms or comments
-go on any host, also one with a single page. If a page has an article (or main) element, only
-text inside it is kept.
+the hashes are counted per host over pages of different content, so copies of a page count once. Those
+on at least ``min_pages`` and ``min_share`` of such pages, or on ``enough`` of them however large the host, are
+template, and are deleted with all they hold. Pages without url belong to no host; nothing is counted over them.
+
+Tags of menus, footers, side bars, forms and scripts go on any host. So do elements whose class, id or role says
+that they are such, adverts, notices or comments, as far as that can be: where a page has an article (or main) element outside all
+of these, they go; else those that are or hold one stay, and on a page without any those that hold
+more than half of its text. If a page has an article or main element, only text inside it is kept.
 
 Blocks are joined by two line feeds; white space inside a block becomes one space; character references
-are decoded. Null and empty pages have the empty text. A page without url has the host ''. Unclosed
+are decoded. Null and empty pages have the empty text. Unclosed
 tags are closed where their parent ends; a tag that never ends is text. Repeated rows give
-repeated results, and count as pages of their host each.
+repeated results.
 """
 
 from __future__ import annotations
@@ -48,9 +51,10 @@ class Page:
     """Blocks of one page, each with the template candidates it stands in."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []
+        self.blocks: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = []  # text, candidates and article elements it stands in
         self.hashes: dict[int, int] = {}
-        self.has_main = False
+        self.marked: dict[int, bool] = {}  # marked elements, and whether they are or hold an article
+        self.mains: dict[int, bool] = {}  # article elements, and whether they stand outside all marked ones
         self._text: list[str] = []
         self._ids = 0
         self._read(source)
@@ -60,20 +64,26 @@ class Page:
             text = " ".join(entities.unescape("".join(self._text)).split())
             self._text = []
             if text:
-                self.blocks.append((text, tuple(n[4] for n in stack if n[4]), any(n[0] in MAIN for n in stack)))
+                self.blocks.append((text, tuple(n[4] for n in stack if n[4]), tuple(n[5] for n in stack if n[5])))
 
     def _close(self, stack, source: str, end: int) -> None:
-        tag, start, gone, holds, key = stack.pop()
+        node = stack.pop()
+        tag, start, _, holds, key, main, has_main = node
         if tag in BLOCK:
             # the text belongs to the element, which is off the stack now
-            self._flush([*stack, (tag, start, gone, holds, key)])
+            self._flush([*stack, node])
         if holds and stack:
             stack[-1][3] = True
+        if has_main and stack:
+            stack[-1][6] = True
+        if key in self.marked:
+            self.marked[key] = bool(has_main)
         if key and not holds:
             self.hashes[key] = xxhash.xxh64_intdigest(" ".join(source[start:end].split())) - (1 << 63)
 
     def _read(self, source: str) -> None:
-        stack: list[list] = []  # tag, start, dropped, holds the article, candidate number
+        # tag, start, dropped, holds the article or its heading, candidate number, article number, is or holds an article
+        stack: list[list] = []
         at, end = 0, len(source)
         while at < end:
             m = TOKEN.match(source, at)
@@ -104,20 +114,25 @@ class Page:
                 continue
             inside = any(n[0] in MAIN for n in stack)
             gone = bool(stack and stack[-1][2]) or tag in GONE or tag == "header" and not inside
+            marked = False
             if not gone and m[3] and tag not in ("html", "body"):
                 words = {w for a in ATTRIBUTE.finditer(m[3]) for w in SPLIT.split((a[2] or a[3] or a[4] or "").lower())}
-                gone = bool(words & MARKS)
+                marked = bool(words & MARKS)
             if tag in RAW:
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 at = stop.end() if stop else end
                 continue
-            key = 0
-            if not gone and tag not in ("html", "body") and (tag in CONTAINER or not inside and tag in BLOCK - MAIN):
+            key = article = 0
+            if marked or not gone and tag not in ("html", "body") and (tag in CONTAINER or not inside and tag in BLOCK - MAIN):
                 self._ids += 1
                 key = self._ids
-            main = tag in MAIN and not gone
-            self.has_main |= main
-            stack.append([tag, start, gone, main or tag == "h1" and not gone, key])
+            if marked:
+                self.marked[key] = False
+            if tag in MAIN and not gone:
+                self._ids += 1
+                article = self._ids
+                self.mains[article] = not marked and not any(n[4] in self.marked for n in stack)
+            stack.append([tag, start, gone, bool(article) or tag == "h1" and not gone, key, article, bool(article)])
         while stack:
             self._close(stack, source, end)
         self._flush(stack)
@@ -132,16 +147,38 @@ class Page:
             if stack[i][0] in bounds or tag == "p" and stack[i][0] in BLOCK:
                 return
 
+    def _off(self) -> set[int]:
+        """Marked elements that go."""
+        if any(self.mains.values()):
+            return set(self.marked)
+        if self.mains:
+            return {k for k, holds in self.marked.items() if not holds}
+        size: dict[int, int] = {}
+        for text, keys, _ in self.blocks:
+            for k in keys:
+                size[k] = size.get(k, 0) + len(text)
+        half = sum(len(t) for t, _, _ in self.blocks) / 2
+        return {k for k in self.marked if size.get(k, 0) <= half}
+
     def text(self, template: set[int]) -> str:
-        dead = {k for k, h in self.hashes.items() if h in template}
-        return "\n\n".join(t for t, keys, inside in self.blocks if (inside or not self.has_main) and dead.isdisjoint(keys))
+        off = self._off()
+        dead = off | {k for k, h in self.hashes.items() if h in template}
+        return "\n\n".join(t for t, keys, mains in self.blocks if (mains or not self.mains) and dead.isdisjoint(keys))
+
+    def candidates(self) -> list[int]:
+        """Hashes of the subtrees that may be template."""
+        return sorted({h for k, h in self.hashes.items()})
+
+    def content(self) -> int:
+        """Hash of all text, the same for copies of a page."""
+        return xxhash.xxh64_intdigest("\n".join(t for t, _, _ in self.blocks)) - (1 << 63)
 
 
 def host(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def extracted(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 3, min_share: float = 0.3) -> DataFrame:
+def extracted(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", source: str = "html", min_pages: int = 3, min_share: float = 0.3, enough: int = 50) -> DataFrame:
     """page_id, url and text of every page."""
     prepare(pages.sparkSession)
     narrow = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("html"))
@@ -149,14 +186,17 @@ def extracted(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", s
 
     def hashed(batches):
         for batch in slices(batches, 2):
-            found = [sorted(set(Page(t).hashes.values())) for t in strings(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["host", "key", "hashes"])
+            pages_ = [Page(t) for t in strings(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.content() for p in pages_], pa.int64()),
+                                              pa.array([p.candidates() for p in pages_], pa.list_(pa.int64()))], ["host", "key", "content", "hashes"])
 
-    subtrees = keyed.select("host", "key", "html").mapInArrow(hashed, "host string, key long, hashes array<long>")
+    subtrees = keyed.where("host <> ''").select("host", "key", "html").mapInArrow(hashed, "host string, key long, content long, hashes array<long>")
     each = subtrees.select("host", "key", F.explode("hashes").alias("hash"))
-    sizes = keyed.groupBy("host").agg(F.count("*").alias("pages"))
-    template = (each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-                .join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash"))
+    # copies of a page are one
+    different = subtrees.groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
+    sizes = different.groupBy("host").agg(F.least(F.greatest(F.lit(min_pages), F.ceil(F.count("*") * min_share)), F.lit(max(enough, min_pages))).alias("needed"))
+    template = (different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+                .join(sizes, "host").where(F.col("n") >= F.col("needed")).select("host", "hash"))
     # a page has few subtrees that recur, so the set of a page is small
     drops = each.join(template, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("template"))
     joined = keyed.join(drops, "key", "left").select("page_id", "url", "html", F.coalesce("template", F.array().cast("array<long>")).alias("template"))

@@ -54,8 +54,6 @@ SLOTS = 1 << 16
 FEW = 8
 NEIGHBOURS = 2
 CHUNK = 1024
-#: text bytes hashed at once; the arrays for it are some forty times as large
-SLICE = 1 << 20
 COUNTS, RARITIES = 32, 4
 LEVELS = COUNTS * RARITIES
 #: Weight of each level: e**(c/4) for a count, times 1 to 1 + 1/8 for rarity.

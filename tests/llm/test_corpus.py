@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from spanloom.llm import neardup, pagetext, search
 from spanloom.llm.components import components
@@ -210,3 +213,39 @@ def test_stages_take_any_extra_columns(spark, docs, small):
         out = corpus_pipeline.STAGES[-1][1](spark, now, small)
         assert out.count() == now.count()
     assert now.count() == 0
+
+
+# ---- page text: marks and counting ------------------------------------------------------------
+ARTICLE = "<article><h1>T</h1><p>body text one.</p><p>body two &amp; three.</p></article>"
+BODY = "T\n\nbody text one.\n\nbody two & three."
+
+
+@pytest.mark.parametrize("source, want", [
+    ('<div class="content with-sidebar">' + ARTICLE + '<div class="sidebar">x</div></div>', BODY),
+    (ARTICLE.replace("<article>", '<article class="post ad-free">'), BODY),
+    (ARTICLE.replace("article", "main").replace("<main>", '<main class="search-results">'), BODY),
+    ('<div id="main-menu-page"><nav>n</nav><p>body text one.</p><p>more text here</p></div><div class="footer">f</div>', "body text one.\n\nmore text here"),
+    ('<section class="social-history"><h1>T</h1><p>long body text one.</p></section><div class="ad">buy</div>', "T\n\nlong body text one."),
+    (ARTICLE + '<section class="comments"><article class="comment"><p>nice post</p></article></section>', BODY),
+    ('<div class="page">' + ARTICLE + '</div><div class="ads">zz</div>', BODY),
+    ('<header>H</header><div class="menu">a</div><p>one two three</p><div class="share">s</div>', "one two three"),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+])
+def test_marks_never_take_the_article(source, want):
+    assert pagetext.Page(source).text(set()) == want
+
+
+def test_recurring_blocks_are_counted_over_different_pages(spark):
+    """Without any telling tag or class: copies of a page keep their text, templates go, also rotating ones of a large host."""
+    bare = lambda i, more="": f"<div>menu of the site</div><p>text of page {i}, all its own.</p>{more}"
+    rows = [(i, "http://copies.example/x", bare(7)) for i in range(4)] + [(10 + i, "http://copies.example/y", bare(100 + i)) for i in range(2)]
+    rows += [(100 + i, f"http://site.example/{i}", bare(i)) for i in range(6)]
+    rows += [(1000 + i, f"http://big.example/{i}", bare(i, f"<div>teaser {i % 20}</div>")) for i in range(2000)]
+    rows += [(9000 + i, None, bare(i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit(1), "key": F.lit(2), "host": F.lit(3), "template": F.lit(None), "hashes": F.lit(0)})
+    got = {r.page_id: r.text for r in pagetext.extracted(df.repartition(5)).collect()}
+    assert len(got) == len(rows)
+    assert all(f"text of page {7}, all its own." in got[i] for i in range(4))  # three contents are not yet counted against one that stands four times
+    assert all(got[100 + i] == f"text of page {i}, all its own." for i in range(6))
+    assert all(got[1000 + i] == f"text of page {i}, all its own." for i in range(2000))
+    assert all(got[9000 + i] == f"menu of the site\n\ntext of page {i}, all its own." for i in range(9))  # no url, no host

@@ -128,3 +128,23 @@ def duck_of(documents, benchmark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", documents)
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", benchmark)
     return con
+
+
+def test_ibans_end_where_they_hold():
+    from spanloom.llm import pii
+
+    found = lambda t: [t[a:b] for a, b in pii.ibans(t)]
+    assert found("DE89 3704 0044 0532 0130 00 BIC COBADEFF") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("to GB29NWBK60161331926819, FR1420041010050500013M02606.") == ["GB29NWBK60161331926819", "FR1420041010050500013M02606"]
+    assert found("xDE89370400440532013000 DE89370400440532013000x DE88370400440532013000 DE8937") == []
+
+
+def test_ibans_take_time_in_proportion():
+    import time
+
+    from spanloom.llm import pii
+
+    for text in (("AB12" + "A" * 40 + " ") * 22_000, "AB12 " * 100_000, "A1" * 500_000):
+        start = time.perf_counter()
+        assert list(pii.ibans(text)) == []
+        assert time.perf_counter() - start < 20

@@ -1,6 +1,6 @@
 """Registered queries against their checking SQL, and plan shapes.
 
-By default every fourth query runs on the smallest data; ALL_QUERIES=1 runs all.
+By default every batch query runs on the smallest data, and of the streaming ones every fourth; ALL_QUERIES=1 runs all.
 """
 
 import os
@@ -10,10 +10,14 @@ import pytest
 from oracle import canon, compare, duck
 
 from spanloom import plans
+from spanloom.plans import streams
 
 SQL = plans.all_sql()
 NAMES = list(plans.all_queries())
-CHECKED = NAMES if os.environ.get("ALL_QUERIES") else NAMES[::4]
+STREAMS = list(streams.reg.queries)
+CHECKED = NAMES if os.environ.get("ALL_QUERIES") else [n for n in NAMES if n not in STREAMS] + STREAMS[::4]
+# nothing in the smallest data meets these; on larger data they are compared row by row
+MAY_BE_EMPTY = {"d7_having_calls"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +31,7 @@ def test_matches_sql(spark, con, small, name):
     if name not in SQL:
         df.collect()
         return
-    assert compare(df, con, SQL[name]) in ("", "EMPTY")
+    assert compare(df, con, SQL[name]) in (("", "EMPTY") if name in MAY_BE_EMPTY else ("",))
 
 
 def test_sql_keys_are_queries():
@@ -35,7 +39,7 @@ def test_sql_keys_are_queries():
     assert len(NAMES) >= 190
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if not n.startswith("q") and n not in ("e13_span_daily_stream", "h11_semantic_clusters")][::5])
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in STREAMS and n != "h11_semantic_clusters"])
 def test_no_pairing_joins(spark, small, name):
     """No query plans a cartesian product or a nested-loop join."""
     plan = plans.all_queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,16 @@ def carried(df: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame,
     return out, keep.index(text) if text in keep else len(keep), schema
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and an executor's bound counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice has at most ``limit`` text bytes (or one row)."""
     for batch in batches:
@@ -45,6 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 4 << 2
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        give_back()
 
 
 def strings(column: pa.Array) -> list[str]:

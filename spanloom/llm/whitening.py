@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import prepare
@@ -39,13 +40,11 @@ LONG = float(1 << 63)
 
 
 def scaled(table: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id and x array<long> of the rows that count."""
+    """vec_id and x array<long> of the rows whose entries count; ``model`` and ``report`` take those of the commonest length."""
     rows = table.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("c"))
     odd = F.exists("c", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) >= LARGEST))
     x = F.transform("c", lambda c: F.floor(F.lit(SCALE) * F.when(F.abs(c) < LARGEST, c)) + F.lit(SHIFT))
-    rows = rows.where(F.col("c").isNotNull() & ~odd).select("vec_id", x.alias("x"))
-    sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("x") == (sizes.d if sizes else 0))
+    return rows.where(F.col("c").isNotNull() & ~odd).select("vec_id", x.alias("x"))
 
 
 @dataclass(frozen=True)
@@ -88,19 +87,27 @@ def _matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
     return batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, d)
 
 
-def _sums(rows: DataFrame, d: int) -> tuple[int, np.ndarray]:
+def _sums(rows: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Commonest length d (the least of several), and number and sums of its rows."""
     def run(batches):
-        total, n = np.zeros(d, np.int64), 0
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            total += _matrix(batch, d).sum(axis=0)
-            n += batch.num_rows
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1)), pa.array(np.append(total, n))], ["at", "value"])
-
-    # a task's sum fits a long; the sum over tasks is taken as a decimal
-    parts = rows.select("x").mapInArrow(run, "at long, value long").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"))
-    found = {r.at: int(r.value) for r in parts.collect()}
-    return found.get(d, 0), np.array([found.get(i, 0) for i in range(d)], object)
+            sizes = pc.list_value_length(batch.column("x"))
+            for d in pc.unique(sizes).to_pylist():
+                x = _matrix(batch.filter(pc.equal(sizes, d)), d)
+                held.setdefault(d, np.zeros(d + 1, np.int64))
+                held[d] += np.append(x.sum(axis=0), len(x))
+        for d, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d + 1, d)), pa.array(np.arange(d + 1)), pa.array(total)], ["d", "at", "value"])
+
+    # a task's sum fits a long; the sum over tasks is taken as a decimal. Only the row of the number has at = d
+    parts = rows.select("x").mapInArrow(run, "d long, at long, value long").groupBy("d", "at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"))
+    most = parts.where("at = d").orderBy(F.desc("value"), "d").limit(1).select("d")
+    found = {(r.d, r.at): int(r.value) for r in parts.join(most, "d").collect()}
+    if not found:
+        return 0, 0, np.zeros(0, object)
+    d = next(iter(found))[0]
+    return d, found[d, d], np.array([found[d, i] for i in range(d)], object)
 
 
 def _triangle(rows: np.ndarray, d: int) -> np.ndarray:
@@ -164,11 +171,10 @@ def _identity_error(rows: DataFrame, fitted: Whitening, used: np.ndarray) -> flo
 def model(rows: DataFrame, components: int = 32) -> Whitening | None:
     """Fit on all rows of ``scaled``; None if there are none."""
     prepare(rows.sparkSession)
-    one = rows.select(F.size("x").alias("d")).first()
-    if one is None:
+    d, n, sums = _sums(rows)
+    if not n:
         return None
-    d = one.d
-    n, sums = _sums(rows, d)
+    rows = rows.where(F.size("x") == d)
     middle = np.array([(2 * s + n) // (2 * n) for s in sums], np.int64)
     rest = np.array([s - n * int(m) for s, m in zip(sums, middle)], np.int64)
     # sums beyond a long only occur with huge entries; middle and rest stay exact
@@ -213,4 +219,4 @@ def report(rows: DataFrame, fitted: Whitening | None) -> DataFrame:
                 pa.array(fitted.deviation(x), pa.int64()).take(each), nulls(fitted.whitened(x).ravel()), nulls(np.tile(fitted.explained, m)),
                 pa.array(np.full(m * k, fitted.identity_error))], names)
 
-    return rows.select("vec_id", "x").mapInArrow(run, f"vec_id {key}, {SCHEMA}")
+    return rows.where(F.size("x") == fitted.d).mapInArrow(run, f"vec_id {key}, {SCHEMA}")

@@ -223,13 +223,14 @@ def _(spark, d):
 @reg.add("e12_merged_rollup_state", with_(SPANS) + """
 SELECT project_id, service_name, span_type, CAST(started_at AS DATE) AS date, count(*) AS span_count,
   count(*) FILTER (status = 'error') AS error_count, round(avg(duration_ms), 6) AS avg_duration_ms,
-  min(duration_ms) AS duration_min, max(duration_ms) AS duration_max
+  min(duration_ms) AS duration_min, max(duration_ms) AS duration_max,
+  list_sort(list(duration_ms))[greatest(1, CAST(ceil(0.95 * count(duration_ms)) AS BIGINT))] AS p95_duration_ms
 FROM spans GROUP BY ALL""")
 def _(spark, d):
     rows = spans(spark, d)
     stored = R.span_state(rows.where("span_id % 2 = 0"))
     batch = R.span_state(rows.where("span_id % 2 = 1"))
-    return R.read_span_state(R.merge_span_state(stored, batch)).drop("p95_duration_ms")
+    return R.read_span_state(R.merge_span_state(stored, batch))
 
 
 # ---- R: windows over rollups -----------------------------------------------------------

@@ -16,11 +16,11 @@ reg = Registry()
 
 
 def turns(spark, d):
-    t = table(spark, d, "conversations").where("text IS NOT NULL")
+    t = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     return t.withColumn("span_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.lpad(F.col("turn").cast("string"), 6, "0")))
 
 
-TURNS = "turns AS (SELECT *, conv_id || '-' || lpad(CAST(turn AS VARCHAR), 6, '0') AS span_id FROM conversations WHERE text IS NOT NULL)"
+TURNS = "turns AS (SELECT *, conv_id || '-' || lpad(CAST(turn AS VARCHAR), 6, '0') AS span_id FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations))"
 
 
 def answer_spans(spark, d):

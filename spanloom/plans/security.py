@@ -122,6 +122,12 @@ def _(spark, d):
     return I.scan(doc_spans(spark, d)).select("span_id", F.size("findings").alias("findings"), "overall_severity", "overall_confidence")
 
 
+@reg.add("i7_scan_findings", FOUND + f" SELECT CAST(doc_id AS VARCHAR) AS span_id, location, {COLS} FROM found")
+def _(spark, d):
+    """Each finding of the whole scan, not only how many there are."""
+    return I.scan(doc_spans(spark, d)).select("span_id", F.explode("findings").alias("f")).select("span_id", "f.*").drop("remediation")
+
+
 RESULTS = """,
 results AS (SELECT * FROM docs JOIN per USING (doc_id) WHERE trace_id NOT IN (SELECT 'd' || c_custkey FROM customer WHERE c_custkey % 4 = 0)
   QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY started_at DESC, CAST(doc_id AS VARCHAR) DESC) = 1)"""
@@ -140,6 +146,13 @@ def _(spark, d):
                                         F.size(body["findings"]).alias("findings"), "overall_severity")
 
 
+@reg.add("i8_result_findings", FOUND + RESULTS + f"""
+SELECT trace_id, location, {COLS} FROM results JOIN found USING (doc_id)""")
+def _(spark, d):
+    body = F.from_json("result", f"struct<span_id:string,findings:{P.FINDING_TYPE}>")
+    return new_results(spark, d).select("trace_id", F.explode(body["findings"]).alias("f")).select("trace_id", "f.*").drop("remediation")
+
+
 @reg.add("i9_scan_one_trace", FOUND + """
 SELECT CAST(doc_id AS VARCHAR) AS span_id, findings FROM docs JOIN per USING (doc_id) WHERE trace_id = 'd7'""")
 def _(spark, d):

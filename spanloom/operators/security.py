@@ -97,15 +97,16 @@ def evaluate_guardrails(spans: DataFrame, configs: DataFrame) -> DataFrame:
 
     ``configs``: project_id, guard_name, guard_type (pii, injection, max_tokens,
     content_filter), phase (input, output), action, limit (tokens or NULL), words.
+    They are settings that people write, so they go to the spans: dealt by project, all texts of a project would be one task's.
     """
-    enabled = configs.where("enabled")
+    enabled = F.broadcast(configs.where("enabled"))
 
     def asked(kind: str, phase: str) -> Column:
         return F.bool_or((F.col("guard_type") == kind) & (F.col("phase") == phase))
 
     # what a project asks for comes first: other scans don't run on its texts, and spans of projects without guards are dropped unread
     wanted = enabled.groupBy("project_id").agg(*[asked(k, p).alias(f"_{k}_{p}") for k in ("pii", "injection") for p in ("input", "output")])
-    rows = with_attrs(with_texts(spans.join(wanted, "project_id")), {"_tokens": ("llm.total_tokens", "int")})
+    rows = with_attrs(with_texts(spans.join(F.broadcast(wanted), "project_id")), {"_tokens": ("llm.total_tokens", "int")})
     scans = {"pii_in": ("_pii_input", leak_findings("prompt", "prompt")), "pii_out": ("_pii_output", leak_findings("response", "response")),
              "inj_in": ("_injection_input", injection_findings("prompt", "prompt")), "inj_out": ("_injection_output", injection_findings("response", "response"))}
     checks = F.struct(*[F.when(F.col(need), F.size(found) > 0).otherwise(False).alias(name) for name, (need, found) in scans.items()])

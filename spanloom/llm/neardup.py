@@ -20,13 +20,13 @@ bucket, with the least of those that agree in a sixth, and a seventh, sample too
 ``NEIGHBOURS`` before it when the bucket is sorted by the samples that follow the band, which are those
 that share the longest run of samples with it; groups of copies are so joined by trees and
 chains. These pairs come first only to save work: once they are verified, every pair of a large
-bucket that the links found so far leave in two components is a candidate too (``crowded``), so all
-pairs of all buckets are judged but those whose link would change nothing. One byte of each of the
+bucket that the links found so far leave in two components is compared too (``crowded``), where the bucket's
+parts meet, so all pairs of all buckets are judged but those whose link would change nothing. One byte of each of the
 120 samples is kept to drop pairs whose estimated similarity is 5 standard errors below the threshold.
 
 Verification. The weighted Jaccard similarity is computed from both whole texts: first for the best
 partner of each document, then for all remaining candidates whose ends aren't yet in one
-component, then for those of ``crowded``; a link inside a component would not change it. A pair whose shingles without weights reach
+component, then in ``crowded``; a link inside a component would not change it. A pair whose shingles without weights reach
 the threshold is a link as well.
 
 Null, empty and wordless texts are each a class of their own. A text of one to four words has one
@@ -54,6 +54,7 @@ SLOTS = 1 << 16
 FEW = 8
 NEIGHBOURS = 2
 CHUNK = 1024
+PART = 8 << 20
 COUNTS, RARITIES = 32, 4
 LEVELS = COUNTS * RARITIES
 #: Weight of each level: e**(c/4) for a count, times 1 to 1 + 1/8 for rarity.
@@ -206,18 +207,25 @@ def signatures(narrow: DataFrame, frequencies: Shared) -> DataFrame:
     return narrow.mapInArrow(run, f"id {kind}, digest binary, n long, bands array<long>, bytes binary")
 
 
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (u > v) of representatives (id, bands, bytes)."""
-    keyed = rows.select("id", F.posexplode("bands").alias("band", "key"), "bytes")
+def buckets(rows: DataFrame) -> DataFrame:
+    """(id, band, key, n, low) of every bucket of two documents or more: its size and least id.
+
+    Most buckets hold one document; what follows a bucket's key is shuffled for the others only.
+    """
+    keyed = rows.select("id", F.posexplode("bands").alias("band", "key"))
+    many = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
+    return settled(keyed.join(many, "key").select("id", "band", "key", "n", "low"))
+
+
+def bucket_pairs(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Candidate pairs (u > v) of representatives (id, bands, bytes) in their ``buckets``."""
     extra = lambda n: F.substring("bytes", ((F.col("band") * ROWS + ROWS) % SAMPLES + 1).cast("int"), F.lit(n))
     # a key says which samples agree: those of the band, and one or two of the next band as well
     after = F.substring(F.concat("bytes", "bytes"), (F.col("band") * ROWS + ROWS + 1).cast("int"), F.lit(16))
-    level0 = keyed.select("id", "key", F.xxhash64("key", extra(1)).alias("key1"), F.xxhash64("key", extra(2)).alias("key2"), after.alias("after"))
-    few = (level0.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1"))
-    placed = level0.join(few, "key")
     small = (placed.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
              .select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.transform(F.slice("ids", i + 1, FEW), lambda x: F.struct(x.alias("u"), F.get("ids", i - 1).alias("v")))))).alias("p")).select("p.*"))
-    large = placed.where(F.col("n") > FEW)
+    large = (placed.where(F.col("n") > FEW).join(rows.select("id", "bytes"), "id")
+             .select("id", "key", "low", F.xxhash64("key", extra(1)).alias("key1"), F.xxhash64("key", extra(2)).alias("key2"), after.alias("after")))
     pairs = small.unionByName(large.select(F.col("id").alias("u"), F.col("low").alias("v")))
     for finer in ("key1", "key2"):
         low = large.groupBy(finer).agg(F.min("id").alias("v"), F.count("*").alias("m")).where("m > 1")
@@ -250,20 +258,18 @@ def neighbours(large: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
-def crowded(rows: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (u > v, share) of the buckets of more than ``FEW`` whose ends have different roots, without those far below the threshold.
+def parted(placed: DataFrame) -> DataFrame:
+    """Rows (id, root, band, key, size) of buckets of several roots, dealt to places (key, i, j) where parts meet.
 
     A bucket's rows of its most frequent root needn't meet each other; the others meet all. Both are cut
-    into parts of about ``CHUNK``, and each pair of parts is compared in one place. A pair that shares several
-    buckets is compared in the first of them.
+    into parts of about ``CHUNK`` rows and ``PART`` in size, and each pair of parts meets in one place.
     """
-    placed = rows.join(root, "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.posexplode("bands").alias("band", "key"))
-    mixed = (placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-             .groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("root", F.struct("c", "root")).alias("big"))
-             .where((F.col("n") > FEW) & (F.col("n") > F.col("top"))))
-    parts = lambda c: F.ceil(c / CHUNK).cast("int")
-    split = (placed.join(mixed, "key").select("id", "root", "band", "key", (F.col("root") == F.col("big")).alias("main"),
-                                              parts(F.col("top")).alias("pb"), parts(F.col("n") - F.col("top")).alias("po"))
+    mixed = (placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+             .groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("sizes"), F.max(F.struct("c", "root", "s")).alias("big"))
+             .where(F.col("n") > F.col("big.c")).select("key", "n", "sizes", "big"))
+    parts = lambda c, s: F.ceil(F.greatest(c / CHUNK, s / PART)).cast("int")
+    split = (placed.join(mixed, "key").select("id", "root", "band", "key", (F.col("root") == F.col("big.root")).alias("main"),
+                                              parts(F.col("big.c"), F.col("big.s")).alias("pb"), parts(F.col("n") - F.col("big.c"), F.col("sizes") - F.col("big.s")).alias("po"))
              .withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("pb")).otherwise(F.col("po"))).cast("int")))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     # places (i, j): rows of the frequent root in part i with others in part j, or others of parts -1 - i and j
@@ -272,58 +278,133 @@ def crowded(rows: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
     where = F.when(F.col("main"), F.transform(upto("po"), lambda o: place(part, o, F.lit(1)))).otherwise(F.concat(
         F.transform(upto("pb"), lambda b: place(b, part, F.lit(0))),
         F.transform(upto("po"), lambda o: place(-1 - F.least(part, o), F.greatest(part, o), part > o))))
-    sent = split.select("id", "root", "band", "key", F.explode(where).alias("p")).select("id", "root", "band", "key", "p.*")
-    dealt = (sent.join(rows.select("id", F.col("bands").alias("all"), "bytes"), "id")
-             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-             .select("id", "root", "key", "i", "j", "side", "band", "all", "bytes"))
-    least = threshold - 5 * (threshold * (1 - threshold) / SAMPLES) ** 0.5
+    return split.select("id", "root", "band", "key", F.explode(where).alias("p")).select("id", "root", "band", "key", "p.*")
 
-    def compared(group: pa.RecordBatch):
-        side, band = group.column("side").to_numpy(), group.column("band")[0].as_py()
-        root = group.column("root").dictionary_encode().indices.to_numpy()
-        keys = group.column("all").flatten().to_numpy().reshape(-1, BANDS)
-        x = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, SAMPLES)
-        ones = int(side.sum())
-        zeros = len(side) - ones
-        one_by_one, rest = (range(zeros), (zeros, len(side))) if zeros <= ones else (range(zeros, len(side)), (0, zeros))
-        if not ones:  # a part with itself
-            one_by_one = range(zeros)
-        a, b, shares = [], [], []
-        for r in one_by_one:
-            lo, hi = (r + 1, zeros) if not ones else rest
-            share = (x[lo:hi] == x[r]).mean(1)
-            at = np.flatnonzero((share >= least) & (root[lo:hi] != root[r]))
-            at = at[(keys[lo + at] == keys[r]).argmax(1) == band]
-            a.append(np.full(len(at), r))
-            b.append(lo + at)
-            shares.append(share[at])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            for k in range(0, len(a), 50_000):
-                yield pa.RecordBatch.from_arrays([group.column("id").take(pa.array(a[k:k + 50_000])), group.column("id").take(pa.array(b[k:k + 50_000])),
-                                                  pa.array(np.concatenate(shares)[k:k + 50_000])], ["a", "b", "share"])
 
-    def run(batches):
-        held = []  # rows of the group that the last batch ended in
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            now = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
-            change = np.ones(now.num_rows, bool)
-            change[1:] = False
-            for c in ("key", "i", "j"):
-                v = now.column(c).to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            heads = np.flatnonzero(change)
-            for s, e in zip(heads[:-1], heads[1:]):
-                yield from compared(now.slice(s, e - s))
-            held = [now.slice(heads[-1])]
-        if held:
-            yield from compared(held[0])
+def near(group: pa.RecordBatch, label: np.ndarray, least: float):
+    """(r, rows whose samples are near those of row r) for rows of different labels that meet in a place.
 
+    A pair that shares several buckets is near in the first of them only. Labels are read anew for each r.
+    """
+    side, band = group.column("side").to_numpy(), group.column("band")[0].as_py()
+    keys = group.column("all").flatten().to_numpy().reshape(-1, BANDS)
+    x = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+    ones = int(side.sum())
+    zeros = len(side) - ones
+    one_by_one, rest = (range(zeros), (zeros, len(side))) if zeros <= ones else (range(zeros, len(side)), (0, zeros))
+    if not ones:  # a part with itself
+        one_by_one = range(zeros)
+    for r in one_by_one:
+        lo, hi = (r + 1, zeros) if not ones else rest
+        at = lo + np.flatnonzero(label[lo:hi] != label[r])
+        at = at[(x[at] == x[r]).mean(1) >= least]
+        at = at[(keys[at] == keys[r]).argmax(1) == band]
+        if len(at):
+            yield r, at
+
+
+def groups(batches, names: tuple[str, ...]):
+    """Rows of equal ``names``, which come one after another, as one batch each."""
+    held = []  # rows of the group that the last batch ended in
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        now = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
+        change = np.ones(now.num_rows, bool)
+        change[1:] = False
+        for c in names:
+            v = now.column(c).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        heads = np.flatnonzero(change)
+        for s, e in zip(heads[:-1], heads[1:]):
+            yield now.slice(s, e - s)
+        held = [now.slice(heads[-1])]
+    yield from held
+
+
+class Sets:
+    """Weighted shingles of some texts, numbered so that one text is compared with many at once."""
+
+    def __init__(self, column: pa.Array, frequencies: Frequencies) -> None:
+        found = [weighted(b.column(0), frequencies) for b in slices([pa.RecordBatch.from_arrays([column], ["t"])], 0, SLICE)]
+        _, self.at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        self.level = np.concatenate([f[1] for f in found]).astype(np.int16)
+        self.n = np.concatenate([np.diff(f[2]) for f in found])
+        self.begin = np.concatenate([[0], np.cumsum(self.n)])
+        self.total = np.array([WEIGHTS[self.level[a:b]].sum() for a, b in zip(self.begin[:-1], self.begin[1:])])
+        self.one = np.zeros(int(self.at.max()) + 1 if len(self.at) else 0)
+
+    def similarities(self, r: int, at: np.ndarray) -> np.ndarray:
+        """``similarity`` of text r and each text of ``at``."""
+        own = slice(self.begin[r], self.begin[r + 1])
+        self.one[self.at[own]] = WEIGHTS[self.level[own]]
+        out, ends, i = [], np.cumsum(self.n[at]), 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), side="right")))
+            n = self.n[at[i:j]]
+            row = np.repeat(np.arange(j - i), n)
+            entry = np.arange(len(row)) + np.repeat(self.begin[at[i:j]] - (np.cumsum(n) - n), n)
+            there = self.one[self.at[entry]]
+            both = np.bincount(row, np.minimum(there, WEIGHTS[self.level[entry]]), j - i)
+            same = np.bincount(row, there > 0, j - i)
+            out.append(np.maximum(both / (self.total[r] + self.total[at[i:j]] - both), same / (self.n[r] + n - same)))
+            i = j
+        self.one[self.at[own]] = 0
+        return np.concatenate(out)
+
+
+def crowded(rows: DataFrame, placed: DataFrame, root: DataFrame, narrow: DataFrame, frequencies: Shared, threshold: float) -> DataFrame:
+    """Links (u > v) that join different roots, from all pairs of the buckets of more than ``FEW``.
+
+    First the samples say which rows of a bucket are near one of another root. The texts of these meet in the
+    same way and are compared where they meet. A link is given only where those before it in the same place leave
+    its ends apart, so links are fewer than the rows, however many pairs are compared.
+    """
     kind = rows.schema["id"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}, share double").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), "share")
+    least = threshold - 5 * (threshold * (1 - threshold) / SAMPLES) ** 0.5
+    signed = rows.select("id", F.col("bands").alias("all"), "bytes")
+    places = ("key", "i", "j")
+
+    def dealt(some: DataFrame, what: DataFrame, *more: str) -> DataFrame:
+        return (parted(some).join(what, "id").repartition(*places).sortWithinPartitions(*places, "side")
+                .select("id", "root", *places, "side", "band", "all", "bytes", *more))
+
+    def met(batches):
+        for group in groups(batches, places):
+            label = group.column("root").dictionary_encode().indices.to_numpy()
+            found = np.zeros(group.num_rows, bool)
+            for r, at in near(group, label, least):
+                found[r] = found[at] = True
+            if found.any():
+                yield group.select(["id", "key"]).filter(pa.array(found))
+
+    def linked(batches):
+        for group in groups(batches, places):
+            label = group.column("root").dictionary_encode().indices.to_numpy().copy()
+            sets, a, b = None, [], []
+            for r, at in near(group, label, least):
+                sets = sets or Sets(group.column("text"), frequencies.value)
+                for hit in at[sets.similarities(r, at) >= threshold]:
+                    if label[hit] != label[r]:
+                        label[label == label[hit]] = label[r]
+                        a.append(r)
+                        b.append(hit)
+            if a:
+                yield pa.RecordBatch.from_arrays([group.column("id").take(pa.array(a)), group.column("id").take(pa.array(b))], ["a", "b"])
+
+    large = (placed.where(F.col("n") > FEW).join(root, "id", "left")
+             .select("id", F.coalesce("root", "id").alias("root"), "band", "key"))
+    close = settled(dealt(large.withColumn("size", F.lit(0)), signed).mapInArrow(met, f"id {kind}, key long").distinct())
+    release(rows.sparkSession)
+    texts = settled(narrow.join(close.select("id").distinct(), "id", "left_semi"))
+    release(rows.sparkSession)
+    sizes = texts.select("id", F.octet_length("text").cast("long").alias("size"))
+    some = large.join(close, ["id", "key"], "left_semi").join(sizes, "id")
+    found = dealt(some, signed.join(texts, "id"), "text").mapInArrow(linked, f"a {kind}, b {kind}")
+    links = settled(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    release(rows.sparkSession, close, texts)
+    return links
 
 
 def estimated(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -413,7 +494,9 @@ def row_classes(docs: DataFrame, *, text: str, key: str, threshold: float = 0.8)
     rows = settled(some.select("id", "bands", "bytes"))
     del member, lead, leads, some
     release(docs.sparkSession, signed)
-    candidates = settled(estimated(bucket_pairs(rows), rows, threshold))
+    placed = buckets(rows)
+    release(docs.sparkSession)
+    candidates = settled(estimated(bucket_pairs(rows, placed), rows, threshold))
     release(docs.sparkSession)
     ends = candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct()
     whole, narrow = narrow, settled(narrow.join(ends, "id", "left_semi"))  # the texts that verification needs
@@ -431,14 +514,8 @@ def row_classes(docs: DataFrame, *, text: str, key: str, threshold: float = 0.8)
     del best, rest, second, ends
     release(docs.sparkSession, root, narrow, first)
     root = settled(components(links))
-    missing = settled(crowded(rows, root, threshold).select("u", "v").join(candidates.select("u", "v"), ["u", "v"], "left_anti"))
-    release(docs.sparkSession)
-    if not missing.isEmpty():
-        ends = missing.select(F.col("u").alias("id")).unionByName(missing.select(F.col("v").alias("id"))).distinct()
-        narrow = settled(whole.join(ends, "id", "left_semi"))
-        release(docs.sparkSession)
-        third = settled(verified(missing, narrow, frequencies, threshold).select("u", "v"))
-        release(docs.sparkSession, narrow)
+    third = crowded(rows, placed, root, whole, frequencies, threshold)
+    if not third.isEmpty():
         root = components(links.unionByName(third))
     final = root.select(F.col("id").alias("lead"), "root")
     return (copies.join(final, "lead", "left").groupBy(F.col("id").alias("key")).agg(F.min(F.coalesce("root", "lead")).alias("class")))

@@ -11,6 +11,11 @@ def json_value(value: Column) -> Column:
     return F.when(value.isNotNull(), F.substring(wrapped, F.lit(6), F.length(wrapped) - 6))
 
 
+def json_string(text: Column) -> Column:
+    """JSON literal of a text column, the same as ``json_value``; only texts with something to escape take a JSON writer."""
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), json_value(text)).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
 def json_object(parts: dict[str, Column]) -> Column:
     """Object of ``{key: JSON literal}``; NULL literals are left out."""
     fields = [F.concat(F.lit(f'"{key}":'), literal) for key, literal in parts.items()]

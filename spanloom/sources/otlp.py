@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.jsontext import json_value, micros_between
+from ..functions.jsontext import json_string, json_value, micros_between
 from ..schema import OTLP_STATUS, is_error, lookup
 
 VALUE = ("struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,"
@@ -29,8 +29,8 @@ SERVER_KIND = 2
 
 def scalar_literal(v: Column) -> Column:
     """JSON literal of a typed value that is not an array."""
-    return F.coalesce(json_value(v["stringValue"]), json_value(v["intValue"].try_cast("bigint")),
-                      json_value(v["doubleValue"]), json_value(v["boolValue"]), json_value(v["bytesValue"]))
+    return F.coalesce(json_string(v["stringValue"]), v["intValue"].try_cast("bigint").cast("string"),
+                      json_value(v["doubleValue"]), v["boolValue"].cast("string"), json_string(v["bytesValue"]))
 
 
 def value_literal(v: Column) -> Column:
@@ -49,7 +49,7 @@ def attribute_entries(attrs: Column) -> Column:
 
 
 def entries_json(entries: Column) -> Column:
-    pairs = F.transform(F.map_entries(entries), lambda e: F.concat(json_value(e["key"]), F.lit(":"), e["value"]))
+    pairs = F.transform(F.map_entries(entries), lambda e: F.concat(json_string(e["key"]), F.lit(":"), e["value"]))
     return F.concat(F.lit("{"), F.array_join(F.coalesce(pairs, F.array().cast("array<string>")), ","), F.lit("}"))
 
 

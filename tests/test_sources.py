@@ -181,3 +181,16 @@ def test_rows_at_the_mark_come_once(spark, tmp_path):
         got.append(sorted(r.event_id for r in job.pulled().where(f"batch_id = {n}").collect()))
     # 4 comes later at the mark; 5 is older than it; 7 was passed by the pull that saw 6
     assert got == [[1, 2, 3], [4], [], [6, 7, 8], [9]]
+
+
+def test_json_strings_are_those_of_the_json_writer(spark):
+    from spanloom.functions.jsontext import json_string, json_value
+
+    odd = ["", "plain", 'say "hi"', "back\\slash", "a\nb\tc\x00\x1f", "/ </script>", "é 字 \U0001f44d  \x7f", "{}}", None]
+    df = spark.createDataFrame([(x,) for x in odd], "s string")
+    text = F.col("s")
+    assert all(r.a == r.b for r in df.select(json_string(text).alias("a"), json_value(text).alias("b")).collect())
+    # no JSON writer for numbers, flags and most texts of an OTLP value
+    from spanloom.sources import otlp
+    value = spark.createDataFrame([], f"v {otlp.VALUE}").select(otlp.scalar_literal(F.col("v")).alias("x"))
+    assert value._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") <= 6

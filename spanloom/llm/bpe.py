@@ -28,7 +28,10 @@ from .batches import carried, prepare, slices, strings
 
 LONG = 256
 CACHED = 200_000
+PIECES = 50_000
 INFINITE = 1 << 60
+ID_BITS = 32
+ID_MASK = (1 << ID_BITS) - 1
 # white space for the pattern: Python's \s without the four separators it adds
 _BLANK, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 CHUNK = re.compile(rf" ?{_SOLID}+|{_BLANK}+(?!{_SOLID})|{_BLANK}+")
@@ -56,27 +59,29 @@ class Vocabulary:
         for text, i in self.special.items():
             self.tokens[i] = text.encode()
         self.byte_ids = [ids.get(c, 0) for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Pair -> rank and merged id in one number, which sorts by rank.
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a], ids[b]] = rank << ID_BITS | ids[a + b]
         self.pattern = pattern
 
 
 def merge_short(parts: list[int], merges: dict) -> list[int]:
     """Scan for the least rank, delete its boundary, refresh the ranks beside it."""
-    ranks = [merges.get(p, (INFINITE,))[0] for p in zip(parts, parts[1:])]
+    get = merges.get
+    ranks = [get(p, INFINITE) for p in zip(parts, parts[1:])]
     while ranks:
         low = min(ranks)
         if low == INFINITE:
             break
         i = ranks.index(low)
-        parts[i] = merges[parts[i], parts[i + 1]][1]
+        parts[i] = now = low & ID_MASK
         del parts[i + 1], ranks[i]
         if i:
-            ranks[i - 1] = merges.get((parts[i - 1], parts[i]), (INFINITE,))[0]
+            ranks[i - 1] = get((parts[i - 1], now), INFINITE)
         if i < len(ranks):
-            ranks[i] = merges.get((parts[i], parts[i + 1]), (INFINITE,))[0]
+            ranks[i] = get((now, parts[i + 1]), INFINITE)
     return parts
 
 
@@ -84,25 +89,25 @@ def merge_long(parts: list[int], merges: dict) -> list[int]:
     """The same merges with a heap of (rank, position) over a linked list."""
     n = len(parts)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(m[0], i, p) for i, p in enumerate(zip(parts, parts[1:])) if (m := merges.get(p))]
+    heap = [(m, i, p) for i, p in enumerate(zip(parts, parts[1:])) if (m := merges.get(p)) is not None]
     heapq.heapify(heap)
     while heap:
         _, i, pair = heapq.heappop(heap)
         j = right[i]
         if parts[i] != pair[0] or j >= n or parts[j] != pair[1]:
             continue
-        parts[i], parts[j] = merges[pair][1], -1
+        parts[i], parts[j] = merges[pair] & ID_MASK, -1
         right[i] = k = right[j]
         if k < n:
             left[k] = i
         for a, b in ((left[i], i), (i, k)):
-            if a >= 0 and b < n and (m := merges.get((parts[a], parts[b]))):
-                heapq.heappush(heap, (m[0], a, (parts[a], parts[b])))
+            if a >= 0 and b < n and (m := merges.get((parts[a], parts[b]))) is not None:
+                heapq.heappush(heap, (m, a, (parts[a], parts[b])))
     return [p for p in parts if p >= 0]
 
 
 class Encoder(dict):
-    """Word -> ids as int32 bytes; fills itself on a miss and empties itself when full."""
+    """Word -> ids as int32 bytes; fills itself on a miss. When full, its words and pieces become the old ones, of which those met again come back."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
@@ -110,6 +115,9 @@ class Encoder(dict):
 
         self.v = vocabulary
         self.pieces = regex.compile(vocabulary.pattern).findall
+        self.known: dict[str, bytes] = {}  # ids of pieces, which many words share
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
@@ -117,16 +125,29 @@ class Encoder(dict):
         parts = [self.v.byte_ids[b] for b in piece.encode()]
         return (merge_short if len(parts) <= LONG else merge_long)(parts, self.v.merges)
 
+    def piece(self, piece: str) -> bytes:
+        value = self.old_pieces.get(piece)
+        if value is None:
+            value = array("i", self.ids(piece)).tobytes()
+        if len(piece) <= LONG:
+            if len(self.known) >= PIECES:
+                self.old_pieces, self.known = self.known, {}
+            self.known[piece] = value
+        return value
+
     def encode(self, word: str) -> bytes:
-        out = array("i")
-        for piece in self.pieces(word):
-            out.extend(self.ids(piece))
-        return out.tobytes()
+        found, known = self.pieces(word), self.known
+        if len(found) == 1:
+            return known.get(found[0]) or array("i", self.ids(found[0])).tobytes()
+        return b"".join([known.get(p) or self.piece(p) for p in found])
 
     def __missing__(self, word: str) -> bytes:
-        value = self.encode(word)
+        value = self.old_words.get(word)
+        if value is None:
+            value = self.encode(word)
         if len(word) <= LONG:
             if len(self) >= CACHED:
+                self.old_words = dict(self)
                 self.clear()
             self[word] = value
         return value

@@ -69,3 +69,16 @@ def test_empty_table_and_repeats(make, vocab):
     assert tokencount.token_counts(make(["a"]).where("false"), vocab).count() == 0
     twice = make(["same text"]).unionByName(make(["same text"]))
     assert tokencount.token_counts(twice, vocab, sample_docs=1, entries=1).select("n_tokens").collect() == [(2,), (2,)]
+
+
+def test_full_caches_keep_words_met_again(vocab, monkeypatch):
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("abcé,'1") for _ in range(rng.randint(1, 7))) for _ in range(3000))
+    monkeypatch.setattr(bpe, "CACHED", 40)
+    monkeypatch.setattr(bpe, "PIECES", 10)
+    code = bpe.Encoder(vocab.value)
+    assert list(memoryview(code.text_ids(text)).cast("i")) == library_ids(text)
+    assert len(code) <= 40 and len(code.old_words) == 40
+    word = next(iter(code.old_words))
+    monkeypatch.setattr(code, "encode", None)  # a word that was dropped is not encoded again
+    assert code[word] == code.old_words[word]

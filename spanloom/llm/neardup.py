@@ -54,6 +54,7 @@ SLOTS = 1 << 16
 FEW = 8
 NEIGHBOURS = 2
 CHUNK = 1024
+MARKS = 1 << 24
 PART = 8 << 20
 COUNTS, RARITIES = 32, 4
 LEVELS = COUNTS * RARITIES
@@ -217,15 +218,42 @@ def buckets(rows: DataFrame) -> DataFrame:
     return settled(keyed.join(many, "key").select("id", "band", "key", "n", "low"))
 
 
-def bucket_pairs(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Candidate pairs (u > v) of representatives (id, bands, bytes) in their ``buckets``."""
+def only(narrow: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id, text) whose id is among ``ids``; few others are shuffled for that.
+
+    A table of ``MARKS`` bits, one set for each of ``ids`` by its hash, drops most other texts where they are read;
+    the join drops the rest.
+    """
+    mark = F.xxhash64("id").bitwiseAND(F.lit(MARKS - 1))
+    set_bits = (ids.select(mark.alias("m")).groupBy(F.shiftright("m", 6).alias("w"))
+                .agg(F.bit_or(F.expr("shiftleft(1L, CAST(m & 63 AS INT))")).alias("bits")).toArrow())
+    table = np.zeros(MARKS >> 6, np.uint64)
+    table[set_bits.column("w").to_numpy()] = set_bits.column("bits").to_numpy().view(np.uint64)
+    marks = Shared(narrow.sparkSession, table)
+
+    def run(batches):
+        for batch in batches:
+            m = batch.column(2).to_numpy().astype(np.uint64)
+            kept = (marks.value[m >> np.uint64(6)] >> (m & np.uint64(63))) & np.uint64(1)
+            yield batch.select(["id", "text"]).filter(pa.array(kept.astype(bool)))
+
+    kind = narrow.schema["id"].dataType.simpleString()
+    return narrow.select("id", "text", mark.alias("m")).mapInArrow(run, f"id {kind}, text string").join(ids, "id", "left_semi")
+
+
+def finer_keys(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows of buckets of more than ``FEW``, with the samples that follow the band; read four times, so joined once and kept."""
     extra = lambda n: F.substring("bytes", ((F.col("band") * ROWS + ROWS) % SAMPLES + 1).cast("int"), F.lit(n))
     # a key says which samples agree: those of the band, and one or two of the next band as well
     after = F.substring(F.concat("bytes", "bytes"), (F.col("band") * ROWS + ROWS + 1).cast("int"), F.lit(16))
+    return settled(placed.where(F.col("n") > FEW).join(rows.select("id", "bytes"), "id")
+                   .select("id", "key", "low", F.xxhash64("key", extra(1)).alias("key1"), F.xxhash64("key", extra(2)).alias("key2"), after.alias("after")))
+
+
+def bucket_pairs(placed: DataFrame, large: DataFrame) -> DataFrame:
+    """Candidate pairs (u > v) of representatives in their ``buckets``, the large ones with ``finer_keys``."""
     small = (placed.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
              .select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.transform(F.slice("ids", i + 1, FEW), lambda x: F.struct(x.alias("u"), F.get("ids", i - 1).alias("v")))))).alias("p")).select("p.*"))
-    large = (placed.where(F.col("n") > FEW).join(rows.select("id", "bytes"), "id")
-             .select("id", "key", "low", F.xxhash64("key", extra(1)).alias("key1"), F.xxhash64("key", extra(2)).alias("key2"), after.alias("after")))
     pairs = small.unionByName(large.select(F.col("id").alias("u"), F.col("low").alias("v")))
     for finer in ("key1", "key2"):
         low = large.groupBy(finer).agg(F.min("id").alias("v"), F.count("*").alias("m")).where("m > 1")
@@ -397,7 +425,7 @@ def crowded(rows: DataFrame, placed: DataFrame, root: DataFrame, narrow: DataFra
              .select("id", F.coalesce("root", "id").alias("root"), "band", "key"))
     close = settled(dealt(large.withColumn("size", F.lit(0)), signed).mapInArrow(met, f"id {kind}, key long").distinct())
     release(rows.sparkSession)
-    texts = settled(narrow.join(close.select("id").distinct(), "id", "left_semi"))
+    texts = settled(only(narrow, close.select("id").distinct()))
     release(rows.sparkSession)
     sizes = texts.select("id", F.octet_length("text").cast("long").alias("size"))
     some = large.join(close, ["id", "key"], "left_semi").join(sizes, "id")
@@ -496,10 +524,11 @@ def row_classes(docs: DataFrame, *, text: str, key: str, threshold: float = 0.8)
     release(docs.sparkSession, signed)
     placed = buckets(rows)
     release(docs.sparkSession)
-    candidates = settled(estimated(bucket_pairs(rows, placed), rows, threshold))
-    release(docs.sparkSession)
+    large = finer_keys(rows, placed)
+    candidates = settled(estimated(bucket_pairs(placed, large), rows, threshold))
+    release(docs.sparkSession, large)
     ends = candidates.select(F.col("u").alias("id")).unionByName(candidates.select(F.col("v").alias("id"))).distinct()
-    whole, narrow = narrow, settled(narrow.join(ends, "id", "left_semi"))  # the texts that verification needs
+    whole, narrow = narrow, settled(only(narrow, ends))  # the texts that verification needs
     best = candidates.groupBy("u").agg(F.max_by("v", F.struct("share", "v")).alias("v")).where("u is not null")
     release(docs.sparkSession)
     first = settled(verified(best, narrow, frequencies, threshold).select("u", "v"))
@@ -509,13 +538,13 @@ def row_classes(docs: DataFrame, *, text: str, key: str, threshold: float = 0.8)
     rest = (candidates.select("u", "v").join(best.select("u", "v"), ["u", "v"], "left_anti")
             .join(at("u"), "u", "left").join(at("v"), "v", "left")
             .where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"))
-    second = verified(rest, narrow, frequencies, threshold).select("u", "v")
-    links = settled(first.unionByName(second))
-    del best, rest, second, ends
+    stars = lambda r: r.select(F.col("id").alias("u"), F.col("root").alias("v"))
+    joined = settled(components(stars(root).unionByName(verified(rest, narrow, frequencies, threshold).select("u", "v"))))
+    del best, rest, ends
     release(docs.sparkSession, root, narrow, first)
-    root = settled(components(links))
+    root = joined
     third = crowded(rows, placed, root, whole, frequencies, threshold)
     if not third.isEmpty():
-        root = components(links.unionByName(third))
+        root = components(stars(root).unionByName(third))
     final = root.select(F.col("id").alias("lead"), "root")
     return (copies.join(final, "lead", "left").groupBy(F.col("id").alias("key")).agg(F.min(F.coalesce("root", "lead")).alias("class")))

@@ -41,3 +41,22 @@ def test_links_of_a_large_bucket_are_fewer_than_its_rows(spark, make):
     links = neardup.crowded(rows, neardup.buckets(rows), none, narrow, frequencies, 0.8)
     assert 39 <= links.count() <= 24 * 40  # 780 pairs in each of many buckets; a bucket gives at most 39 links
     assert {r.root for r in components(links).collect()} == {0}
+
+
+def test_texts_are_picked_by_marks_before_they_are_shuffled(make, monkeypatch):
+    monkeypatch.setattr(neardup, "MARKS", 128)  # others share a mark with one of the ids, and must go all the same
+    narrow = make([f"text {i}" for i in range(300)]).select("doc_id", "text").withColumnRenamed("doc_id", "id")
+    ids = narrow.where("id % 20 = 0").select("id")
+    assert sorted((r.id, r.text) for r in neardup.only(narrow, ids).collect()) == [(i, f"text {i}") for i in range(0, 300, 20)]
+    assert neardup.only(narrow, ids.where("false")).count() == 0
+
+
+def test_rows_of_large_buckets_meet_their_samples_once(spark, make):
+    prepare(spark)
+    narrow = make(texts(40, 90, 1)).select("doc_id", "text").withColumnRenamed("doc_id", "id")
+    rows = neardup.settled(neardup.signatures(narrow, neardup.document_frequencies(narrow)).select("id", "bands", "bytes"))
+    placed = neardup.buckets(rows)
+    pairs = neardup.bucket_pairs(placed, neardup.finer_keys(rows, placed))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "bytes" not in plan  # the samples are joined before, not for each of the four readers
+    assert pairs.count()

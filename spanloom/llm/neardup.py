@@ -39,7 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .batches import MULTIPLIER, mixed, prepare, shingles, slices, span_hashes, utf8, words
 from .bpe import Shared
@@ -219,7 +219,7 @@ def buckets(rows: DataFrame) -> DataFrame:
 
 
 def only(narrow: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows (id, text) whose id is among ``ids``; few others are shuffled for that.
+    """One row (id, text) for each id that is among ``ids``, also where rows of ``narrow`` repeat; few others are shuffled for that.
 
     A table of ``MARKS`` bits, one set for each of ``ids`` by its hash, drops most other texts where they are read;
     the join drops the rest.
@@ -238,16 +238,24 @@ def only(narrow: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.select(["id", "text"]).filter(pa.array(kept.astype(bool)))
 
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.select("id", "text", mark.alias("m")).mapInArrow(run, f"id {kind}, text string").join(ids, "id", "left_semi")
+    return narrow.select("id", "text", mark.alias("m")).mapInArrow(run, f"id {kind}, text string").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def crowds(placed: DataFrame, *more: str) -> DataFrame:
+    """(id, large): one row per document in buckets of more than ``FEW``, with its list (band, key and ``more``) of these, ``BANDS`` at most.
+
+    What belongs to a document is joined here, once, and not for each of its buckets.
+    """
+    return placed.where(F.col("n") > FEW).groupBy("id").agg(F.collect_list(F.struct("band", "key", *more)).alias("large"))
 
 
 def finer_keys(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """Rows of buckets of more than ``FEW``, with the samples that follow the band; read four times, so joined once and kept."""
+    """Rows of buckets of more than ``FEW``, with the samples that follow the band; read four times, so made once and kept."""
     extra = lambda n: F.substring("bytes", ((F.col("band") * ROWS + ROWS) % SAMPLES + 1).cast("int"), F.lit(n))
     # a key says which samples agree: those of the band, and one or two of the next band as well
     after = F.substring(F.concat("bytes", "bytes"), (F.col("band") * ROWS + ROWS + 1).cast("int"), F.lit(16))
-    return settled(placed.where(F.col("n") > FEW).join(rows.select("id", "bytes"), "id")
-                   .select("id", "key", "low", F.xxhash64("key", extra(1)).alias("key1"), F.xxhash64("key", extra(2)).alias("key2"), after.alias("after")))
+    each = crowds(placed, "low").join(rows.select("id", "bytes"), "id").select("id", "bytes", F.explode("large").alias("b")).select("id", "bytes", "b.*")
+    return settled(each.select("id", "key", "low", F.xxhash64("key", extra(1)).alias("key1"), F.xxhash64("key", extra(2)).alias("key2"), after.alias("after")))
 
 
 def bucket_pairs(placed: DataFrame, large: DataFrame) -> DataFrame:
@@ -286,27 +294,34 @@ def neighbours(large: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, f"a {kind}, b {kind}").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
 
-def parted(placed: DataFrame) -> DataFrame:
-    """Rows (id, root, band, key, size) of buckets of several roots, dealt to places (key, i, j) where parts meet.
+def several(placed: DataFrame) -> DataFrame:
+    """(key, n, sizes, big) of the buckets of several roots, from rows (id, root, band, key, size): rows, size and most frequent root."""
+    return (placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+            .groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("sizes"), F.max(F.struct("c", "root", "s")).alias("big"))
+            .where(F.col("n") > F.col("big.c")).select("key", "n", "sizes", "big"))
 
-    A bucket's rows of its most frequent root needn't meet each other; the others meet all. Both are cut
-    into parts of about ``CHUNK`` rows and ``PART`` in size, and each pair of parts meets in one place.
+
+def parted(placed: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Rows (id, root, band, key, size) of the buckets in ``mixed``, as (id, band, key) with the part of the bucket that each is in.
+
+    A bucket's rows of its most frequent root (``main``) needn't meet each other; the others meet all. Both are cut
+    into parts (``pb`` and ``po`` in number) of about ``CHUNK`` rows and ``PART`` in size, and each pair of parts meets in one place.
     """
-    mixed = (placed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
-             .groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("sizes"), F.max(F.struct("c", "root", "s")).alias("big"))
-             .where(F.col("n") > F.col("big.c")).select("key", "n", "sizes", "big"))
     parts = lambda c, s: F.ceil(F.greatest(c / CHUNK, s / PART)).cast("int")
-    split = (placed.join(mixed, "key").select("id", "root", "band", "key", (F.col("root") == F.col("big.root")).alias("main"),
-                                              parts(F.col("big.c"), F.col("big.s")).alias("pb"), parts(F.col("n") - F.col("big.c"), F.col("sizes") - F.col("big.s")).alias("po"))
-             .withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("pb")).otherwise(F.col("po"))).cast("int")))
+    return (placed.join(mixed, "key").select("id", "band", "key", (F.col("root") == F.col("big.root")).alias("main"),
+                                             parts(F.col("big.c"), F.col("big.s")).alias("pb"), parts(F.col("n") - F.col("big.c"), F.col("sizes") - F.col("big.s")).alias("po"))
+            .withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("pb")).otherwise(F.col("po"))).cast("int")))
+
+
+def meetings() -> Column:
+    """The places of a row of ``parted``: struct (i, j, side)."""
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     # places (i, j): rows of the frequent root in part i with others in part j, or others of parts -1 - i and j
     place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     part = F.col("part")
-    where = F.when(F.col("main"), F.transform(upto("po"), lambda o: place(part, o, F.lit(1)))).otherwise(F.concat(
+    return F.when(F.col("main"), F.transform(upto("po"), lambda o: place(part, o, F.lit(1)))).otherwise(F.concat(
         F.transform(upto("pb"), lambda b: place(b, part, F.lit(0))),
         F.transform(upto("po"), lambda o: place(-1 - F.least(part, o), F.greatest(part, o), part > o))))
-    return split.select("id", "root", "band", "key", F.explode(where).alias("p")).select("id", "root", "band", "key", "p.*")
 
 
 def near(group: pa.RecordBatch, label: np.ndarray, least: float):
@@ -391,12 +406,14 @@ def crowded(rows: DataFrame, placed: DataFrame, root: DataFrame, narrow: DataFra
     """
     kind = rows.schema["id"].dataType.simpleString()
     least = threshold - 5 * (threshold * (1 - threshold) / SAMPLES) ** 0.5
-    signed = rows.select("id", F.col("bands").alias("all"), "bytes")
     places = ("key", "i", "j")
 
-    def dealt(some: DataFrame, what: DataFrame, *more: str) -> DataFrame:
-        return (parted(some).join(what, "id").repartition(*places).sortWithinPartitions(*places, "side")
-                .select("id", "root", *places, "side", "band", "all", "bytes", *more))
+    def dealt(some: DataFrame, mixed: DataFrame, what: DataFrame, *more: str) -> DataFrame:
+        own = ("id", "root", "all", "bytes", *more)
+        listed = parted(some, mixed).groupBy("id").agg(F.collect_list(F.struct("band", "key", "main", "pb", "po", "part")).alias("large"))
+        each = listed.join(what, "id").select(*own, F.explode("large").alias("b")).select(*own, "b.*")
+        return (each.select(*own, "band", "key", F.explode(meetings()).alias("p")).select(*own, "band", "key", "p.*")
+                .repartition(*places).sortWithinPartitions(*places, "side").select("id", "root", *places, "side", "band", "all", "bytes", *more))
 
     def met(batches):
         for group in groups(batches, places):
@@ -421,17 +438,21 @@ def crowded(rows: DataFrame, placed: DataFrame, root: DataFrame, narrow: DataFra
             if a:
                 yield pa.RecordBatch.from_arrays([group.column("id").take(pa.array(a)), group.column("id").take(pa.array(b))], ["a", "b"])
 
-    large = (placed.where(F.col("n") > FEW).join(root, "id", "left")
-             .select("id", F.coalesce("root", "id").alias("root"), "band", "key"))
-    close = settled(dealt(large.withColumn("size", F.lit(0)), signed).mapInArrow(met, f"id {kind}, key long").distinct())
-    release(rows.sparkSession)
-    texts = settled(only(narrow, close.select("id").distinct()))
-    release(rows.sparkSession)
-    sizes = texts.select("id", F.octet_length("text").cast("long").alias("size"))
-    some = large.join(close, ["id", "key"], "left_semi").join(sizes, "id")
-    found = dealt(some, signed.join(texts, "id"), "text").mapInArrow(linked, f"a {kind}, b {kind}")
+    signed = settled(crowds(placed).join(root, "id", "left").join(rows, "id")
+                     .select("id", F.coalesce("root", "id").alias("root"), "large", F.col("bands").alias("all"), "bytes"))
+    buckets_of = lambda some: some.select("id", "root", "size", F.explode("large").alias("b")).select("id", "root", "size", "b.*")
+    some = buckets_of(signed.withColumn("size", F.lit(0)))
+    mixed = settled(several(some))
+    close = settled(dealt(some, mixed, signed.drop("large")).mapInArrow(met, f"id {kind}, key long").groupBy("id").agg(F.collect_set("key").alias("keys")))
+    release(rows.sparkSession, mixed)
+    whole = settled(signed.join(close, "id").join(only(narrow, close.select("id")), "id").withColumn("size", F.octet_length("text").cast("long"))
+                    .withColumn("large", F.filter("large", lambda b: F.array_contains("keys", b["key"]))).drop("keys"))
+    release(rows.sparkSession, signed, close)
+    some = buckets_of(whole)
+    mixed = settled(several(some))
+    found = dealt(some, mixed, whole.drop("large", "size"), "text").mapInArrow(linked, f"a {kind}, b {kind}")
     links = settled(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    release(rows.sparkSession, close, texts)
+    release(rows.sparkSession, whole, mixed)
     return links
 
 

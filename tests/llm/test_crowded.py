@@ -60,3 +60,47 @@ def test_rows_of_large_buckets_meet_their_samples_once(spark, make):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "bytes" not in plan  # the samples are joined before, not for each of the four readers
     assert pairs.count()
+
+
+def join_rows(df):
+    """Rows that each join on ids made, in the plan that ran."""
+    df.collect()
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        plan = left.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(plan.plan())
+        left += [plan.children().apply(k) for k in range(plan.children().size())]
+        if kind.endswith("JoinExec") and "[id#" in plan.leftKeys().toString().replace("List(", "["):
+            found.append(plan.metrics().get("numOutputRows").get().value())
+    return found
+
+
+def test_joins_on_ids_make_one_row_per_document(spark, make, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 10)  # each row of a bucket goes to several places
+    prepare(spark)
+    narrow = make(texts(40, 90, 1)).select("doc_id", "text").withColumnRenamed("doc_id", "id")
+    frequencies = neardup.document_frequencies(narrow)
+    rows = neardup.settled(neardup.signatures(narrow, frequencies).select("id", "bands", "bytes"))
+    placed = neardup.buckets(rows)
+    assert placed.where(f"n > {neardup.FEW}").count() > 5 * 40  # a document is in many large buckets
+    made, keep = [], neardup.settled
+
+    def kept(df):
+        made.extend(join_rows(df))
+        return keep(df)
+
+    monkeypatch.setattr(neardup, "settled", kept)
+    neardup.finer_keys(rows, placed)
+    links = neardup.crowded(rows, placed, spark.createDataFrame([], "id long, root long"), narrow, frequencies, 0.8)
+    assert {r.root for r in components(links).collect()} == {0}
+    assert len(made) >= 4 and max(made) <= 40
+
+
+def test_texts_of_repeated_rows_come_once(make):
+    narrow = make(["one text", "another"]).select("doc_id", "text").withColumnRenamed("doc_id", "id")
+    some = neardup.only(narrow.unionByName(narrow).unionByName(narrow), narrow.where("id = 0").select("id"))
+    assert [(r.id, r.text) for r in some.collect()] == [(0, "one text")]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,20 @@ def give_back() -> None:
         _TRIM(0)
 
 
+_KEPT: dict[str, tuple[object, object]] = {}
+
+
+def kept(owner: str, key, make: Callable[[], object]):
+    """What this worker keeps for ``owner`` from task to task, made anew for another ``key``.
+
+    What it kept for other owners goes: workers live on from step to step, and an executor's bound counts all they hold.
+    """
+    if owner not in _KEPT or _KEPT[owner][0] != key:
+        _KEPT.clear()
+        _KEPT[owner] = key, make()
+    return _KEPT[owner][1]
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice has at most ``limit`` text bytes (or one row)."""
     for batch in batches:
@@ -80,10 +94,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _CACHE: dict[str, np.ndarray] = {}
+POWERS = 1 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of them."""
+    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of them; a worker keeps ``POWERS`` of each at most."""
+    if n > POWERS:
+        return _powers(n)
     if len(_CACHE.get("up", ())) < n + 1:
         _CACHE["up"], _CACHE["down"] = _powers(max(n, 1 << 16))
     return _CACHE["up"][:n + 1], _CACHE["down"][:n + 1]

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .batches import carried, prepare, slices, strings
+from .batches import carried, kept, prepare, slices, strings
 
 LONG = 256
 CACHED = 200_000
@@ -167,15 +167,9 @@ class Encoder(dict):
         return b"".join(out)
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def worker_encoder(shared) -> Encoder:
     """The encoder of this worker for a broadcast vocabulary."""
-    if shared.id not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[shared.id] = Encoder(shared.value)
-    return _ENCODERS[shared.id]
+    return kept("bpe", shared.id, lambda: Encoder(shared.value))
 
 
 class Shared:

@@ -27,6 +27,7 @@ from .bpe import Shared
 from .shared import settled
 
 RUN = 256
+SLICE = 1 << 20
 
 
 class Strings:
@@ -152,7 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
     def run(batches):
         tests = shared.value
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, SLICE):
             n, hit, items, _, _ = tests.scan(batch.column(at), *_before(batch, later))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(n.astype(np.int64)), pa.array(hit.astype(np.int64)), pa.array(items, pa.list_(pa.string())), pa.array((hit > 0) & (share * hit >= n))],
                                              [*keep, "n_words", "n_hit", "items", "contaminated"])
@@ -177,7 +178,7 @@ def _marked(narrow: DataFrame, at: int, block: list[tuple[str | None, str]], win
 
     def run(batches):
         tests = shared.value
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, SLICE):
             _, _, items, inside, first = tests.scan(batch.column(at), *_before(batch, later))
             covers = [np.flatnonzero(np.diff(np.concatenate([[0], inside[a:b].astype(np.int8), [0]]))).tolist() for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(covers, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names)

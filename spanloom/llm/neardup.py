@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .batches import MULTIPLIER, mixed, prepare, shingles, slices, span_hashes, utf8, words
+from .batches import MULTIPLIER, kept, mixed, prepare, shingles, slices, span_hashes, utf8, words
 from .bpe import Shared
 from .components import components
 from .shared import release, settled
@@ -114,20 +114,29 @@ def digest(h: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 class Sampler:
-    """Tables of a and t for each level and slot, and a multiplier for each sample."""
+    """Tables of a and t for each level and slot, and a multiplier for each sample.
+
+    A level's table is filled when a text first has that level: texts have few of them, and all take 64 MB.
+    """
 
     def __init__(self, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        r, c, b = rng.gamma(2, 1, SLOTS), rng.gamma(2, 1, SLOTS), rng.random(SLOTS)
-        t = np.floor(np.log(WEIGHTS)[:, None] / r + b)
-        a = (c / np.exp(r * (t - b) + r)).astype(np.float32)
-        # the order of positive floats is that of their bits; t tells apart two weights of one shingle
-        self.key = (a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | ((t.astype(np.int64).astype(np.uint64) & np.uint64(0xFF)) << np.uint64(24))
-        self.key = self.key.ravel()
+        self.r, self.c, self.b = rng.gamma(2, 1, SLOTS), rng.gamma(2, 1, SLOTS), rng.random(SLOTS)
+        self.log, self.filled = np.log(WEIGHTS), np.zeros(LEVELS, bool)
+        self.key = np.zeros(LEVELS * SLOTS, np.uint64)  # pages that are never written take no memory
         self.multipliers = rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def fill(self, level: np.ndarray) -> None:
+        for v in np.flatnonzero((np.bincount(level, minlength=LEVELS) > 0) & ~self.filled):
+            t = np.floor(self.log[v] / self.r + self.b)
+            a = (self.c / np.exp(self.r * (t - self.b) + self.r)).astype(np.float32)
+            # the order of positive floats is that of their bits; t tells apart two weights of one shingle
+            self.key[v * SLOTS:(v + 1) * SLOTS] = (a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | ((t.astype(np.int64).astype(np.uint64) & np.uint64(0xFF)) << np.uint64(24))
+            self.filled[v] = True
+
     def samples(self, s: np.ndarray, level: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """(texts, SAMPLES) of uint64; a text without shingles has zeros."""
+        self.fill(level)
         out = np.zeros((len(begin) - 1, SAMPLES), np.uint64)
         some = np.flatnonzero(np.diff(begin))
         i = 0
@@ -147,13 +156,8 @@ class Sampler:
         return out & np.uint64(0xFFFFFFFF)
 
 
-_SAMPLERS: list[Sampler] = []
-
-
 def worker_sampler() -> Sampler:
-    if not _SAMPLERS:
-        _SAMPLERS.append(Sampler())
-    return _SAMPLERS[0]
+    return kept("neardup", None, Sampler)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import carried, fold, prepare, slices, strings
+from .batches import carried, fold, kept, prepare, slices, strings
 from .bpe import Shared
 
 ORDER, BITS = 4, 5
@@ -38,6 +38,7 @@ DISCOUNT = 0.75
 BINS = 4000
 FOLDS = 4
 RANGE = 2.0
+PIECE = 1 << 18
 
 
 def folding() -> np.ndarray:
@@ -57,18 +58,28 @@ def folding() -> np.ndarray:
 
 
 FOLD = folding()
-_SCRATCH: list[np.ndarray] = []
 
 
 def scratch() -> np.ndarray:
-    if not _SCRATCH:
-        _SCRATCH.append(np.zeros(SIZE, np.int32))
-    return _SCRATCH[0]
+    return kept("toxicity", None, lambda: np.zeros(SIZE, np.int32))
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Different 4-grams of each text (framed by spaces) and the row of each."""
+    """Different 4-grams of each text (framed by spaces) and the row of each; some texts at a time, as the arrays in between take many times the text."""
     texts = strings(column)
+    ends = np.cumsum([len(t) for t in texts])
+    found, i = [], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE, side="right")))
+        g, row = _grams(texts[i:j])
+        found.append((g, row + i))
+        i = j
+    if len(found) == 1:
+        return found[0]
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64 if k else np.int32) for k in range(2))
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = " " + " ".join(texts) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     x = np.where(points < len(FOLD), FOLD[np.minimum(points, len(FOLD) - 1)], 28)
@@ -81,11 +92,11 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     same = row[:len(g)] == row[2:2 + len(g)]
     g, row = g[same], row[2:2 + len(g)][same]
     # the last place of each 4-gram in its text stays
-    last, place, kept = scratch(), np.arange(len(g), dtype=np.int32), np.zeros(len(g), bool)
+    last, place, stays = scratch(), np.arange(len(g), dtype=np.int32), np.zeros(len(g), bool)
     for a, b in zip(*(np.searchsorted(row, np.arange(len(texts)), side=s).tolist() for s in ("left", "right"))):
         last[g[a:b]] = place[a:b]
-        kept[a:b] = last[g[a:b]] == place[a:b]
-    return g[kept], row[kept]
+        stays[a:b] = last[g[a:b]] == place[a:b]
+    return g[stays], row[stays]
 
 
 def ratios(toxic: np.ndarray, plain: np.ndarray, seen: np.ndarray) -> np.ndarray:

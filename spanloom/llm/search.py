@@ -1,10 +1,11 @@
 """Exact top-k search by BM25 over an inverted index with block maxima.
 
 Each task builds indexes of the texts it reads, a shard of bounded size at a time: postings by term,
-cut into blocks of ``BLOCK`` neighbouring documents, with the highest score of each block. A
-query adds up the maxima of its terms per block of documents, and looks at blocks in the order of these
+cut into blocks of ``BLOCK`` neighbouring documents, with the highest score of each block. Postings of
+frequent terms are rows of a matrix, and one product adds them up for many queries. A query adds to the best of these sums
+in each block the maxima of its other terms, and looks at blocks in the order of these
 bounds; once the next bound is below the k-th best score so far, no later block can hold a better
-document, and the rest is skipped. Scores use statistics of all documents, so the best k of the
+document, and the rest is skipped. Documents that may be among the best are then scored exactly. Scores use statistics of all documents, so the best k of the
 shards, merged, are the best k of all.
 
 Queries come in blocks of bounded size (``block_queries`` queries, ``block_bytes`` of text), each of them
@@ -29,8 +30,12 @@ from .batches import prepare, slices, span_hashes, utf8, words
 from .bpe import Shared
 from .shared import settled
 
-BLOCK = 32
-SHARD_WORDS = 3_000_000
+BLOCK = 8
+SHARD_WORDS, SHARD_DOCS = 3_000_000, 1 << 14
+#: Terms of at least one in ``DENSE_SHARE`` of a shard's documents have rows of scores: ``DENSE`` of them and ``CELLS`` scores at most.
+DENSE, DENSE_SHARE, CELLS = 1000, 32, 8 << 20
+#: More than the relative error of sums of ``DENSE`` positive float32 numbers.
+SLACK = 1e-4
 K1, B = 1.2, 0.75
 
 
@@ -78,37 +83,73 @@ class Shard:
         self.max = np.maximum.reduceat(self.score, heads) if len(heads) else np.zeros(0)
         self.first = np.searchsorted(self.term[heads], np.arange(len(q.terms) + 1))  # blocks of each term
         self.blocks = -(-len(ids) // BLOCK)
-
-    def best(self, part: tuple[np.ndarray, np.ndarray], k: int, floor: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """(documents, scores) that may be among the best k, and how many blocks were scored."""
-        t, count = part
+        # postings by document, to score a few documents exactly
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.doc_term, self.doc_score = self.term[by_doc], self.score[by_doc]
+        self.of_doc = np.append(0, np.cumsum(np.bincount(self.doc, minlength=len(ids))))
+        self.weight = np.zeros(len(q.terms))
+        # terms of many documents have a row of scores each, which one matrix product adds up for many queries
+        df = np.bincount(self.term, minlength=len(q.terms))
+        often = np.argsort(-df, kind="stable")[:min(DENSE, CELLS // max(len(ids), 1))]
+        often = often[df[often] * DENSE_SHARE >= max(len(ids), 1)]
+        self.row = np.full(len(q.terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.table = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        at = np.flatnonzero(self.row[self.term] >= 0)
+        self.table[self.row[self.term[at]], self.doc[at]] = self.score[at]
+
+    def sums(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        """Per query its part with the sums of its frequent terms for every document."""
+        many = max(1, min(64, (1 << 20) // max(self.table.shape[1], 1)))
+        for i in range(0, len(parts), many):
+            some = parts[i:i + many]
+            asked = np.zeros((len(some), len(self.table)), np.float32)
+            for r, (t, count) in enumerate(some):
+                row = self.row[t]
+                asked[r, row[row >= 0]] = count[row >= 0]
+            yield from zip(some, asked @ self.table)
+
+    def exact(self, docs: np.ndarray, t: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Scores of some documents, terms added up in order, so that equal documents have equal scores."""
+        self.weight[t] = count
+        a, n = self.of_doc[docs], self.of_doc[docs + 1] - self.of_doc[docs]
+        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out = np.bincount(np.repeat(np.arange(len(docs)), n), weights=self.doc_score[at] * self.weight[self.doc_term[at]], minlength=len(docs))
+        self.weight[t] = 0
+        return out
+
+    def best(self, part: tuple[np.ndarray, np.ndarray], sums: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """(documents, scores) that may be among the best k, and the least score that still may."""
+        rare = self.row[part[0]] < 0
+        t, count = part[0][rare], part[1][rare]
         a, n = self.first[t], self.first[t + 1] - self.first[t]
         entry = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         weight = np.repeat(count, n)
         where = self.block[entry]
-        bound = np.bincount(where, weights=self.max[entry] * weight, minlength=self.blocks)
-        # entries by block, to pick those of the blocks that are looked at
-        order = np.argsort(where, kind="stable")
-        cut = np.searchsorted(where[order], np.arange(self.blocks + 1))
+        # what frequent terms give is known per document, rare ones add the maxima of their blocks
+        bound = sums.reshape(-1, BLOCK).max(1) + np.bincount(where, weights=self.max[entry] * weight, minlength=self.blocks)
         queue = np.argsort(-bound, kind="stable")
-        docs, scores, step, i = [], [], 4, 0
-        while i < len(queue) and bound[queue[i]] > 0 and bound[queue[i]] * (1 + 1e-9) >= floor:
+        scores, step, i = np.zeros(len(sums)), 8, 0
+        while i < len(queue) and bound[queue[i]] > 0 and bound[queue[i]] * (1 + SLACK) >= floor:
             some = queue[i:i + step]
-            some = some[(bound[some] > 0) & (bound[some] * (1 + 1e-9) >= floor)]
-            e = np.concatenate([order[cut[b]:cut[b + 1]] for b in some])
+            some = some[(bound[some] > 0) & (bound[some] * (1 + SLACK) >= floor)]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[some] = True
+            e = np.flatnonzero(chosen[where])
             p, m = self.begin[entry[e]], self.begin[entry[e] + 1] - self.begin[entry[e]]
             at = np.repeat(p, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            d, back = np.unique(self.doc[at], return_inverse=True)
-            docs.append(d)
-            scores.append(np.bincount(back, weights=self.score[at] * np.repeat(weight[e], m)))
-            have = np.concatenate(scores)
-            if len(have) >= k:
-                floor = max(floor, np.partition(have, len(have) - k)[len(have) - k])
+            here = np.repeat(chosen, BLOCK)
+            scores[here] = sums[here]
+            scores += np.bincount(self.doc[at], weights=self.score[at] * np.repeat(weight[e], m), minlength=len(scores))
+            high = scores[(scores > 0) & (scores >= floor)]
+            if len(high) >= k:
+                floor = max(floor, np.partition(high, len(high) - k)[len(high) - k] * (1 - SLACK))
             i += step
-            step *= 2
-        if not docs:
-            return np.zeros(0, np.int64), np.zeros(0), floor
-        d, s = np.concatenate(docs), np.concatenate(scores)
+            step *= 4
+        d = np.flatnonzero((scores > 0) & (scores * (1 + SLACK) >= floor))
+        s = self.exact(d, *part)
+        if len(s) >= k:
+            floor = max(floor, np.partition(s, len(s) - k)[len(s) - k])
         keep = s >= floor
         return d[keep], s[keep], floor
 
@@ -145,9 +186,9 @@ def block_search(narrow: DataFrame, rows: list[tuple[object, str]], k: int, docu
             ids, term, doc, length = held[0], np.concatenate(held[1]), np.concatenate(held[2]), np.concatenate(held[3])
             shard = Shard(q, ids, term, doc, length)
             rows_n, rows_q, rows_d, rows_s = [], [], [], []
-            for i, part in enumerate(q.parts):
+            for i, (part, sums) in enumerate(shard.sums(q.parts)):
                 if len(part[0]):
-                    d, s, floor = shard.best(part, k, floors[i])
+                    d, s, floor = shard.best(part, sums, k, floors[i])
                     floors[i] = max(floors[i], floor) if len(d) >= k else floors[i]
                     top = np.lexsort((shard.ids[d], -s))[:k]
                     rows_n += [number + i] * len(top)
@@ -167,7 +208,7 @@ def block_search(narrow: DataFrame, rows: list[tuple[object, str]], k: int, docu
             held[2].append(row)
             held[3].append(np.diff(first))
             size += len(t)
-            if size > SHARD_WORDS:
+            if size > SHARD_WORDS or len(held[0]) >= SHARD_DOCS:
                 yield from answers(held)
                 held, size = ([], [], [], []), 0
         yield from answers(held)

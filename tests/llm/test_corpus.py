@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,45 @@ def test_recurring_blocks_are_counted_over_different_pages(spark):
     assert all(got[100 + i] == f"text of page {i}, all its own." for i in range(6))
     assert all(got[1000 + i] == f"text of page {i}, all its own." for i in range(2000))
     assert all(got[9000 + i] == f"menu of the site\n\ntext of page {i}, all its own." for i in range(9))  # no url, no host
+
+
+def test_search_adds_up_frequent_terms_and_keeps_ties_in_order(make, monkeypatch):
+    """Copies tie exactly wherever they stand in a shard, with terms in matrix rows, in postings, and in both."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i * i // 40}" for i in range(60)], k=rng.randint(1, 60))) for _ in range(150)]
+    texts += texts[:70] + ["", "only here"] + texts[:40]
+    want = {i: [d for _, d in bm25(dict(enumerate(texts)), texts[i], 7)] for i in range(0, len(texts), 9)}
+    df = make(texts).coalesce(1)
+    rows_by = []
+    for dense in (0, 3, 1000):
+        monkeypatch.setattr(search, "DENSE", dense)
+        got = defaultdict(list)
+        for r in sorted(search.search(df, df.where("doc_id % 9 = 0"), k=7).collect(), key=lambda r: r["rank"]):
+            got[r.query_id].append((r.doc_id, r.score))
+        rows_by.append(dict(got))
+        for i, best in want.items():
+            assert [round(s, 9) for _, s in got[i]] == [round(-s, 9) for s, _ in bm25(dict(enumerate(texts)), texts[i], 7)]
+            assert len({d for d, _ in got[i]}) == len(best)
+            for (a, s), (b, t) in zip(got[i], got[i][1:]):
+                assert s > t or (s == t and a < b)
+    assert rows_by[0] == rows_by[1] == rows_by[2]
+
+
+def test_search_scores_few_documents_exactly(monkeypatch):
+    """Documents that cannot be among the best are left out by the sums of frequent terms alone."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], k=50)) for _ in range(1000)]
+    q = search.Queries([(0, texts[0])])
+    h, first = search.terms(pa.array(texts))
+    hit, t = q.known(h)
+    q.idf, q.mean = np.ones(len(q.terms)), 50.0
+    shard = search.Shard(q, list(range(1000)), t, np.repeat(np.arange(1000), np.diff(first))[hit], np.diff(first))
+    seen, exact = [], search.Shard.exact
+    monkeypatch.setattr(search.Shard, "exact", lambda self, docs, *a: seen.extend(docs) or exact(self, docs, *a))
+    (part, sums), = shard.sums(q.parts)
+    d, s, floor = shard.best(part, sums, 10, 0.0)
+    everything = exact(shard, np.arange(1000), *part)
+    assert set(np.flatnonzero(everything >= np.sort(everything)[-10])) == set(d) and floor == np.sort(everything)[-10]
+    assert len(seen) < 20

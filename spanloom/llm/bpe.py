@@ -186,6 +186,13 @@ class Shared:
     def value(self):
         return self._b.value
 
+    def passing(self):
+        """The value, read anew by each call: a worker doesn't keep it when it has many to go through."""
+        value = self._b.value
+        if getattr(self._b, "_path", None) is not None:
+            vars(self._b).pop("_value", None)
+        return value
+
 
 def vocabulary(spark: SparkSession, path: str | None = None, pattern: str | None = None) -> Shared:
     """Read on the driver and broadcast: its size is that of a vocabulary file, not of data."""

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,3 +293,50 @@ def test_search_scores_few_documents_exactly(monkeypatch):
     everything = exact(shard, np.arange(1000), *part)
     assert set(np.flatnonzero(everything >= np.sort(everything)[-10])) == set(d) and floor == np.sort(everything)[-10]
     assert len(seen) < 20
+
+
+def test_search_reads_documents_once_for_all_blocks(make, monkeypatch):
+    """More blocks of queries are no more passes over the documents, and no other rows."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i * i // 40}" for i in range(60)], k=rng.randint(0, 40))) for _ in range(120)]
+    df = make(texts)
+    ask = df.where("doc_id % 10 = 0")
+    passes, settled = [], search.settled
+    monkeypatch.setattr(search, "settled", lambda rows: passes.append(1) or settled(rows))
+    many = search.search(df, ask, k=5, block_queries=2)
+    assert len(passes) == 1
+    assert sorted(many.collect()) == sorted(search.search(df, ask, k=5).collect())
+
+
+@pytest.mark.parametrize("first,dense,middle,wide", [(16, 500, 500, 64), (1, 2, 3, 8), (3, 0, 0, 4), (1 << 40, 500, 0, 64)])
+def test_search_by_groups_floors_and_wide_blocks(make, monkeypatch, first, dense, middle, wide):
+    """Rows are those of brute force, however documents are grouped and wherever floors come from."""
+    for name, value in (("FIRST", first), ("DENSE", dense), ("MIDDLE", middle), ("WIDE", wide), ("GROUPED", 50), ("ENTRIES", 64), ("TOGETHER", 3)):
+        monkeypatch.setattr(search, name, value)
+    rng = random.Random(9)
+    tongues = [[f"{a}{int(rng.paretovariate(0.4)) % 400}" for _ in range(300)] + ["on", "la"] * 9 for a in "abc"]
+    texts = [" ".join(rng.choices(rng.choice(tongues), k=int(rng.paretovariate(0.8)) % 90 + 1)) for _ in range(400)]
+    texts += texts[:20] + ["", None, "b7 " * 60, "nowhere else"]
+    df = make(texts).coalesce(2)
+    got = defaultdict(list)
+    for r in sorted(search.search(df, df.where("doc_id % 11 = 0 or doc_id > 418"), k=6).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.doc_id, r.score))
+    bags = {i: t or "" for i, t in enumerate(texts)}
+    for i in (i for i in bags if i % 11 == 0 or i > 418):
+        want = bm25(bags, bags[i], 6)
+        assert [round(s, 8) for _, s in got[i]] == [round(-s, 8) for s, _ in want]
+        for (a, s), (b, t) in zip(got[i], got[i][1:]):
+            assert s > t or (s == t and a < b)
+
+
+def test_shard_leaves_out_what_cannot_reach_a_known_floor():
+    """A query whose words stand here in different places only meets no document of the shard once its floor is known."""
+    texts = [f"common c{i} d{i}" for i in range(256)]
+    q = search.Queries([(0, " ".join(f"c{i}" for i in range(0, 256, 64))), (1, texts[7])])
+    q.idf, q.mean = np.ones(len(q.terms)), 3.0
+    h, first = search.terms(pa.array(texts))
+    hit, t = q.known(h)
+    shard = search.Shard(q, list(range(256)), t, np.repeat(np.arange(256), np.diff(first))[hit], np.diff(first))
+    (_, none), (part, some) = shard.sums(q.parts, 1, np.array([1.5, 2.9]))
+    assert not len(none[0]) and 7 in some[0] and len(some[0]) <= search.BLOCK
+    assert shard.best(part, some, 1, 2.9)[0].tolist() == [7]
